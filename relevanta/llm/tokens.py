@@ -8,23 +8,28 @@ white space next to a split point is encoded in one call.
 from __future__ import annotations
 
 import functools
+import re
 from array import array
 
 import numpy as np
 
 from relevanta.llm.common import chunks
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 900_000
+#: Letters, then ASCII marks: two words to the tokenizer.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
 
 class _Cache(dict):
-    """Notes what it lacks; an absent piece reads as empty until it is added."""
+    """Encodes what it lacks."""
 
-    missed: set
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
 
     def __missing__(self, key):
-        self.missed.add(key)
-        return b""
+        ids = self[key] = self.encode(key)
+        return ids
 
 
 def _byte_letters(tokenizer) -> dict[int, str]:
@@ -44,8 +49,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mapped = _byte_letters(self.tokenizer)
-        self.cache, self.most = _Cache(), cache_entries
-        self.cache.missed = set()
+        self.most = cache_entries
+        self.cache, self.marks = _Cache(self._piece), _Cache(self._word)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
@@ -56,22 +61,14 @@ class PieceEncoder:
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece with the space or line feed before it; None where it can't stand alone."""
         if piece.isalpha():
-            return self._word((b" " + piece.encode()).decode("latin-1").translate(self.mapped))
+            return self._word("Ġ" + piece if piece.isascii() else (b" " + piece.encode()).decode("latin-1").translate(self.mapped))
+        if (marked := _MARKED.fullmatch(piece)) and marked[1].isalpha():
+            return self.cache[marked[1]] + self.marks[marked[2]]
         bare = piece[1:] if piece[:1] == "\n" else piece
         if not bare or bare[0].isspace() or bare[-1].isspace():
             return None
-        out = []
-        for mapped, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece if bare is not piece else " " + piece):
-            if i == 0 and mapped[0] == "Ġ" and (known := self.cache.get(piece[: j - 1])):
-                out.append(known)
-            else:
-                out.append(self._word(mapped))
-        return b"".join(out)
-
-    def _learn(self) -> None:
-        for piece in self.cache.missed:
-            self.cache[piece] = self._piece(piece)
-        self.cache.missed = set()
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(piece if bare is not piece else " " + piece)
+        return b"".join([self.marks[w] if len(w) < 4 else self._word(w) for w, _ in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -83,25 +80,18 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.most:
             self.cache.clear()
-        get, rows, again, out = self.cache.__getitem__, [], [], []
-        for k, text in enumerate(texts):
+        if len(self.marks) > self.most // 10:
+            self.marks.clear()
+        get, out = self.cache.__getitem__, []
+        for text in texts:
             pieces = text.replace("\n", " \n").split(" ")
             cut = 0
-            if pieces[0]:
+            if pieces[0]:  # no space before the first one: read it after a line feed and drop that id
                 pieces[0], cut = "\n" + pieces[0], 4
             else:
                 del pieces[0]
-            before = len(self.cache.missed)
-            rows.append((pieces, cut))
-            out.append(got := list(map(get, pieces)))
-            if len(self.cache.missed) > before or (self.cache.missed and b"" in got):
-                again.append(k)
-        if self.cache.missed:
-            self._learn()
-            for k in again:
-                out[k] = list(map(get, rows[k][0]))
-        for k, got in enumerate(out):
-            out[k] = self._ids(texts[k]).tobytes() if None in got else b"".join(got)[rows[k][1] :]
+            ids = list(map(get, pieces))
+            out.append(self._ids(text).tobytes() if None in ids else b"".join(ids)[cut:])
         return out
 
 
