@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevanta.llm import chat, langid, mixing, packing, quality, scoring, token_files
+from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op5_mixing, op6_language_id, op7_token_files, op9_quality)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op5_mixing, op6_language_id, op7_token_files, op9_quality, op10_near_duplicates)}
 
 _CONTROLS = r"(\\*)(<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)"
 
