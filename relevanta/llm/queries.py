@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files
+from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return vectors.nearest_neighbours(table.filter("vec_id % 100 = 0"), table)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,7 +52,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op5_mixing, op6_language_id, op7_token_files, op9_quality, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op4_embedding_near_dup, op5_mixing, op6_language_id, op7_token_files, op8_nearest_neighbours, op9_quality, op10_near_duplicates)
+}
 
 _CONTROLS = r"(\\*)(<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)"
 
