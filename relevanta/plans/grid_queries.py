@@ -201,13 +201,10 @@ def param_list_to_map(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {METRIC_ROWS}, x AS (SELECT tag, metric, value FROM m UNION ALL SELECT '(ALL)', metric, value FROM m) SELECT tag, metric, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(*) - count(value) AS fail_count FROM x GROUP BY ALL")
 def stream_aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The metric rows written as files, streamed in and kept as running aggregates; the last of each is the result."""
-    import tempfile
-    import uuid
-
+    from relevanta.sources.work import work_path
     from relevanta.streaming import aggregates
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = work_path(spark, "stream")
     rows = t.metric_rows(spark, d).select(F.array("tag", F.lit("(ALL)")).alias("tags"), "metric", "value", "reasons")
     rows.write.parquet(f"{base}/rows")
     keys = ["tag", "metric"]

@@ -68,7 +68,11 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tag", "metric", "best", "best_value", "worst", "worst_value", F.round(F.col("median_shift")["priority"], 6).alias("priority_shift"))
 
 
-@register()
+@register(
+    f"""WITH {_BY_PARAM}, md AS (SELECT tag, metric, param, setting, quantile_cont(value, 0.5) AS v FROM bp GROUP BY ALL), x AS (SELECT tag, metric, 'median_shift' AS measure, param, max(v) - min(v) AS s FROM md GROUP BY ALL
+        UNION ALL SELECT tag, metric, 'single_shift', param, max(d) FROM (SELECT tag, metric, param, rest, max(value) - min(value) AS d FROM bp GROUP BY ALL) GROUP BY ALL)
+    SELECT tag, metric, measure, printf('%.4f', max(CASE WHEN param = 'priority' THEN s END)) AS priority, printf('%.4f', max(CASE WHEN param = 'status' THEN s END)) AS status FROM x GROUP BY ALL"""
+)
 def summary_effect_matrix(spark: SparkSession, d: str) -> DataFrame:
     return summary.summary_effect_matrix(summary.run_summary(t.settings(spark, d)), ["priority", "status"])
 

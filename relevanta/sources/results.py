@@ -57,15 +57,15 @@ def reasons_text(reasons: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(reasons)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
 
 
-def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str]) -> DataFrame:
+def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str], decimals: int = 4) -> DataFrame:
     """``(tag, n, line)``: the lines of each tag's wide document; parameters and metrics are sorted, numbers have four
-    decimals. ``metrics`` maps names to types."""
+    decimals by default. ``metrics`` maps names to types."""
     params, names = sorted(params), sorted(metrics)
-    four = lambda c: F.format_string("%.4f", c)
+    four = lambda c: F.format_string(f"%.{decimals}f", c)
     pick = lambda c, m: F.first(F.when(F.col("metric") == m, c), ignorenulls=True)
-    cells = []
+    cells, nothing = [], f"{0:.{decimals}f}"
     for m in names:
-        cells += [F.coalesce(pick(c, m), F.lit(z)) for c, z in ((F.col("fail_count").cast("string"), "0"), (four(F.col("weighted_fail_count")), "0.0000"), (reasons_text(F.col("fail_reasons")), ""), (F.col("success_count").cast("string"), "0"), (four(F.col("weighted_success_count")), "0.0000"), (four(F.col("value")), "0.0000"))]
+        cells += [F.coalesce(pick(c, m), F.lit(z)) for c, z in ((F.col("fail_count").cast("string"), "0"), (four(F.col("weighted_fail_count")), nothing), (reasons_text(F.col("fail_reasons")), ""), (F.col("success_count").cast("string"), "0"), (four(F.col("weighted_success_count")), nothing), (four(F.col("value")), nothing))]
     setting = [F.coalesce(F.array_join(F.try_element_at(F.first("params"), F.lit(p)), "&"), F.lit("")) for p in params]
     body = rows.groupBy("tag", "params_key").agg(F.concat_ws("\t", *setting, *cells, F.lit("")).alias("line"))
     head = [f"{TYPE_LINE}{m} {metrics[m]}" for m in names] + ["\t".join([*params, *(f + m for m in names for f in FAMILIES), "contextInfo"])]
@@ -73,9 +73,9 @@ def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str
     return top.select("tag", F.lit("").alias("params_key"), "n", "line").unionByName(body.select("tag", "params_key", F.lit(len(head)).alias("n"), "line"))
 
 
-def write_results_csv(rows: DataFrame, path: str, params: list[str], metrics: dict[str, str]) -> None:
+def write_results_csv(rows: DataFrame, path: str, params: list[str], metrics: dict[str, str], decimals: int = 4) -> None:
     """One folder a tag with its document in order; a tag is written by one task."""
-    lines = results_csv_lines(rows, params, metrics)
+    lines = results_csv_lines(rows, params, metrics, decimals)
     lines.repartition("tag").sortWithinPartitions("tag", "n", "params_key").select("tag", "line").write.partitionBy("tag").text(path)
 
 
