@@ -105,6 +105,19 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = 3) -> np.ndarray
     return logp
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The words above a frequency that at most ``most`` words reach: the frequency is read off a histogram of a few
+    hundred steps, so that no task hands on more than its own share of them."""
+    step = F.floor(F.log2(F.greatest("seen", F.lit(1))) * 16).cast("int")
+    counts = {r["step"]: r["n"] for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    least, taken = max(counts, default=0) + 1, 0
+    for at in sorted(counts, reverse=True):
+        if taken + counts[at] > most:
+            break
+        least, taken = at, taken + counts[at]
+    return table.filter(step >= least)
+
+
 def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = None, rounds: int = 3, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score)`` for every row of ``docs``.
 
@@ -133,7 +146,7 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = No
 
     table = staged(_by_batch(words.select("word", "c", "seen"), scored, "word binary, c long, seen long, base double, score double, alone double"), "scored-words")
     # The head's size is bounded: at most ``head`` words of LONGEST_HEAD_WORD bytes.
-    top = table.filter(F.length("word") <= LONGEST_HEAD_WORD).orderBy(F.desc("seen"), "word").limit(head).collect()
+    top = _most_frequent(table.filter(F.length("word") <= LONGEST_HEAD_WORD), head).collect()
     values = np.array([(r["c"] > 0, r["base"], r["score"], r["alone"]) for r in top] + [(0, 0.0, 0.0, 0.0)])
     shared = docs.sparkSession.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, values))
     edge = F.col("word").isNull()
