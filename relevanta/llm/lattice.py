@@ -8,6 +8,7 @@ together; pieces are found by the polynomial hash of a byte range.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,3 +120,9 @@ class Lattice:
                 share = np.exp(ahead[:, start] + logp[piece] + behind[:, end] - whole) * counts[own]
                 out += np.bincount(piece, share, minlength=self.n + 1) if (piece >= 0).all() else np.bincount(np.where(piece < 0, self.n, piece), np.where(piece < 0, 0.0, share), minlength=self.n + 1)
         return out[:-1]
+
+
+@functools.lru_cache(maxsize=2)
+def lattice_of(path: str) -> Lattice:
+    """One lattice per worker process and vocabulary."""
+    return Lattice(load_pieces(path))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relevanta.llm.common import chunks, held_out, staged, texts_of
-from relevanta.llm.lattice import Lattice, load_pieces
+from relevanta.llm.lattice import lattice_of, load_pieces
 
 HEAD = 1 << 17
 #: Distinct words a task holds before it hands on their counts.
@@ -91,7 +91,7 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = 3) -> np.ndarray
         start = logp
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(load_pieces(vocabulary)), np.zeros(n)
+            lattice, total = lattice_of(vocabulary), np.zeros(n)
             for batch in batches:
                 own = batch.column(0).to_pylist()
                 total += lattice.expected_counts(own, np.ones(len(own)), start)
@@ -138,7 +138,7 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = No
 
     def scored(batch: pa.RecordBatch) -> list[pa.Array]:
         c = batch.column(1).to_numpy()
-        pieces = Lattice(load_pieces(vocabulary)).log_probability(batch.column(0).to_pylist(), logp)
+        pieces = lattice_of(vocabulary).log_probability(batch.column(0).to_pylist(), logp)
         whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-12) / max(tokens, 1)), -np.inf)
         lattice = pieces + math.log(rest)
         alone = pieces + math.log1p(-ends / tokens if ends and totals["n"] else -0.5)
