@@ -18,7 +18,7 @@ GOOD, SURE = 0.5, 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier finds good, learned from the labels outside its hold-out."""
-    model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.add_quality(docs, model, score_col="_score").filter(F.col("_score") >= GOOD).drop("_score")
 
 

@@ -64,3 +64,16 @@ def chunks(texts: list, most_chars: int) -> Iterator[tuple[int, int]]:
             i, n = j + 1, 0
     if i < len(texts):
         yield i, len(texts)
+
+
+def sampled(rows: DataFrame, class_col: str, id_col: str, each: int, seed: int) -> DataFrame:
+    """Rows whose id hashes below a bound that keeps about ``2 * each`` rows of every class, or all of a small class.
+
+    Classes are counted first (one row a class reaches the driver), so no task sorts or hands on more than its share.
+    """
+    counts = {r["c"]: r["n"] for r in rows.groupBy(F.col(class_col).alias("c")).agg(F.count("*").alias("n")).collect() if r["c"] is not None}
+    bounds = [F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2.0 * each / n))]
+    if not bounds:
+        return rows.limit(0)
+    u = F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
+    return rows.filter(u <= F.try_element_at(F.create_map(*bounds), F.col(class_col)))

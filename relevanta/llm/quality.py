@@ -5,11 +5,11 @@ matters throughout, each block is compressed with either dictionary and with non
 compressed sizes over the whole text are turned into a probability by logistic regression on labelled rows that the
 dictionaries have not seen.
 
-The model is fitted on the driver from a bounded sample of labelled rows: ``sample_docs`` a label (the smallest hashes of
+The model is fitted on the driver from a bounded sample of labelled rows: ``sample_docs`` a label (by hash of
 the id), ``sample_chars`` of each. Scoring is row by row over whole texts.
 
 Defined results: null and empty texts are scored like any text, as one empty block; a null id counts as the empty text
-in the hold-out rule; a document labelled twice counts twice; without labels of both kinds every score is the share of
+in the hold-out rule; a document labelled twice alike counts once; without labels of both kinds every score is the share of
 good labels (0.5 without any); other columns are passed on by ``add_quality``.
 """
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import held_out
+from relevanta.llm.common import held_out, sampled
 
 BLOCK = 512
 LEVEL = 3
@@ -79,12 +79,17 @@ def _dictionary(texts: list[str], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(labelled: DataFrame, sample_docs: int = 2000, sample_chars: int = 20_000, dictionary_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Model from rows with an id, a text and a label 0 or 1. A third of the sample makes the dictionaries, the rest the weights."""
-    texts: dict[int, list[str]] = {}
-    for label in (0, 1):
-        rows = labelled.filter(F.col(label_col) == label).select(F.substring(F.coalesce(text_col, F.lit("")), 1, sample_chars).alias("text"), F.xxhash64(id_col, F.lit(9)).alias("h"))
-        texts[label] = [r["text"] for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_chars: int = 20_000, dictionary_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Model from documents and their labels 0 or 1. A third of the sample makes the dictionaries, the rest the weights.
+
+    The sample is drawn from ids and labels alone; its ids, some thousands at most, are broadcast to find its texts.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    ids = docs.select(F.col(id_col).alias("_id")).join(known, "_id").select("_id", "_label")
+    drawn = sampled(ids, "_label", "_id", sample_docs, 9).distinct()
+    rows = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(drawn), "_id")
+    found = sorted((r["h"], r["text"], r["_label"]) for r in rows.select("_label", "text", F.xxhash64("_id", F.lit(9)).alias("h")).collect())
+    texts = {k: [t for _, t, label in found if label == k][:sample_docs] for k in (0, 1)}
     if not all(len(t) > 1 for t in texts.values()):
         n, ones = len(texts[0]) + len(texts[1]), len(texts[1])
         share = (ones / n) if n else 0.5
@@ -109,13 +114,12 @@ def add_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", sc
     return docs.withColumn(score_col, score(F.col(text_col)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the hold-out, ``(doc_id, text, quality)``."""
-    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    return docs.select("doc_id", "text").filter(~held_out("doc_id", 3, 1)).join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels outside the hold-out."""
+    return labels.filter(~held_out("doc_id", 3, 1)).select("doc_id", "quality")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's rows."""
-    scored = add_quality(docs.select("doc_id", "text"), fit(training_rows(docs, labels)))
+    scored = add_quality(docs.select("doc_id", "text"), fit(docs, training_labels(labels)))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
