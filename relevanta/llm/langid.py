@@ -13,15 +13,16 @@ language that sorts first; other columns are passed on by ``add_language``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import chunks, held_out
+from relevanta.llm.common import chunks, held_out, sampled
 
 BUCKETS = 1 << 14
 #: ASCII characters other than letters read as spaces.
@@ -57,9 +58,13 @@ def presence(texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 5000, landmarks: int = 96, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Model from rows with a text and a language; the sample of each language is its smallest hashes of the id."""
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.substring(F.coalesce(text_col, F.lit("")), 1, sample_chars).alias("text"), F.xxhash64(id_col, F.lit(6)).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = [(r["lang"], r["text"]) for r in rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).orderBy("lang", "n").collect()]
+    rows = sampled(docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "lang", "_id", sample_docs, 6)
+    rows = rows.select("lang", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), F.xxhash64("_id", F.lit(6)).alias("h"))
+    found, sample, taken = sorted((r["lang"], r["h"], r["text"]) for r in rows.collect()), [], Counter()
+    for lang, _, text in found:
+        taken[lang] += 1
+        if taken[lang] <= sample_docs:
+            sample.append((lang, text))
     sample = [(k, t) for k, t in sample if has_letter(t)]
     languages = tuple(sorted({k for k, _ in sample}))
     if not languages:
