@@ -7,7 +7,7 @@ shuffles both sides by the pair, so that no query is a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevanta.functions import ranking
@@ -27,8 +27,11 @@ def join_judgements(results: DataFrame, judgements: DataFrame) -> DataFrame:
 
 
 def ideal_grades(judgements: DataFrame, top: int = TOP) -> DataFrame:
-    """``(query, known)``: the highest ``top`` grades of each query, descending."""
-    return judgements.groupBy("query").agg(F.slice(F.sort_array(F.collect_list("grade"), asc=False), 1, top).alias("known"))
+    """``(query, known)``: the highest ``top`` grades of each query, descending. Ranks are limited before grades are
+    gathered, so that a query with very many judgements stays small; both steps share one shuffle by query."""
+    best = Window.partitionBy("query").orderBy(F.desc("grade"))
+    kept = judgements.filter("grade is not null").select("query", "grade", F.row_number().over(best).alias("_n")).filter(F.col("_n") <= top)
+    return kept.groupBy("query").agg(F.sort_array(F.collect_list("grade"), asc=False).alias("known"))
 
 
 def judged_lists(results: DataFrame, judgements: DataFrame, keys: list[str], constant: float | None = 0.0, most_missing: float | None = None, top: int = TOP) -> DataFrame:

@@ -33,8 +33,8 @@ def calculate_metrics(lists: DataFrame, metrics: dict[str, Column], keys: list[s
     if failed_col:
         reasons = F.col(failed_col)
         chosen = {n: F.when(F.size(reasons) > 0, ranking.failed_with(reasons)).otherwise(m) for n, m in chosen.items()}
-    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), m["value"].alias("value"), m["reasons"].alias("reasons")) for n, m in chosen.items())))
-    return lists.select(*keys, rows.alias("_m")).select(*keys, "_m.metric", "_m.value", "_m.reasons")
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), m.alias("m")) for n, m in chosen.items())))
+    return lists.select(*keys, rows.alias("_r")).select(*keys, "_r.metric", "_r.m.value", "_r.m.reasons")
 
 
 def compare_sources(results: DataFrame, keys: list[str], source_col: str, left: str, right: str) -> DataFrame:
