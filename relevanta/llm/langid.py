@@ -59,7 +59,7 @@ def presence(texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 5000, landmarks: int = 96, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Model from rows with a text and a language; the sample of each language is its smallest hashes of the id."""
     rows = sampled(docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "lang", "_id", sample_docs, 6)
-    rows = rows.select("lang", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), F.xxhash64("_id", F.lit(6)).alias("h"))
+    rows = rows.select("lang", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), F.xxhash64("_id", F.lit(6)).alias("h")).distinct()
     found, sample, taken = sorted((r["lang"], r["h"], r["text"]) for r in rows.collect()), [], Counter()
     for lang, _, text in found:
         taken[lang] += 1

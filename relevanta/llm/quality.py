@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_char
     ids = docs.select(F.col(id_col).alias("_id")).join(known, "_id").select("_id", "_label")
     drawn = sampled(ids, "_label", "_id", sample_docs, 9).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(drawn), "_id")
-    found = sorted((r["h"], r["text"], r["_label"]) for r in rows.select("_label", "text", F.xxhash64("_id", F.lit(9)).alias("h")).collect())
+    found = sorted((r["h"], r["text"], r["_label"]) for r in rows.select("_label", "text", F.xxhash64("_id", F.lit(9)).alias("h")).distinct().collect())
     texts = {k: [t for _, t, label in found if label == k][:sample_docs] for k in (0, 1)}
     if not all(len(t) > 1 for t in texts.values()):
         n, ones = len(texts[0]) + len(texts[1]), len(texts[1])
