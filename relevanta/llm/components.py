@@ -15,9 +15,9 @@ def _least(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of all nodes of ``links(u, v)``; a component is named by its smallest node.
 
-    Each round joins links with the smallest neighbour of each node (a combined aggregate, so a node with very many links
-    is one row there, and the join's own side can be split), and is written out. Rounds grow with the logarithm of the
-    longest chain.
+    Each round joins links with the smallest neighbour of each node and is written out. The neighbours are written before
+    the join, so that both of its sides are plain shuffles and Spark can split the links of a node that has very many.
+    Rounds grow with the logarithm of the longest chain.
     """
     edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "links")
     before = None
@@ -27,9 +27,9 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = _least(large)
+        near = staged(_least(both).select("u", F.least("u", "m").alias("m")), "near")
+        large = staged(both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
+        least = staged(_least(large), "least")
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small.distinct(), "links")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
