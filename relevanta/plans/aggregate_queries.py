@@ -93,6 +93,11 @@ def weight_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agg.aggregate_metrics(rows, ["tag", "metric"], F.col("weight")))
 
 
+@register(f"WITH {METRIC_ROWS} {_agg_sql('tag, metric', '4.0')}")
+def weight_constant(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(agg.aggregate_metrics(t.metric_rows(spark, d), ["tag", "metric"], F.lit(4.0)))
+
+
 @register(f"WITH {METRIC_ROWS}, x AS (SELECT * REPLACE (2.5 AS weight) FROM m) {_agg_sql('tag, metric', 'weight', 'x')}")
 def apply_weight(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agg.apply_weight(agg.aggregate_metrics(t.metric_rows(spark, d), ["tag", "metric"]), F.lit(2.5)))

@@ -103,6 +103,22 @@ def ordered_union(spark: SparkSession, d: str) -> DataFrame:
     return grid.ordered_union([tables["brand"], tables["type"]])
 
 
+@register(f"WITH {_GRID} SELECT idx, upper(brand) || ':' || length(type) AS mapped FROM g")
+def grid_map(spark: SparkSession, d: str) -> DataFrame:
+    return grid.table_grid(_tables(spark, d)).select("idx", F.concat(F.upper("brand"), F.lit(":"), F.length("type").cast("string")).alias("mapped"))
+
+
+@register(f"""WITH {_v('b', 'part', 'p_brand')}, {_v('s', 'customer', 'c_mktsegment')}, {_v('p', 'orders', 'o_orderpriority')}
+    SELECT b.pos + (SELECT count(*) FROM b) * (s.pos + (SELECT count(*) FROM s) * p.pos) AS idx, '/search?brand=' || replace(replace(b.value, ' ', '+'), '#', '%23') AS url, 'segment=' || s.value AS header, '{{"priority":"' || p.value || '"}}' AS body FROM b, s, p""")
+def request_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """A parameter, a header and a body dimension, each on its own axis of the grid."""
+    dims = {"brand": _values(spark, d, "part", "p_brand"), "segment": _values(spark, d, "customer", "c_mktsegment"), "priority": _values(spark, d, "orders", "o_orderpriority")}
+    params = F.create_map(F.lit("brand"), F.array("brand"))
+    rows = requests.build_requests(grid.table_grid(dims), F.lit("search"), params, headers=F.create_map(F.lit("segment"), F.col("segment")), body=F.to_json(F.struct("priority")))
+    header = F.array_join(F.transform(F.map_entries("request_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return rows.select("idx", "url", header.alias("header"), F.col("request_body").alias("body"))
+
+
 @register(f"WITH {_GRID}, x AS (SELECT brand, type, min(idx) AS first_at FROM g GROUP BY ALL) SELECT row_number() OVER (ORDER BY first_at) - 1 AS idx, brand, type FROM x")
 def grid_add_remove(spark: SparkSession, d: str) -> DataFrame:
     return grid.remove_param(grid.table_grid(_tables(spark, d)), "priority", ["brand", "type"])
