@@ -77,3 +77,35 @@ def sampled(rows: DataFrame, class_col: str, id_col: str, each: int, seed: int)
         return rows.limit(0)
     u = F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
     return rows.filter(u <= F.try_element_at(F.create_map(*bounds), F.col(class_col)))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first ``keys`` columns (integers without nulls), over the ends of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(keys)], 1)
+        if held and (own[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        bounds = np.r_[0, np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1, len(own)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < len(own):
+                yield pa.Table.from_batches(held)
+                held = []
+        last = own[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(rows: DataFrame, key_col: str, size_col: str, node_col: str, block: int) -> DataFrame:
+    """``rows`` in groups ``(key_col, _i, _j)`` of two blocks, of at most about ``2 * block`` rows: any two rows of a key meet in some group."""
+    blocks = F.ceil(F.col(size_col) / block).cast("int")
+    rows = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(node_col), F.col("_blocks")).cast("int"))
+    # two blocks together hold the pairs within each of them
+    others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: (x != F.col("_own")) | (F.col("_blocks") == 1))
+    rows = rows.withColumn("_other", F.explode(others))
+    return rows.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")

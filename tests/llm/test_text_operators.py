@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files
 from relevanta.llm.lattice import Lattice, load_pieces
@@ -253,6 +254,25 @@ def test_near_duplicates(spark, odd, empty):
     assert near_dup.near_duplicates(empty).collect() == []
 
 
+def changed(rng, own: list, edits: int) -> list:
+    near = list(own)
+    for i in rng.sample(range(len(own)), edits):
+        near[i] = f"changed{rng.random()}"
+    return near
+
+
+def test_large_bucket_is_compared_completely(spark, monkeypatch):
+    sketch = near_dup.sketch_documents
+    one = lambda *args: sketch(*args).withColumn("sketches", F.array(F.lit(7).cast("long"))).withColumn("short_sketches", F.array().cast("array<long>"))
+    monkeypatch.setattr(near_dup, "sketch_documents", one)  # all texts meet in one bucket
+    monkeypatch.setattr(near_dup, "BLOCK", 16, raising=False)  # several blocks
+    rng = random.Random(4)
+    own = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(60)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(own)] + [(100 + i, " ".join(changed(rng, own[i], 9))) for i in range(30, 60)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+
+
 def test_banded_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
