@@ -273,6 +273,26 @@ def test_large_bucket_is_compared_completely(spark, monkeypatch):
     assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
 
 
+def test_alike_texts_meet_in_a_sketch(spark):
+    rng, rows, lengths = random.Random(6), [], (5, 10, 15, 20, 30, 38, 40, 45, 49, 50, 60, 100, 200, 500)
+    kinds = [(n, s, i) for n in lengths for s in (0.8, 0.82, 0.85, 0.9) for i in range(120)]
+    for at, (n, s, i) in enumerate(kinds):
+        own = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        edits = int((1 - s) * n + 1e-9)
+        near = changed(rng, own, edits)
+        if i % 3 == 0:  # words taken out
+            near = [x for x in near if not x.startswith("changed")]
+        if i % 3 == 1 and edits:  # as far from one another as they can be
+            near = [f"c{rng.random()}" if j % (n // edits) == 2 and j // (n // edits) < edits else x for j, x in enumerate(own)]
+        assert near_dup.alike(own, near, 0.8)
+        rows += [(2 * at, " ".join(own)), (2 * at + 1, " ".join(near))]
+    got = near_dup.sketch_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.concat("sketches", "short_sketches").alias("keys")).collect()
+    keys = {r.doc_id: set(r.keys) for r in got}
+    for n in lengths:
+        own = [at for at, kind in enumerate(kinds) if kind[0] == n]
+        assert np.mean([bool(keys[2 * at] & keys[2 * at + 1]) for at in own]) >= 0.99, n
+
+
 def test_banded_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
