@@ -51,6 +51,25 @@ def test_large_group_of_near_vectors(spark, monkeypatch):
     assert {rows[i].component_id for i in range(400)} == {0} and {rows[i].n_links for i in range(400)} == {399}
 
 
+def test_large_bucket_with_few_true_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 128)  # several blocks
+    monkeypatch.setattr(vectors, "SMALL", 2)
+    rng, dim, n = np.random.default_rng(8), 192, 600
+    centre, own = np.ones(dim) / np.sqrt(dim), rng.standard_normal((n, dim)) / np.sqrt(dim)
+    own[500:] = own[200:300] + 0.9 * rng.standard_normal((100, dim)) / np.sqrt(dim)
+    x = (centre + 0.42 * own).astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    label = np.arange(n)
+    for _ in range(n):
+        label = np.array([label[row].min() for row in link])
+    assert 80 <= (link.sum() - n) / 2 <= 400
+    rows = {r.vec_id: r for r in vectors.near_duplicate_vectors(frame(spark, x)).collect()}
+    assert sum(rows[i].n_links for i in range(n)) >= 0.97 * (link.sum() - n)
+    assert np.mean([rows[i].component_id == label[i] for i in range(n)]) >= 0.97
+
+
 def test_nearest_neighbours(spark):
     x = cloud(2, 1500)
     table = frame(spark, x)
