@@ -30,18 +30,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates; documents without an id all stay."""
-    kept = near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return once.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each class of near-duplicates. A document without an id stands under a digest of its text, above
+    the ids in use, so that it stays only where no document with an id is in its class."""
+    digest = F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), digest))
+    kept = near_dup.near_duplicates(named, id_col="_id").filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    first = Window.partitionBy("_id").orderBy("text", F.col("source").asc_nulls_last(), "lang")
+    once = named.join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return once.select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, range-sorted by training position. Rows alike in id (or, without
-    one, in text) share what is taken of them evenly, rounded down."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
-    keyed = docs.withColumn("_key", key)
+    """Every document as often as the mix takes it, range-sorted by training position. Rows without an id are mixed one by
+    one, under their text and a number; rows alike in id (the stage before leaves one) share what is taken of them evenly."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    alike = Window.partitionBy(text).orderBy("source", *(c for c in docs.columns if c not in ("doc_id", "source", "text")))
+    named = docs.filter("doc_id is not null").withColumn("_key", F.col("doc_id").cast("string"))
+    keyed = named.unionByName(docs.filter("doc_id is null").withColumn("_key", F.concat_ws(" ", F.lit("text"), text, F.row_number().over(alike))))
     mixed = mixing.mix(keyed, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.flatten(F.collect_list("positions")).alias("_all"), F.count("*").cast("int").alias("_rows"))
     taken = mixed.select("_key", F.slice("_all", F.lit(1), F.floor(F.size("_all") / F.col("_rows")).cast("int")).alias("_positions"))
     rows = keyed.join(taken, "_key").withColumn("_position", F.explode("_positions"))

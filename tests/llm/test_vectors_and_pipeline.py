@@ -101,6 +101,20 @@ def test_forest_finds_longest_prefix_first():
         assert all(r in found for r in range(200) if depth[r] > worst)
 
 
+def test_pipeline_rows_without_id(spark):
+    texts = [" ".join(f"w{i}_{j}" for j in range(50)) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts[:4])] + [(None, texts[0], "en", "s1", 1)] + [(None, texts[5], "en", f"s{i}", 1) for i in (0, 1, 1)]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, schema), "").collect()]
+    assert sorted(kept, key=str) == sorted([*enumerate(texts[:4]), (None, texts[5])], key=str)
+    rows = [(None, texts[i // 3], "en", f"s{i % 2}", 1) for i in range(18)]
+    docs = spark.createDataFrame(rows, schema)
+    words = {r["source"]: r["target"] for r in corpus_pipeline.mixing.mix(docs).select("source", "target").distinct().collect()}
+    taken = [(r.source, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()]
+    assert set(taken) == {(r[3], r[1]) for r in rows}
+    assert all(sum(s == source for s, _ in taken) == words[source] // 50 for source in words)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(1)
     parts = {"en": ["an", "th", "er", "ing", "on"], "de": ["zu", "sch", "ü", "keit", "ver"]}
