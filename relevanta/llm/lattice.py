@@ -1,8 +1,8 @@
 """Subword lattice of byte strings under a unigram vocabulary, for many words at once.
 
 The probability of a word is the sum over all its segmentations into vocabulary pieces of the product of the pieces'
-probabilities. Forward (and for training backward) sums run in log space over byte positions, for all words of a length
-together; pieces are found by the polynomial hash of a byte range.
+probabilities, which are the vocabulary's own: a piece's rank is its score. Forward sums run in log space over byte
+positions, for all words of a length together; pieces are found by the polynomial hash of a byte range.
 """
 
 from __future__ import annotations
@@ -18,17 +18,25 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 CELLS = 400_000
 
 
-def load_pieces(path: str, longest: int = 16) -> list[bytes]:
-    """Pieces of a byte-level vocabulary in rank order that a lower-cased word can hold: white space at most as one
-    leading blank, no A-Z, at most ``longest`` bytes. All single bytes that can stand in a word are among them."""
-    out = []
+#: Rank r of the vocabulary has a probability in proportion to 1 / (r + RANK_SHIFT).
+RANK_SHIFT = 10.0
+
+
+def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
+    """Pieces of a byte-level vocabulary in rank order that a lower-cased word can hold (white space at most as one
+    leading blank, no A-Z), and the natural logs of their probabilities, which sum to 1. All single bytes that can stand
+    in a word are among them."""
+    pieces, ranks = [], []
     with open(path, "rb") as f:
         for line in f:
-            piece = base64.b64decode(line.split()[0])
+            code, rank = line.split()
+            piece = base64.b64decode(code)
             body = piece[1:] if piece[:1] == b" " else piece
-            if len(piece) <= longest and piece == piece.lower() and not any(b in b" \t\n\v\f\r" for b in body) and (body or piece == b" "):
-                out.append(piece)
-    return out
+            if piece == piece.lower() and not any(b in b" \t\n\v\f\r" for b in body) and (body or piece == b" "):
+                pieces.append(piece)
+                ranks.append(int(rank))
+    p = 1.0 / (np.array(ranks) + RANK_SHIFT)
+    return pieces, np.log(p / p.sum())
 
 
 def _powers(n: int) -> np.ndarray:
@@ -48,8 +56,8 @@ def _prefix_hashes(words: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    def __init__(self, pieces: list[bytes]):
-        self.n, self.longest = len(pieces), max(map(len, pieces))
+    def __init__(self, pieces: list[bytes], logp: np.ndarray):
+        self.longest, self.logp = max(map(len, pieces)), np.append(logp, -np.inf)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by_length.setdefault(len(p), []).append(i)
@@ -74,16 +82,16 @@ class Lattice:
         return out
 
     @staticmethod
-    def _sums(n: int, width: int, edges: list[tuple[int, int, np.ndarray]], logp: np.ndarray, backward: bool) -> np.ndarray:
-        """Log sums over all paths to each position (from it, if ``backward``). ``logp`` ends with -inf for no piece."""
+    def _sums(n: int, width: int, edges: list[tuple[int, int, np.ndarray]], logp: np.ndarray) -> np.ndarray:
+        """Log sums over all paths to each position. ``logp`` ends with -inf for no piece."""
         total = np.full((n, width + 1), -np.inf)
-        total[:, width if backward else 0] = 0.0
+        total[:, 0] = 0.0
         into: dict[int, list[tuple[int, np.ndarray]]] = {}
         for start, end, piece in edges:
-            into.setdefault(start if backward else end, []).append((end if backward else start, piece))
-        for at in range(width - 1, -1, -1) if backward else range(1, width + 1):
+            into.setdefault(end, []).append((start, piece))
+        for at in range(1, width + 1):
             if near := into.get(at):
-                terms = np.stack([total[:, other] + logp[piece] for other, piece in near])
+                terms = np.stack([total[:, start] + logp[piece] for start, piece in near])
                 top = terms.max(0)
                 base = np.where(np.isfinite(top), top, 0.0)
                 with np.errstate(divide="ignore"):
@@ -102,27 +110,17 @@ class Lattice:
                 part = own[i : i + step]
                 yield part, np.frombuffer(b"".join(b" " + words[k] for k in part), np.uint8).reshape(len(part), width)
 
-    def log_probability(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
-        """Natural log of the marginal probability of each word, its leading blank included."""
-        logp, out = np.append(logp, -np.inf), np.zeros(len(words))
-        for own, block in self._batches(words):
-            out[own] = self._sums(*block.shape, self._edges(block), logp, False)[:, -1]
-        return out
-
-    def expected_counts(self, words: list[bytes], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Expected number of each piece over all segmentations of the words, each word ``counts`` times."""
-        logp, out = np.append(logp, -np.inf), np.zeros(self.n + 1)
+    def log_probability(self, words: list[bytes], whole: np.ndarray | None = None, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of each word's marginal probability, its leading blank included: over segmentations into pieces
+        alone, and over these and one more arc that spans the word. ``whole`` weighs that arc (-inf for none), ``rest``
+        every other path."""
+        pieces = np.zeros(len(words))
         for own, block in self._batches(words):
-            edges = self._edges(block)
-            ahead, behind = (self._sums(*block.shape, edges, logp, back) for back in (False, True))
-            whole = ahead[:, -1]
-            for start, end, piece in edges:
-                share = np.exp(ahead[:, start] + logp[piece] + behind[:, end] - whole) * counts[own]
-                out += np.bincount(piece, share, minlength=self.n + 1) if (piece >= 0).all() else np.bincount(np.where(piece < 0, self.n, piece), np.where(piece < 0, 0.0, share), minlength=self.n + 1)
-        return out[:-1]
+            pieces[own] = self._sums(*block.shape, self._edges(block), self.logp)[:, -1]
+        return pieces, pieces + rest if whole is None else np.logaddexp(whole, pieces + rest)
 
 
 @functools.lru_cache(maxsize=2)
 def lattice_of(path: str) -> Lattice:
     """One lattice per worker process and vocabulary."""
-    return Lattice(load_pieces(path))
+    return Lattice(*load_pieces(path))

@@ -1,10 +1,10 @@
 """Log-probability of whole documents under a subword lattice.
 
 A text is its white-space words, A-Z in lower case, and one end. A word's probability is the sum over all its
-segmentations: into pieces of an existing byte-level subword vocabulary, whose scores are estimated by expectation
-maximisation over the training words, or as one whole word that the training text has. Whole words share the mass that
-absolute discounting leaves them, the pieces get the rest, so every byte string has a probability and all of them sum to
-one. The sum is computed by a forward recursion in log space, once for each distinct word of the corpus.
+segmentations: into pieces of an existing byte-level subword vocabulary, each with the vocabulary's own score, or along
+one more arc that spans the word if the training text has it. Whole words share the mass that absolute discounting leaves
+them, the pieces get the rest, so every byte string has a probability and all of them sum to one. The sum is computed by
+one forward recursion in log space, once for each distinct word of the corpus.
 
 Word counts are one distributed table over all documents. The scores of its ``head`` most frequent words (each at most 64
 bytes long) are broadcast, a bound that doesn't grow with the input; all other words of a document meet the table in an
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relevanta.llm.common import chunks, held_out, staged, texts_of
-from relevanta.llm.lattice import lattice_of, load_pieces
+from relevanta.llm.lattice import lattice_of
 
 HEAD = 1 << 17
 #: Distinct words a task holds before it hands on their counts.
@@ -39,7 +39,7 @@ LONGEST_HEAD_WORD = 64
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -80,31 +80,6 @@ def _by_batch(words: DataFrame, make, schema: str) -> DataFrame:
     return words.mapInArrow(run, schema)
 
 
-def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = 3) -> np.ndarray:
-    """Log-probabilities of the vocabulary's pieces. Each training word type counts once: the pieces stand in for words
-    that are rare or new. A row a piece and task is summed up; at most the vocabulary reaches the driver."""
-    n = len(load_pieces(vocabulary))
-    p = 1.0 / (np.arange(n) + 10.0)
-    logp = np.log(p / p.sum())
-    known = words.filter("c > 0").select("word")
-    for _ in range(rounds):
-        start = logp
-
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            lattice, total = lattice_of(vocabulary), np.zeros(n)
-            for batch in batches:
-                own = batch.column(0).to_pylist()
-                total += lattice.expected_counts(own, np.ones(len(own)), start)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "n"])
-
-        expected = np.full(n, 0.1)
-        for row in known.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-            expected[row["piece"]] += row["n"]
-        logp = np.log(expected / expected.sum())
-    return logp
-
-
 def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     """The words above a frequency that at most ``most`` words reach: the frequency is read off a histogram of a few
     hundred steps, so that no task hands on more than its own share of them."""
@@ -118,11 +93,11 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     return table.filter(step >= least)
 
 
-def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = None, rounds: int = 3, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = None, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score)`` for every row of ``docs``.
 
-    ``train_col`` is true for the rows to learn from. ``base_score`` is the add-one unigram log10 probability;
-    ``lattice_score`` leaves the whole words out and is the subword lattice alone.
+    ``train_col`` is true for the rows to learn from. ``base_score`` is the add-one unigram log10 probability, ``score``
+    the marginal over all paths; ``lattice_score`` leaves the whole words out and is the subword lattice alone.
     """
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(train_col).alias("train"))
@@ -130,19 +105,17 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = No
     ends = docs.filter("train").count()
     totals = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     tokens, types = totals["n"] + ends, totals["v"] + (ends > 0)
-    discount = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
+    discount = min(0.95, totals["n1"] / (totals["n1"] + 2 * totals["n2"])) if totals["n1"] else 0.5
     rest = discount * totals["v"] / tokens if totals["n"] else 0.5
-    logp = fit_pieces(words, vocabulary, rounds)
     base_of = math.log10(tokens + types + 1)
     end_scores = (math.log10(ends + 1) - base_of, math.log10(ends / tokens) if ends and totals["n"] else math.log10(0.5), math.log10(ends / tokens) if ends and totals["n"] else math.log10(0.5))
 
     def scored(batch: pa.RecordBatch) -> list[pa.Array]:
         c = batch.column(1).to_numpy()
-        pieces = lattice_of(vocabulary).log_probability(batch.column(0).to_pylist(), logp)
-        whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-12) / max(tokens, 1)), -np.inf)
-        lattice = pieces + math.log(rest)
+        whole = np.where(c > 0, np.log(np.maximum(c - discount, 0.05) / max(tokens, 1)), -np.inf)
+        pieces, marginal = lattice_of(vocabulary).log_probability(batch.column(0).to_pylist(), whole, math.log(rest))
         alone = pieces + math.log1p(-ends / tokens if ends and totals["n"] else -0.5)
-        return [batch.column(0), batch.column(1), batch.column(2), pa.array(np.log10(c + 1.0) - base_of), pa.array(np.logaddexp(whole, lattice) / math.log(10)), pa.array(alone / math.log(10))]
+        return [batch.column(0), batch.column(1), batch.column(2), pa.array(np.log10(c + 1.0) - base_of), pa.array(marginal / math.log(10)), pa.array(alone / math.log(10))]
 
     table = staged(_by_batch(words.select("word", "c", "seen"), scored, "word binary, c long, seen long, base double, score double, alone double"), "scored-words")
     # The head's size is bounded: at most ``head`` words of LONGEST_HEAD_WORD bytes.

@@ -177,22 +177,49 @@ def test_scoring_counts(odd, empty):
     assert scoring.scoring_report(empty).collect() == []
 
 
+def brute(word: bytes, known: dict) -> float:
+    at = [0.0] + [-math.inf] * len(word)
+    for i in range(1, len(word) + 1):
+        at[i] = np.logaddexp.reduce([at[j] + known[word[j:i]] for j in range(i) if word[j:i] in known] or [-math.inf])
+    return at[-1]
+
+
 def test_lattice_against_brute_force():
-    pieces = load_pieces(scoring.default_vocabulary())
-    logp = np.log(np.random.default_rng(0).dirichlet(np.ones(len(pieces))))
-    known = {p: logp[i] for i, p in enumerate(pieces)}
-
-    def brute(word: bytes) -> float:
-        at = [0.0] + [-math.inf] * len(word)
-        for i in range(1, len(word) + 1):
-            at[i] = np.logaddexp.reduce([at[j] + known[word[j:i]] for j in range(i) if word[j:i] in known] or [-math.inf])
-        return at[-1]
-
-    words = [w.encode() for w in ["there", "é", "thandion", "x" * 40, "漢字😀", "a"]]
-    lattice = Lattice(pieces)
-    assert lattice.log_probability(words, logp) == pytest.approx([brute(b" " + w) for w in words])
-    counts = lattice.expected_counts(words, np.ones(len(words)), logp)
-    assert sum(n * len(p) for n, p in zip(counts, pieces, strict=True)) == pytest.approx(sum(len(w) + 1 for w in words))
+    pieces, logp = load_pieces(scoring.default_vocabulary())
+    known = dict(zip(pieces, logp, strict=True))
+    words = [w.encode() for w in ["there", "é", "thandion", "x" * 40, "漢字😀", "a", "responsibilities"]]
+    whole = np.array([-3.0, -math.inf, -40.0, -math.inf, -2.0, -math.inf, -9.0])
+    alone, marginal = Lattice(pieces, logp).log_probability(words, whole, -0.7)
+    want = [brute(b" " + w, known) for w in words]
+    assert alone == pytest.approx(want) and np.exp(logp).sum() == pytest.approx(1)
+    assert marginal == pytest.approx(np.logaddexp(whole, np.array(want) - 0.7))
+
+
+def test_scores_against_brute_force(odd):
+    known = dict(zip(*load_pieces(scoring.default_vocabulary()), strict=True))
+    raw = odd.collect()
+    learn = [zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2 for r in raw]
+    train = Counter(w for r, own in zip(raw, learn, strict=True) if own for w in (r.text or "").encode().lower().split())
+    n, ends = sum(train.values()) + sum(learn), sum(learn)
+    by_count = Counter(train.values())
+    discount = min(0.95, by_count[1] / (by_count[1] + 2 * by_count[2]))
+
+    def score(word: bytes) -> float:
+        whole = math.log((train[word] - discount) / n) if train[word] else -math.inf
+        return np.logaddexp(whole, brute(b" " + word, known) + math.log(discount * len(train) / n)) / math.log(10)
+
+    want = Counter()
+    memo: dict = {}
+    for r in raw:
+        total = math.log10(ends / n)
+        for w in (r.text or "").encode().lower().split():
+            if w not in memo:
+                memo[w] = score(w)
+            total += memo[w]
+        want[r.doc_id, round(total, 3)] += 1
+    assert Counter((r.doc_id, round(r.score, 3)) for r in scoring.scoring_report(odd).collect()) == want
+    # all mass: whole words, the end, and what the pieces share
+    assert sum((c - discount) / n for c in train.values()) + ends / n + discount * len(train) / n == pytest.approx(1)
 
 
 def test_language(spark, odd, empty):
