@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One token of the contracts: a run of anything but ASCII white space.
@@ -16,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, one of our own if driver and
+    executors are one process (tests); on a cluster it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -66,19 +69,29 @@ def chunks(texts: list, most_chars: int) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
-def sampled(rows: DataFrame, class_col: str, id_col: str, each: int, seed: int) -> DataFrame:
-    """Rows whose id hashes below a bound that keeps about ``2 * each`` rows of every class, or all of a small class.
+def sampled(rows: DataFrame, class_col: str, keys: list[str], each: int, seed: int) -> DataFrame:
+    """``rows`` with ``_h``, a hash of ``keys``, those whose hash is below a bound that keeps about ``2 * each`` different
+    ones of every class, or all of a small class. ``first_of_each`` then takes ``each`` of them exactly.
 
-    Classes are counted first (one row a class reaches the driver), so no task sorts or hands on more than its share.
+    The different hashes of each class are counted first by a sketch (one row a class reaches the driver), so rows that
+    repeat neither crowd out others nor come in numbers: no task sorts or hands on more than its share.
     """
-    counts = {r["c"]: r["n"] for r in rows.groupBy(F.col(class_col).alias("c")).agg(F.count("*").alias("n")).collect() if r["c"] is not None}
-    bounds = [F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2.0 * each / n))]
+    rows = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    counts = {r["c"]: r["n"] for r in rows.groupBy(F.col(class_col).alias("c")).agg(F.approx_count_distinct("_h").alias("n")).collect() if r["c"] is not None}
+    bounds = [F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2.0 * each / max(n, 1)))]
     if not bounds:
         return rows.limit(0)
-    u = F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
+    u = F.col("_h").cast("double") / F.lit(2.0**64) + 0.5
     return rows.filter(u <= F.try_element_at(F.create_map(*bounds), F.col(class_col)))
 
 
+def first_of_each(rows: DataFrame, class_col: str, each: int) -> DataFrame:
+    """Of what ``sampled`` gave the ``each`` rows of every class with the smallest different hashes, with their ``_rank``
+    from 1. Other columns than the class are those of any of the rows with that hash."""
+    rows = rows.dropDuplicates([class_col, "_h"])
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(class_col).orderBy("_h"))).filter(F.col("_rank") <= each)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The rows of each run of equal values in the first ``keys`` columns (integers without nulls), over the ends of batches."""
     held: list[pa.RecordBatch] = []

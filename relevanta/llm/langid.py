@@ -2,18 +2,19 @@
 
 The kernel of two texts is the number of byte n-grams (1 to 3, blended, hashed) present in both over the root of the
 product of their own numbers. A Nyström map through a few landmark texts of each language makes it a vector, and
-one-versus-rest kernel ridge regression is fitted on a bounded sample: ``sample_docs`` documents a language, the first
-``sample_chars`` characters of each. Any text is then scored by two matrix products, batch by batch.
+one-versus-rest kernel ridge regression is fitted on a bounded sample of ``sample_docs`` documents a language, of which the
+presence bits of whole texts (BUCKETS bits each) reach the driver. Any text is then scored by two matrix products, batch
+by batch.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a null id counts as the empty text in the
-hold-out rule; rows without ``lang`` are not learned from; without any learned language all is ``und``; ties go to the
-language that sorts first; other columns are passed on by ``add_language``.
+hold-out rule; the sample goes by hash of id and text, so rows without an id are sampled like others and rows that repeat
+count once; rows without ``lang`` are not learned from; without any learned language all is ``und``; ties go to the
+language that sorts first; an empty table gives no rows; other columns are passed on by ``add_language``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from relevanta.llm.common import chunks, held_out, sampled
+from relevanta.llm.common import chunks, first_of_each, held_out, sampled
 
 BUCKETS = 1 << 14
 #: ASCII characters other than letters read as spaces.
@@ -40,8 +42,8 @@ class LanguageModel:
     bias: np.ndarray
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """One row a text: which n-gram buckets occur, scaled to length 1."""
+def bits(texts: list[str]) -> np.ndarray:
+    """One row a text: which n-gram buckets occur."""
     raw = [b" " + t.lower().encode().translate(_PLAIN) + b" " for t in texts]
     data, sizes = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32), np.array([len(r) for r in raw], np.int64)
     row, out = np.repeat(np.arange(len(raw)) * BUCKETS, sizes), np.zeros(len(raw) * BUCKETS, bool)
@@ -52,25 +54,36 @@ def presence(texts: list[str]) -> np.ndarray:
         bucket = (gram * np.uint32(2654435761)) >> np.uint32(18)
         own = ends[: len(gram)] >= n
         out[row[: len(gram)][own] + bucket[own]] = True
-    x = out.reshape(len(raw), BUCKETS).astype(np.float32)
+    return out.reshape(len(raw), BUCKETS)
+
+
+def scaled(present: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
+    x = present.astype(np.float32)
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
-def fit(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 5000, landmarks: int = 96, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Model from rows with a text and a language; the sample of each language is its smallest hashes of the id."""
-    rows = sampled(docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "lang", "_id", sample_docs, 6)
-    rows = rows.select("lang", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), F.xxhash64("_id", F.lit(6)).alias("h")).distinct()
-    found, sample, taken = sorted((r["lang"], r["h"], r["text"]) for r in rows.collect()), [], Counter()
-    for lang, _, text in found:
-        taken[lang] += 1
-        if taken[lang] <= sample_docs:
-            sample.append((lang, text))
-    sample = [(k, t) for k, t in sample if has_letter(t)]
-    languages = tuple(sorted({k for k, _ in sample}))
+def presence(texts: list[str]) -> np.ndarray:
+    return scaled(bits(texts))
+
+
+@F.pandas_udf(BinaryType())
+def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Presence bits of each whole text, null where it has no letter."""
+    for texts in batches:
+        yield pd.Series([np.packbits(bits([t])[0]).tobytes() if has_letter(t) else None for t in texts], dtype=object)
+
+
+def fit(docs: DataFrame, sample_docs: int = 400, landmarks: int = 96, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Model from rows with a text and a language; the sample of each language is its ``sample_docs`` smallest hashes."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = sampled(rows, "lang", ["_id", "text"], sample_docs, 6).select("lang", "_h", _packed(F.col("text")).alias("bits")).filter(F.col("bits").isNotNull())
+    sample = sorted((r["lang"], r["_rank"], bytes(r["bits"])) for r in first_of_each(rows, "lang", sample_docs).collect())
+    languages = tuple(sorted({k for k, _, _ in sample}))
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    x = np.concatenate([presence([t for _, t in sample[i : i + ROWS]]) for i in range(0, len(sample), ROWS)])
-    y = np.array([[1.0 if k == lang else 0.0 for lang in languages] for k, _ in sample])
+    x = scaled(np.unpackbits(np.frombuffer(b"".join(b for _, _, b in sample), np.uint8).reshape(len(sample), -1), axis=1))
+    y = np.array([[1.0 if k == lang else 0.0 for lang in languages] for k, _, _ in sample])
     each = max(1, landmarks // len(languages))
     chosen = [i for c in range(len(languages)) for i in np.flatnonzero(y[:, c])[:each]]
     z = x[chosen]

@@ -10,7 +10,8 @@ rows need; only one row a cell is summed up per source. In the one cell of each
 documents are tried longest first, so that little of the target stays open.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are taken 0
-times; repeated rows are mixed one by one; an empty table gives no rows; other columns are ignored.
+times; the order goes by hash of id and text, so rows without an id stand all over their source; rows alike in both are
+mixed one by one, in one cell; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,15 +74,17 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: ``doc_id, source, size, source_size, target, repeats, taken, positions``.
+    """One row a document: ``row, doc_id, source, size, source_size, target, repeats, taken, positions``.
 
-    Size is the number of words. ``repeats`` is how often the mix takes the document, ``taken`` its words with repeats and
+    ``row`` numbers the rows. Size is the number of words. ``repeats`` is how often the mix takes the document, ``taken`` its words with repeats and
     ``positions`` the training time of each repeat.
     """
     source = F.col(source_col).cast("string")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("_key"), size.alias("size"))
-    sized = staged(sized.withColumn("_u", F.xxhash64(F.col("doc_id"), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5), "sized")
+    sized = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("_key"), size.alias("size"), F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("row"))
+    # documents of size 0 are never taken: wherever they stand, the mix is the same
+    u = F.xxhash64("doc_id", "_h", F.when(F.col("size") == 0, F.col("row")), F.lit(seed))
+    sized = staged(sized.withColumn("_u", u.cast("double") / F.lit(2.0**64) + 0.5).drop("_h"), "sized")
     cells = max(1, -(-sized.count() // CELL_ROWS))
     sized = sized.withColumn("_cell", F.least(F.floor(F.col("_u") * cells), F.lit(cells - 1)).cast("long"))
 
@@ -114,16 +117,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
     none = F.array().cast("array<double>")
     rows = rows.withColumn("positions", F.when(F.col("repeats") > 0, F.transform(F.sequence(F.lit(0), F.col("repeats") - 1), position)).otherwise(none))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "repeats", "taken", "positions")
+    return rows.select("row", "doc_id", "source", "size", "source_size", "target", "repeats", "taken", "positions")
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
     """One row a taken repeat, range-sorted by training position."""
-    order = ["position", "source", "doc_id"]
-    return mixed.select("doc_id", "source", "size", F.posexplode("positions").alias("repeat", "position")).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["position", "source", "doc_id", "row"]
+    return mixed.select("row", "doc_id", "source", "size", F.posexplode("positions").alias("repeat", "position")).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
-    """The contract's rows."""
-    rows = mix(docs)
-    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    """The contract's rows: what the written curriculum takes of each document."""
+    mixed = staged(mix(docs), "mixed")
+    taken = staged(curriculum(mixed), "curriculum").groupBy("row").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    rows = mixed.select("row", "doc_id", "size", "source_size", "target").join(taken, "row", "left")
+    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position")

@@ -1,16 +1,18 @@
 """Quality classifier by compression.
 
-A Zstandard dictionary is trained on good and one on bad labelled text. A text is cut into blocks so that the dictionary
-matters throughout, each block is compressed with either dictionary and with none, and the normalised differences of the
-compressed sizes over the whole text are turned into a probability by logistic regression on labelled rows that the
-dictionaries have not seen.
+A Zstandard dictionary is trained on good and one on bad labelled text. A text is cut into blocks, so that the dictionary
+matters throughout, and each block is compressed with either dictionary. The normalised difference of the two compressed
+sizes of the whole text, and the two sizes over the text's own, are turned into a probability by logistic regression on
+labelled rows that the dictionaries have not seen.
 
-The model is fitted on the driver from a bounded sample of labelled rows: ``sample_docs`` a label (by hash of
-the id), ``sample_chars`` of each. Scoring is row by row over whole texts.
+The model is fitted from a bounded sample of labelled rows, ``sample_docs`` a label, by hash of id and text: for the
+dictionaries ``sample_blocks`` blocks from all over each text reach the driver, for the regression only the features of
+whole texts. Scoring is row by row over whole texts.
 
 Defined results: null and empty texts are scored like any text, as one empty block; a null id counts as the empty text
-in the hold-out rule; a document labelled twice alike counts once; without labels of both kinds every score is the share of
-good labels (0.5 without any); other columns are passed on by ``add_quality``.
+in the hold-out rule and has no label; a document labelled twice alike counts once, one labelled both 0 and 1 teaches
+nothing, nor does any other label; without labels of both kinds every score is the share of good labels (0.5 without any);
+an empty table gives no rows; other columns are passed on by ``add_quality``.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import held_out, sampled
+from relevanta.llm.common import first_of_each, held_out, sampled, staged
 
-BLOCK = 512
+BLOCK = 256
 LEVEL = 3
 
 
@@ -47,17 +49,18 @@ def _blocks(text: bytes, size: int = BLOCK) -> list[bytes]:
 @functools.lru_cache(maxsize=4)
 def _compressors(good: bytes, bad: bytes) -> tuple:
     plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    return tuple(zstandard.ZstdCompressor(**plain, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {})).compress for d in (good, bad, b""))
+    return tuple(zstandard.ZstdCompressor(**plain, dict_data=zstandard.ZstdCompressionDict(d)).compress for d in (good, bad))
 
 
 def features(text: str, good: bytes, bad: bytes) -> list[float]:
-    """Size difference good - bad over the larger of both: of the whole text, and of the most extreme blocks; then the
-    plain compressed size over the size, of the whole text and of the most repetitive block."""
+    """Compressed size of the whole text under ``good`` less that under ``bad``, over the larger of both; then each over
+    the text's own size. None of them drifts with the length of the text."""
+    if not good or not bad:
+        return [0.0, 0.0, 0.0]
     blocks = _blocks(text.encode())
-    size = np.array([len(b) for b in blocks]) + 1.0
-    g, b, plain = (np.array([len(c(x)) for x in blocks], float) for c in _compressors(good, bad))
-    apart = (g - b) / np.maximum(g, b)
-    return [(g.sum() - b.sum()) / max(g.sum(), b.sum()), apart.max(), apart.min(), plain.sum() / size.sum(), (plain / size).min()]
+    size = sum(map(len, blocks)) + len(blocks)
+    g, b = (sum(len(c(x)) for x in blocks) for c in _compressors(good, bad))
+    return [(g - b) / max(g, b), g / size, b / size]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple:
@@ -71,33 +74,56 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return tuple(w.tolist()), tuple(mean.tolist()), tuple(spread.tolist())
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    samples = [b for t in texts for b in _blocks(t.encode()) if len(b) > 8]
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to select from: all of it is the dictionary
         return b"".join(samples)[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_chars: int = 20_000, dictionary_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def _spread_blocks(most: int):
+    @F.pandas_udf("array<binary>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            blocks = [_blocks((t or "").encode()) for t in texts]
+            yield pd.Series([[b[i] for i in np.unique(np.linspace(0, len(b) - 1, min(most, len(b))).astype(int)) if len(b[i]) > 8] for b in blocks])
+
+    return run
+
+
+def _features(good: bytes, bad: bytes):
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([features(t or "", good, bad) for t in texts], dtype=object)
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_blocks: int = 16, dictionary_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Model from documents and their labels 0 or 1. A third of the sample makes the dictionaries, the rest the weights.
 
-    The sample is drawn from ids and labels alone; its ids, some thousands at most, are broadcast to find its texts.
+    The sample is drawn from ids and labels alone; its ids, ``2 * sample_docs`` at most, are broadcast to find its texts.
     """
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).filter("_label = _most").drop("_most")
     ids = docs.select(F.col(id_col).alias("_id")).join(known, "_id").select("_id", "_label")
-    drawn = sampled(ids, "_label", "_id", sample_docs, 9).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(drawn), "_id")
-    found = sorted((r["h"], r["text"], r["_label"]) for r in rows.select("_label", "text", F.xxhash64("_id", F.lit(9)).alias("h")).distinct().collect())
-    texts = {k: [t for _, t, label in found if label == k][:sample_docs] for k in (0, 1)}
-    if not all(len(t) > 1 for t in texts.values()):
-        n, ones = len(texts[0]) + len(texts[1]), len(texts[1])
+    drawn = first_of_each(sampled(ids, "_label", ["_id"], sample_docs, 9), "_label", sample_docs).select("_id", "_label")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(drawn), "_id")
+    # an id may have many rows
+    rows = staged(first_of_each(sampled(rows, "_label", ["_id", "text"], sample_docs, 9), "_label", sample_docs).select("_label", "_rank", "text"), "quality-sample")
+    count = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    first, rest = rows.filter("_rank % 3 = 1"), rows.filter("_rank % 3 <> 1")
+    samples: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in first.select("_label", "_rank", _spread_blocks(sample_blocks)("text").alias("blocks")).orderBy("_label", "_rank").collect():
+        samples[r["_label"]] += map(bytes, r["blocks"])
+    if not all(count.get(k, 0) > 1 and samples[k] for k in (0, 1)):
+        n, ones = sum(count.values()), count.get(1, 0)
         share = (ones / n) if n else 0.5
-        return QualityModel(b"", b"", (0.0,) * 5 + (float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)),), (0.0,) * 5, (1.0,) * 5)
-    good, bad = (_dictionary(texts[k][::3], dictionary_bytes) for k in (1, 0))
-    rest = [(t, k) for k in (1, 0) for i, t in enumerate(texts[k]) if i % 3]
-    x = np.array([features(t, good, bad) for t, _ in rest])
-    return QualityModel(good, bad, *_logistic(x, np.array([k for _, k in rest], float)))
+        return QualityModel(b"", b"", (0.0,) * 3 + (float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)),), (0.0,) * 3, (1.0,) * 3)
+    good, bad = (_dictionary(samples[k], dictionary_bytes) for k in (1, 0))
+    seen = rest.select("_label", "_rank", _features(good, bad)("text").alias("x")).orderBy("_label", "_rank").collect()
+    return QualityModel(good, bad, *_logistic(np.array([r["x"] for r in seen]), np.array([r["_label"] for r in seen], float)))
 
 
 def add_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
