@@ -2,6 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept; all but the last return the columns
 of ``documents``. ``run`` writes each stage's result to the shared folder and reads it back for the next.
+
+Defined results, in every stage: a row travels as one struct, so extra columns of any name come through; a null text counts
+as empty; repeated rows are judged one by one until near-duplicates go; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,40 +20,45 @@ GOOD, SURE = 0.5, 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier finds good, learned from the labels outside its hold-out."""
+    """Documents that the quality classifier finds good, learned from the labels outside its hold-out. Null ids have no
+    label, but are scored; empty texts go where short texts without words of their own go."""
     model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.add_quality(docs, model, score_col="_score").filter(F.col("_score") >= GOOD).drop("_score")
+    rows = quality.add_quality(docs.select(F.struct("*").alias("row"), "text"), model)
+    return rows.filter(F.col("score") >= GOOD).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the identifier knows, learned from documents outside its hold-out."""
+    """Documents in a language that the identifier knows, learned from documents outside its hold-out. Texts that are null
+    or without a letter go; a null ``lang`` is not learned from."""
     known = docs.select("doc_id", "text", "lang").filter(~held_out("doc_id", 3, 1))
-    rows = langid.add_language(docs, langid.fit(known), name_col="_lang", score_col="_score")
-    return rows.filter((F.col("_lang") != "und") & (F.col("_score") >= SURE)).drop("_lang", "_score")
+    rows = langid.add_language(docs.select(F.struct("*").alias("row"), "text"), langid.fit(known))
+    return rows.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates. A document without an id stands under a digest of its text, above
-    the ids in use, so that it stays only where no document with an id is in its class."""
+    """One document of each class of near-duplicates, the one with the smallest id. A document without an id stands under
+    a digest of its text, above the ids in use, so that it stays only where no document with an id is in its class. Rows
+    with one id are one document: the row with the smallest text, source and language stays."""
     digest = F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), digest))
-    kept = near_dup.near_duplicates(named, id_col="_id").filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    first = Window.partitionBy("_id").orderBy("text", F.col("source").asc_nulls_last(), "lang")
-    once = named.join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return once.select(docs.columns)
+    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), digest).alias("id"), "text")
+    kept = near_dup.near_duplicates(named, id_col="id").filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    once = named.select("id", "row").join(kept, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.struct("row.text", "row.source", "row.lang")).alias("row"))
+    return once.select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, range-sorted by training position. Rows without an id are mixed one by
-    one, under their text and a number; rows alike in id (the stage before leaves one) share what is taken of them evenly."""
+    one, under their text and a number; rows alike in id (the stage before leaves one) share what is taken of them evenly.
+    A null source is a source of its own; texts without words are never taken."""
     text = F.md5(F.coalesce("text", F.lit("")))
-    alike = Window.partitionBy(text).orderBy("source", *(c for c in docs.columns if c not in ("doc_id", "source", "text")))
-    named = docs.filter("doc_id is not null").withColumn("_key", F.col("doc_id").cast("string"))
-    keyed = named.unionByName(docs.filter("doc_id is null").withColumn("_key", F.concat_ws(" ", F.lit("text"), text, F.row_number().over(alike))))
-    mixed = mixing.mix(keyed, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.flatten(F.collect_list("positions")).alias("_all"), F.count("*").cast("int").alias("_rows"))
-    taken = mixed.select("_key", F.slice("_all", F.lit(1), F.floor(F.size("_all") / F.col("_rows")).cast("int")).alias("_positions"))
-    rows = keyed.join(taken, "_key").withColumn("_position", F.explode("_positions"))
-    return rows.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select(docs.columns)
+    alike = Window.partitionBy(text).orderBy("source", "lang")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang")
+    named = rows.filter("doc_id is not null").withColumn("key", F.col("doc_id").cast("string"))
+    keyed = named.unionByName(rows.filter("doc_id is null").withColumn("key", F.concat_ws(" ", F.lit("text"), text, F.row_number().over(alike))))
+    mixed = mixing.mix(keyed, id_col="key").groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list("positions")).alias("all"), F.count("*").cast("int").alias("rows"))
+    taken = mixed.select("key", F.slice("all", F.lit(1), F.floor(F.size("all") / F.col("rows")).cast("int")).alias("positions"))
+    placed = keyed.select("key", "row").join(taken, "key").withColumn("position", F.explode("positions"))
+    return placed.repartitionByRange("position", "key").sortWithinPartitions("position", "key").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
