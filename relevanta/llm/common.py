@@ -114,6 +114,22 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, no run of equal values in the first column (integers without nulls) cut by the end of a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = np.asarray(batch.column(0))
+        cut = int(np.searchsorted(key == key[-1], True))  # rows are sorted: the last run starts here
+        if cut:
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def block_pairs(rows: DataFrame, key_col: str, size_col: str, node_col: str, block: int) -> DataFrame:
     """``rows`` in groups ``(key_col, _i, _j)`` of two blocks, of at most about ``2 * block`` rows: any two rows of a key meet in some group."""
     blocks = F.ceil(F.col(size_col) / block).cast("int")

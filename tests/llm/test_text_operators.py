@@ -288,16 +288,34 @@ def changed(rng, own: list, edits: int) -> list:
     return near
 
 
-def test_large_bucket_is_compared_completely(spark, monkeypatch):
+def test_large_bucket(spark, monkeypatch):
     sketch = near_dup.sketch_documents
     one = lambda *args: sketch(*args).withColumn("sketches", F.array(F.lit(7).cast("long"))).withColumn("short_sketches", F.array().cast("array<long>"))
     monkeypatch.setattr(near_dup, "sketch_documents", one)  # all texts meet in one bucket
-    monkeypatch.setattr(near_dup, "BLOCK", 16, raising=False)  # several blocks
     rng = random.Random(4)
+    passage = [f"p{rng.randrange(500)}" for _ in range(100)]
     own = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(60)]
-    rows = [(i, " ".join(x)) for i, x in enumerate(own)] + [(100 + i, " ".join(changed(rng, own[i], 9))) for i in range(30, 60)]
+    rows = [(i, " ".join(passage + x)) for i, x in enumerate(own)] + [(100 + i, " ".join(passage + changed(rng, own[i], 9))) for i in range(30, 60)]
+    # with more texts than are compared completely, and with fewer
+    for complete in (16, 128):
+        monkeypatch.setattr(near_dup, "COMPLETE", complete)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(got[i] != (i - 100 if i >= 100 else i) for i, _ in rows) <= 1
+    # many near copies of one text
+    rows = [(i, " ".join(changed(rng, own[0] * 2, 8))) for i in range(150)]
+    monkeypatch.setattr(near_dup, "COMPLETE", 16)
+    assert {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_joined_at_the_threshold(spark):
+    """Pairs of 100-word texts with 15 % and 19 % of their words changed at random."""
+    rng, rows = random.Random(12), []
+    for at in range(400):
+        own = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        rows += [(2 * at, " ".join(own)), (2 * at + 1, " ".join(changed(rng, own, 15 if at % 2 else 19)))]
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    for k in (0, 1):
+        assert np.mean([got[2 * at] == got[2 * at + 1] for at in range(400) if at % 2 == k]) >= 0.97
 
 
 def test_alike_texts_meet_in_a_sketch(spark):
