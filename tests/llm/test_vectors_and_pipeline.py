@@ -70,6 +70,42 @@ def test_large_bucket_with_few_true_pairs(spark, monkeypatch):
     assert np.mean([rows[i].component_id == label[i] for i in range(n)]) >= 0.97
 
 
+def exact_links(x: np.ndarray, threshold: float = 0.9) -> np.ndarray:
+    u = x.astype(float) / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    return u @ u.T >= threshold
+
+
+@pytest.mark.parametrize(("n", "block"), [(1600, 4096), (3000, 512)])
+def test_pairs_at_the_threshold_in_a_crowded_cone(spark, monkeypatch, n, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)  # the second is split by further projections
+    rng, dim = np.random.default_rng(n), 128
+    x = np.ones(dim) / np.sqrt(dim) + 0.5 * rng.standard_normal((n, dim)) / np.sqrt(dim)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, n // 2, 2):  # half of them in pairs at cosine 0.90 to 0.91
+        aside = rng.standard_normal(dim)
+        aside -= aside @ x[i] * x[i]
+        c = rng.uniform(0.9001, 0.91)
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * aside / np.linalg.norm(aside)
+    link = exact_links(x)
+    label = np.arange(n)
+    for _ in range(20):
+        label = np.array([label[row].min() for row in link])
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in vectors.near_duplicate_vectors(table).collect()}
+    assert sum(rows[i].n_links for i in range(n)) >= 0.9 * (link.sum() - n)
+    assert np.mean([rows[i + 1].n_links > 0 for i in range(0, n // 2, 2)]) >= 0.9
+    assert np.mean([rows[i].component_id == label[i] for i in range(n)]) >= 0.95
+
+
+def test_very_small_and_large_components(spark):
+    x = [[1e-200, 2e-200, 0.0], [1.0, 2.0, 0.0], [1e200, 2.1e200, 1e190], [-1e200, 1e200, 1e200], [1e308, 1e308, -1e308], [5e-324, 0.0, 0.0], [2.0, 0.0, 0.0]]
+    link = exact_links(np.array(x))
+    rows = {r.vec_id: r for r in vectors.near_duplicate_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).collect()}
+    assert [rows[i].n_links for i in range(len(x))] == (link.sum(1) - 1).tolist() == [2, 2, 2, 0, 0, 1, 1]
+    assert [rows[i].component_id for i in range(len(x))] == [0, 0, 0, 3, 4, 5, 5]
+
+
 def test_nearest_neighbours(spark):
     x = cloud(2, 1500)
     table = frame(spark, x)
