@@ -18,15 +18,51 @@ def to_metric_value(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     return rows.withColumns({"fail_count": failed.cast("long"), "success_count": (~failed).cast("long"), "weighted_success_count": F.when(failed, F.lit(0.0)).otherwise(F.lit(1.0) if weight is None else weight.cast("double"))})
 
 
-def aggregate_metrics(rows: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
-    """``keys, value, success_count, weighted_success_count, fail_count``: the weighted mean over successes, 0 without."""
+def aggregate_metrics(rows: DataFrame, keys: list[str] = KEYS, weight: Column | None = None, reasons: bool = False, more: dict[str, Column] | None = None) -> DataFrame:
+    """``keys, value, success_count, weighted_success_count, fail_count``: the weighted mean over successes, 0 without.
+
+    With ``reasons`` also ``weighted_fail_count`` (failures are never weighted) and ``fail_reasons``, how often each reason
+    failed a sample. ``more`` are aggregates of the caller's own over the rows and their counts, by name.
+    """
     one = to_metric_value(rows, weight)
-    return one.groupBy(*keys).agg(
+    out = one.groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.sum(F.col("weighted_success_count") * F.col("value")), F.sum("weighted_success_count")), F.lit(0.0)).alias("value"),
         F.sum("success_count").alias("success_count"),
         F.sum("weighted_success_count").alias("weighted_success_count"),
         F.sum("fail_count").alias("fail_count"),
+        *(column.alias(name) for name, column in (more or {}).items()),
     )
+    return with_reasons(out, agg_fail_reasons(rows, keys), keys) if reasons else out
+
+
+def with_reasons(aggregated: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``aggregated`` with ``weighted_fail_count`` and ``fail_reasons`` of ``counts(keys, reason, n)``."""
+    maps = counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("fail_reasons"))
+    none = F.create_map().cast("map<string,bigint>")
+    return aggregated.join(maps, keys, "left").withColumns({"weighted_fail_count": F.col("fail_count").cast("double"), "fail_reasons": F.coalesce("fail_reasons", none)})
+
+
+def aggregate_typed(rows: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
+    """Rows of all types at once, each by the type of its metric: means of numbers, sums of maps and nested maps by key
+    (by weight where the type says so), the first sequence that isn't empty by ``seq``. ``rows`` have ``agg_type``,
+    ``value``, ``map_value``, ``nested_value``, ``seq_value``, ``seq`` and ``reasons``; the result is long rows."""
+    one = to_metric_value(rows, weight)
+    keys = [*keys, "agg_type"]
+    counts = aggregate_metrics(rows, keys, weight, reasons=True)
+    counts = counts.withColumn("value", F.when(F.col("agg_type") == "DOUBLE_AVG", F.col("value")))
+    entry = lambda k, p, v: F.struct(k.cast("string").alias("key"), p.cast("string").alias("position"), v.alias("v"))
+    flat = F.transform(F.map_entries("map_value"), lambda e: entry(e["key"], F.lit(None), e["value"]))
+    nested = F.flatten(F.transform(F.map_entries("nested_value"), lambda e: F.transform(F.map_entries(e["value"]), lambda x: entry(e["key"], x["key"], x["value"]))))
+    factor = F.when(F.col("agg_type").endswith("UNWEIGHTED_SUM_VALUE"), F.lit(1.0)).otherwise(F.col("weighted_success_count"))
+    entries = one.filter("success_count > 0").select(*keys, factor.alias("_w"), F.explode(F.coalesce(flat, nested)).alias("e"))
+    sums = entries.groupBy(*keys, "e.key", "e.position").agg(F.sum(F.col("_w") * F.col("e.v")).alias("v"))
+    as_map = lambda df, by, k, v, name: df.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)), lambda a, b: F.when(a[k] < b[k], -1).otherwise(1))).alias(name))
+    maps = as_map(sums.filter("position is null"), keys, "key", "v", "map_value")
+    inner = as_map(sums.filter("position is not null"), [*keys, "key"], "position", "v", "inner")
+    first = agg_keep_first(one.filter("success_count > 0 and seq_value is not null"), keys, "seq_value", "seq")
+    for part in (maps, as_map(inner, keys, "key", "inner", "nested_value"), first):
+        counts = counts.join(part, keys, "left")
+    return counts
 
 
 def aggregate_salted(rows: DataFrame, keys: list[str] = KEYS, salts: int = 32, weight: Column | None = None) -> DataFrame:
@@ -36,13 +72,17 @@ def aggregate_salted(rows: DataFrame, keys: list[str] = KEYS, salts: int = 32, w
 
 
 def merge_aggregates(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Aggregates of aggregates: means by weight, counts added."""
-    return rows.groupBy(*keys).agg(
+    """Aggregates of aggregates: means by weight, counts added, fail reasons too where the rows have them."""
+    out = rows.groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("weighted_success_count")), F.sum("weighted_success_count")), F.lit(0.0)).alias("value"),
         F.sum("success_count").alias("success_count"),
         F.sum("weighted_success_count").alias("weighted_success_count"),
         F.sum("fail_count").alias("fail_count"),
     )
+    if "fail_reasons" not in rows.columns:
+        return out
+    counts = rows.select(*keys, F.explode("fail_reasons").alias("reason", "_n")).groupBy(*keys, "reason").agg(F.sum("_n").alias("n"))
+    return with_reasons(out, counts, keys)
 
 
 def apply_weight(rows: DataFrame, weight: Column) -> DataFrame:

@@ -1,8 +1,9 @@
 """Fields out of JSON responses.
 
 A selector is a path such as ``\\ response \\ docs \\\\ product_id``: a single backslash goes to a key, a double one finds
-the key at any depth, in document order. Paths without a double backslash, and those whose hits sit in arrays of records
-at a known path, are plain column expressions; only a search at any depth walks documents in Python, batch by batch.
+the key at any depth, in document order. Paths without a double backslash are plain column expressions, and so are those
+that end in the only one where the caller knows the hits to be fields of the records at the path before it; other searches
+walk each document once in Python, batch by batch, for all of them together.
 """
 
 from __future__ import annotations
@@ -27,15 +28,25 @@ def parse_selector(path: str) -> list[tuple[str, str]]:
     return steps
 
 
+def _at(response: Column, keys: list[str]) -> Column:
+    """JSON text at a path of keys, whatever characters they have."""
+    if not any(c in k for k in keys for c in "'?"):
+        return F.get_json_object(response, "$" + "".join(f"['{k}']" for k in keys))
+    for k in keys:
+        response = F.try_element_at(F.from_json(response, "map<string,string>"), F.lit(k))
+    return response
+
+
 def extract_plain(response: Column, keys: list[str], kind: str = "STRING") -> Column:
     """The value at a path of keys; null where it is absent or no such type."""
-    return F.get_json_object(response, "$." + ".".join(keys)).try_cast(TYPES[kind])
+    return _at(response, keys).try_cast(TYPES[kind])
 
 
 def extract_records(response: Column, keys: list[str], field: str, kind: str = "STRING") -> Column:
     """A field of every record of the array at a path, absent ones left out: an array whatever the number of records."""
-    records = F.from_json(F.get_json_object(response, "$." + ".".join(keys)), f"array<struct<`{field}`:string>>")
-    return F.filter(F.transform(F.coalesce(records, F.array().cast(f"array<struct<`{field}`:string>>")), lambda r: r[field].try_cast(TYPES[kind])), lambda v: v.isNotNull())
+    quoted = field.replace("`", "``")
+    records = F.from_json(_at(response, keys) if keys else response, f"array<struct<`{quoted}`:string>>")
+    return F.filter(F.transform(F.coalesce(records, F.array().cast(f"array<struct<`{quoted}`:string>>")), lambda r: r[field].try_cast(TYPES[kind])), lambda v: v.isNotNull())
 
 
 def _deep(value, key: str) -> list:
@@ -56,36 +67,54 @@ def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def extract_any(response: Column, path: str, kind: str = "STRING") -> Column:
-    """Hits of any selector as an array; records and arrays stay JSON text, what is no such type becomes null."""
-    steps = parse_selector(path)
+def _walks(response: Column, walks: list[list[tuple[str, str]]]) -> Column:
+    """An array of hits, as text, for each path; a document is parsed once."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<array<string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for text in texts:
                 try:
-                    out.append([_text(x) for x in _select(json.loads(text), steps)])
+                    document = json.loads(text)
+                    out.append([[_text(x) for x in _select(document, steps)] for steps in walks])
                 except (TypeError, ValueError):
-                    out.append([])
+                    out.append([[] for _ in walks])
             yield pd.Series(out)
 
-    return F.transform(run(response), lambda v: v.try_cast(TYPES[kind]))
+    return run(response)
+
+
+def _all_as(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: v.try_cast(TYPES[kind]))
+
+
+def extract_any(response: Column, path: str, kind: str = "STRING") -> Column:
+    """Hits of any selector as an array; records and arrays stay JSON text, what is no such type becomes null."""
+    return _all_as(_walks(response, [parse_selector(path)])[0], kind)
 
 
-def extract_fields(rows: DataFrame, response_col: str, selectors: dict[str, tuple[str, str]]) -> DataFrame:
-    """``rows`` with a column for each ``name: (selector, type)``: a value for a plain path, else an array. Paths of the
-    form ``\\ a \\ b \\\\ field`` read the records at ``a.b``."""
-    columns = {}
+def extract_fields(rows: DataFrame, response_col: str, selectors: dict[str, tuple[str, str]], direct: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with a column for each ``name: (selector, type)``: a value for a plain path, else an array. Names in
+    ``direct`` have paths of the form ``\\ a \\ b \\\\ field`` whose hits are fields of the records at ``a``, ``b`` and stand
+    nowhere deeper: no document leaves the JVM for them."""
+    columns, walks = {}, {}
     for name, (path, kind) in selectors.items():
         steps = parse_selector(path)
         kinds = [k for k, _ in steps]
         if "deep" not in kinds:
             columns[name] = extract_plain(F.col(response_col), [k for _, k in steps], kind)
+        elif name in direct:
+            if kinds.index("deep") != len(steps) - 1:
+                raise ValueError(f"not a field of records: {path!r}")
+            columns[name] = extract_records(F.col(response_col), [k for _, k in steps[:-1]], steps[-1][1], kind)
         else:
-            columns[name] = extract_any(F.col(response_col), path, kind)
-    return rows.withColumns(columns)
+            walks[name] = (steps, kind)
+    if not walks:
+        return rows.withColumns(columns)
+    found = rows.withColumn("_walks", _walks(F.col(response_col), [steps for steps, _ in walks.values()]))
+    columns |= {name: _all_as(F.col("_walks")[i], kind) for i, (name, (_, kind)) in enumerate(walks.items())}
+    return found.withColumns(columns).drop("_walks")
 
 
 def typed_cast(value: Column, kind: str) -> Column:

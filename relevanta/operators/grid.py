@@ -7,11 +7,14 @@ what it holds. Values are looked up in arrays of the value lists, which a grid's
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relevanta.sources.work import staged
+
 
 def range_values(spark: SparkSession, start: float, end: float, step: float) -> DataFrame:
     """``(pos, value)`` from ``start`` in steps, as many as fit."""
@@ -22,13 +25,28 @@ def range_values(spark: SparkSession, start: float, end: float, step: float) ->
 def distinct_values(values: DataFrame) -> DataFrame:
     """First occurrences of ``(pos, value)``, numbered anew."""
     firsts = values.groupBy("value").agg(F.min("pos").alias("_at"))
-    return firsts.select((F.row_number().over(Window.orderBy("_at")) - 1).cast("long").alias("pos"), "value")
+    return numbered(firsts, ["_at", "value"], "pos").select("pos", "value")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``, their number from 0 in an order. Ranges of the order are numbered apart and written; only
+    one count a range is summed up in one task."""
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order))), "numbered")
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", before.alias("_before"))
+    return ranged.join(F.broadcast(sizes), "_range").select(*rows.columns, (F.col("_before") + F.col("_n") - 1).cast("long").alias(name))
 
 
 def grid_size(sizes: list[int]) -> int:
     return reduce(lambda a, b: a * b, sizes, 1)
 
 
+def grid_sizes(counts: list[DataFrame]) -> DataFrame:
+    """The size of a grid from one-row tables ``(n)`` of its parameters' counts."""
+    return reduce(lambda a, b: a.unionByName(b), counts).agg(F.product("n").cast("long").alias("n"))
+
+
 def digits(index: Column, sizes: list[int]) -> list[Column]:
     """Position of each parameter in the ``index``-th combination."""
     out, stride = [], 1
@@ -59,12 +77,12 @@ def grid_nth(spark: SparkSession, params: dict[str, list], n: int) -> DataFrame:
     return param_grid(spark, params, n, n + 1)
 
 
-def table_grid(tables: dict[str, DataFrame]) -> DataFrame:
+def table_grid(tables: dict[str, DataFrame], start: int = 0, end: int | None = None) -> DataFrame:
     """The same for value tables of any length: rows of the index range meet each table at its digit, an equi-join on
     position. Only the tables' counts are read ahead."""
     sizes = [t.count() for t in tables.values()]
-    spark = next(iter(tables.values())).sparkSession
-    rows = spark.range(grid_size(sizes)).withColumnRenamed("id", "idx")
+    spark, whole = next(iter(tables.values())).sparkSession, grid_size(sizes)
+    rows = spark.range(min(start, whole), whole if end is None else min(end, whole)).withColumnRenamed("id", "idx")
     rows = rows.select("idx", *(d.alias(f"_{i}") for i, d in enumerate(digits(F.col("idx"), sizes))))
     for i, (name, table) in enumerate(tables.items()):
         rows = rows.join(table.select(F.col("pos").cast("int").alias(f"_{i}"), F.col("value").alias(name)), f"_{i}").drop(f"_{i}")
@@ -87,10 +105,23 @@ def ordered_union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def remove_param(grid: DataFrame, name: str, others: list[str]) -> DataFrame:
-    """The grid without a parameter, numbered anew in its old order."""
-    left = grid.groupBy(*others).agg(F.min("idx").alias("_at"))
-    return left.select((F.row_number().over(Window.orderBy("_at")) - 1).cast("long").alias("idx"), *others)
+def grid_map(grid: DataFrame, mapped: Column, name: str = "mapped") -> DataFrame:
+    """Each combination mapped by a function of its columns, under its old index."""
+    return grid.select("idx", mapped.alias(name))
+
+
+def grid_merge(left: DataFrame, right: DataFrame, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """The product of two value tables as one, its values merged by a function of both; the left one varies fastest."""
+    return table_grid({"_left": left, "_right": right}).select(F.col("idx").alias("pos"), merge(F.col("_left"), F.col("_right")).alias("value"))
+
+
+def remove_param(grid: DataFrame, sizes: dict[str, int], name: str) -> DataFrame:
+    """The grid of parameters with these sizes without one of them, numbered anew in its old order: the rows at that
+    parameter's first value, their index without its digit."""
+    places = dict(zip(sizes, digits(F.col("idx"), list(sizes.values())), strict=True))
+    others = [n for n in sizes if n != name]
+    left = grid.filter(places[name] == 0)
+    return left.select(index_of([places[n] for n in others], [sizes[n] for n in others]).alias("idx"), *others)
 
 
 def name_value_maps(grid: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:

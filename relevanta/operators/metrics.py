@@ -46,5 +46,5 @@ def compare_sources(results: DataFrame, keys: list[str], source_col: str, left:
 
 def one_source_each(results: DataFrame, keys: list[str], source_col: str) -> DataFrame:
     """Rows of one source a request, picked by hash: the same at every run."""
-    pick = results.groupBy(*keys).agg(F.min_by(source_col, F.xxhash64(*keys, source_col)).alias(source_col))
+    pick = results.groupBy(*keys).agg(F.min_by(source_col, F.md5(F.concat_ws("|", *keys, source_col))).alias(source_col))
     return results.join(pick, [*keys, source_col], "left_semi")

@@ -8,23 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevanta.functions.text import params_key
+from relevanta.sources.work import staged
 
 GROUP = ["tag", "metric"]
 
 
 def group_similar_values(rows: DataFrame, threshold: float = 0.01, keys: list[str] = GROUP) -> DataFrame:
     """``keys, bucket, bucket_value, params_key, value``: values in descending order fall into buckets; a row joins while
-    it is within ``threshold`` of its bucket's first value. One fold over each group's settings."""
-    ordered = F.sort_array(F.collect_list(F.struct("value", "params_key")), asc=False)
-    start = F.struct(F.lit(-1).alias("bucket"), F.lit(None).cast("double").alias("head"), F.array().cast("array<struct<bucket:int,head:double,value:double,params_key:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        joins = (s["bucket"] >= 0) & (s["head"] - x["value"] <= threshold)
-        bucket, head = F.when(joins, s["bucket"]).otherwise(s["bucket"] + 1), F.when(joins, s["head"]).otherwise(x["value"])
-        return F.struct(bucket.alias("bucket"), head.alias("head"), F.array_append(s["out"], F.struct(bucket.alias("bucket"), head.alias("head"), x["value"].alias("value"), x["params_key"].alias("params_key"))).alias("out"))
-
-    folded = rows.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.explode(F.aggregate("_all", start, step)["out"]).alias("_x"))
-    return folded.select(*keys, F.col("_x.bucket").alias("bucket"), F.col("_x.head").alias("bucket_value"), F.col("_x.params_key").alias("params_key"), F.col("_x.value").alias("value"))
+    it is within ``threshold`` of its bucket's first value. One fold over each group's different values keeps the first
+    values alone, at most the group's range over ``threshold``; each row then finds its own. Rows without a value drop out."""
+    none = F.array().cast("array<double>")
+    heads = F.aggregate(F.sort_array(F.collect_set("value"), asc=False), none, lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1) - x <= threshold), s).otherwise(F.array_append(s, x)))
+    firsts = rows.groupBy(*keys).agg(heads.alias("_heads"))
+    bucket = F.size(F.filter("_heads", lambda h: h >= F.col("value")))
+    found = rows.filter("value is not null").select(*keys, "params_key", "value").join(firsts, keys).withColumn("_n", bucket)
+    return found.select(*keys, (F.col("_n") - 1).alias("bucket"), F.element_at("_heads", F.col("_n")).alias("bucket_value"), "params_key", "value")
 
 
 def tie_break_score(params: Column, per_param: float = 1000.0, per_unit: float = 1.0) -> Column:
@@ -66,7 +64,9 @@ def max_single_result_shift(rows: DataFrame, keys: list[str] = GROUP) -> DataFra
 
 
 def run_summary(rows: DataFrame, threshold: float = 0.01, keys: list[str] = GROUP) -> DataFrame:
-    """One row a tag and metric: best and worst setting, their values, and both effects as maps by parameter."""
+    """One row a tag and metric: best and worst setting, their values, and both effects as maps by parameter. The rows, few
+    as they are aggregates, are written once and then summarised in three ways."""
+    rows = staged(rows, "summary-rows")
     ends = best_worst_config(rows, threshold, keys).groupBy(*keys)
     pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     ends = ends.agg(pick("best", "params_key").alias("best"), pick("best", "value").alias("best_value"), pick("worst", "params_key").alias("worst"), pick("worst", "value").alias("worst_value"))
@@ -100,8 +100,10 @@ def uncompared_queries(rows: DataFrame, current_key: str, query_col: str = "tag"
 def top_bottom_per_setting(rows: DataFrame, n: int, k: int, value_col: str = "change", by: list[str] | None = None, tie_col: str = "tag") -> DataFrame:
     """The ``n`` highest and ``k`` lowest rows of each setting, ``kind`` and ``rank`` added."""
     by = by or ["metric", "params_key"]
-    ranked = lambda kind, order, most: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, tie_col))).filter(F.col("rank") <= most).withColumn("kind", F.lit(kind))
-    return ranked("best", F.desc(value_col), n).unionByName(ranked("worst", F.asc(value_col), k))
+    place = lambda order: F.row_number().over(Window.partitionBy(*by).orderBy(order, tie_col))
+    ranked = rows.withColumns({"_high": place(F.desc(value_col)), "_low": place(F.asc(value_col))}).filter((F.col("_high") <= n) | (F.col("_low") <= k))
+    kinds = F.array(F.when(F.col("_high") <= n, F.struct(F.col("_high").alias("rank"), F.lit("best").alias("kind"))), F.when(F.col("_low") <= k, F.struct(F.col("_low").alias("rank"), F.lit("worst").alias("kind"))))
+    return ranked.withColumn("_kind", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).select(*rows.columns, "_kind.rank", "_kind.kind")
 
 
 def query_metric_variance(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:

@@ -10,6 +10,7 @@ from relevanta.operators import aggregate as agg
 from relevanta.operators import tags
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, REQUESTS
+from relevanta.sources.results import reasons_text
 
 QUERIES, ORACLES = {}, {}
 _KEYS = ["tag", "params_key", "metric"]
@@ -45,9 +46,19 @@ def agg_double_avg(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agg.aggregate_metrics(t.metric_rows(spark, d), ["tag", "metric"], F.col("weight")))
 
 
-@register(f"WITH {METRIC_ROWS} {_agg_sql('tag, params_key, metric')}")
+def _reasons_sql(keys: str) -> str:
+    """The aggregate with weighted fail counts and reasons, as text."""
+    return f"""a AS ({_agg_sql(keys)}), rs AS (SELECT {keys}, string_agg(reason || ':' || n, ',' ORDER BY reason) AS r FROM (SELECT {keys}, reason, count(*) AS n FROM m WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+        SELECT a.*, a.fail_count::DOUBLE AS weighted_fail_count, coalesce(rs.r, '') AS fail_reasons FROM a LEFT JOIN rs USING ({keys})"""
+
+
+def _with_text(rows: DataFrame) -> DataFrame:
+    return _rounded(rows).withColumn("fail_reasons", reasons_text(F.col("fail_reasons")))
+
+
+@register(f"WITH {METRIC_ROWS}, {_reasons_sql('tag, params_key, metric')}")
 def aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(agg.aggregate_metrics(t.metric_rows(spark, d)))
+    return _with_text(agg.aggregate_metrics(t.metric_rows(spark, d), reasons=True))
 
 
 @register(f"WITH {METRIC_ROWS} {_agg_sql('tag, metric')}")
@@ -55,9 +66,23 @@ def multi_aggregator(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agg.aggregate_salted(t.metric_rows(spark, d), ["tag", "metric"]))
 
 
-@register(f"WITH {METRIC_ROWS} {_agg_sql('tag, metric')}")
+@register(f"WITH {METRIC_ROWS}, {_reasons_sql('tag, metric')}")
 def merge_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(agg.merge_aggregates(agg.aggregate_metrics(t.metric_rows(spark, d)), ["tag", "metric"]))
+    return _with_text(agg.merge_aggregates(agg.aggregate_metrics(t.metric_rows(spark, d), reasons=True), ["tag", "metric"]))
+
+
+@register(f"WITH {METRIC_ROWS} SELECT tag, metric, round(max(value), 6) AS highest, count(*) FILTER (value > 0.5)::BIGINT AS high, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(value)::DOUBLE AS weighted_success_count, count(*) - count(value) AS fail_count FROM m GROUP BY ALL")
+def user_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates of the caller's own beside the mean."""
+    more = {"highest": F.round(F.max("value"), 6), "high": F.count_if(F.col("value") > 0.5)}
+    return _rounded(agg.aggregate_metrics(t.metric_rows(spark, d), ["tag", "metric"], more=more))
+
+
+@register(f"WITH {METRIC_ROWS} SELECT 'segment ' || lower(tag) AS tag, metric, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(value)::DOUBLE AS weighted_success_count, count(*) - count(value) AS fail_count FROM m WHERE tag LIKE '%A%' GROUP BY ALL")
+def user_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """A filter and a mapping of tags by the caller's own functions of columns."""
+    rows = tags.tag_filter_map(t.metric_rows(spark, d), F.col("tag").contains("A"), F.concat(F.lit("segment "), F.lower("tag")))
+    return _rounded(agg.aggregate_metrics(rows, ["tag", "metric"]))
 
 
 @register(f"WITH {METRIC_ROWS} SELECT tag, metric, reason, count(*) AS n FROM m WHERE reason IS NOT NULL GROUP BY ALL")

@@ -57,19 +57,14 @@ def param_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.table_grid(_tables(spark, d))
 
 
-def _lists(spark: SparkSession, d: str) -> dict[str, list]:
-    """Value lists for a literal grid: brands, priorities and types are few whatever the data's size."""
-    return {n: [r["value"] for r in v.orderBy("pos").collect()] for n, v in _tables(spark, d).items()}
-
-
 @register(f"WITH {_GRID} SELECT * FROM g WHERE idx BETWEEN 17 AND 140")
 def grid_slice(spark: SparkSession, d: str) -> DataFrame:
-    return grid.param_grid(spark, _lists(spark, d), 17, 141)
+    return grid.table_grid(_tables(spark, d), 17, 141)
 
 
 @register(f"WITH {_GRID} SELECT * FROM g WHERE idx = 42")
 def grid_nth(spark: SparkSession, d: str) -> DataFrame:
-    return grid.grid_nth(spark, _lists(spark, d), 42)
+    return grid.table_grid(_tables(spark, d), 42, 43)
 
 
 @register(f"WITH {_V3} SELECT p_partkey, b.pos::INT AS brand_pos, ty.pos::INT AS type_pos, (b.pos + (SELECT count(*) FROM b) * ty.pos)::BIGINT AS idx FROM part JOIN b ON p_brand = b.value JOIN ty ON p_type = ty.value")
@@ -84,11 +79,8 @@ def grid_index_of(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {_V3} SELECT (SELECT count(*) FROM b) * (SELECT count(*) FROM p) * (SELECT count(*) FROM ty) AS n")
 def grid_size(spark: SparkSession, d: str) -> DataFrame:
-    counts = None
-    for v in _tables(spark, d).values():
-        one = v.agg(F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.agg(F.product("n").cast("long").alias("n"))
+    counts = [v.agg(F.count("*").alias("n")) for v in _tables(spark, d).values()]
+    return grid.grid_sizes(counts)
 
 
 @register(f"WITH {_V3} SELECT b.pos, b.value AS brand, ty.value AS type FROM b JOIN ty ON b.pos = ty.pos")
@@ -105,7 +97,7 @@ def ordered_union(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {_GRID} SELECT idx, upper(brand) || ':' || length(type) AS mapped FROM g")
 def grid_map(spark: SparkSession, d: str) -> DataFrame:
-    return grid.table_grid(_tables(spark, d)).select("idx", F.concat(F.upper("brand"), F.lit(":"), F.length("type").cast("string")).alias("mapped"))
+    return grid.grid_map(grid.table_grid(_tables(spark, d)), F.concat(F.upper("brand"), F.lit(":"), F.length("type").cast("string")))
 
 
 @register(f"""WITH {_v('b', 'part', 'p_brand')}, {_v('s', 'customer', 'c_mktsegment')}, {_v('p', 'orders', 'o_orderpriority')}
@@ -121,12 +113,16 @@ def request_permutation(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {_GRID}, x AS (SELECT brand, type, min(idx) AS first_at FROM g GROUP BY ALL) SELECT row_number() OVER (ORDER BY first_at) - 1 AS idx, brand, type FROM x")
 def grid_add_remove(spark: SparkSession, d: str) -> DataFrame:
-    return grid.remove_param(grid.table_grid(_tables(spark, d)), "priority", ["brand", "type"])
+    tables = _tables(spark, d)
+    return grid.remove_param(grid.table_grid(tables), {n: v.count() for n, v in tables.items()}, "priority")
 
 
 @register(f"WITH {_GRID} SELECT idx, brand || '/' || type || '@' || priority AS request FROM g")
 def grid_merge(spark: SparkSession, d: str) -> DataFrame:
-    return grid.table_grid(_tables(spark, d)).select("idx", F.concat("brand", F.lit("/"), "type", F.lit("@"), "priority").alias("request"))
+    tables = _tables(spark, d)
+    pairs = grid.grid_merge(tables["brand"], tables["priority"], lambda b, p: F.struct(b.alias("b"), p.alias("p")))
+    merged = grid.grid_merge(pairs, tables["type"], lambda x, t_: F.concat(x["b"], F.lit("/"), t_, F.lit("@"), x["p"]))
+    return merged.select(F.col("pos").alias("idx"), F.col("value").alias("request"))
 
 
 @register(f"WITH {_GRID} SELECT idx, 'p=' || least(brand, type) || '&p=' || greatest(brand, type) || '&q=' || priority AS params_key FROM g")

@@ -179,6 +179,22 @@ def compare_sources(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("query", n("left").alias("n_left"), n("right").alias("n_right"))
 
 
+@register("WITH r AS (SELECT DISTINCT l_suppkey AS query, (year(l_shipdate) % 2)::VARCHAR AS source, l_partkey FROM lineitem), p AS (SELECT query, arg_min(source, md5(query || '|' || source)) AS source FROM r GROUP BY 1) SELECT query, source, count(*) AS n FROM r JOIN p USING (query, source) GROUP BY ALL")
+def one_source_each(spark: SparkSession, d: str) -> DataFrame:
+    """Each request's results from one of its two sources."""
+    rows = metrics.one_source_each(_by_year(spark, d), ["query"], "source")
+    return rows.groupBy("query", "source").agg(F.countDistinct("product").alias("n"))
+
+
+@register(f"WITH {LISTS} SELECT query, CASE WHEN judged > 0 THEN round(coalesce(1.0 / nullif(list_position(list_transform(current, lambda x: x >= 0.5), true), 0), 0.0), 6) END AS rr, CASE WHEN judged > 0 THEN round(ideal[1] - current[1], 6) END AS gap FROM lists")
+def user_metric(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the caller's own: functions of one column and of two, beside the built-in ones."""
+    first = F.array_position(F.transform("current", lambda x: x >= 0.5), F.lit(True))
+    own = {"rr": ranking.ok(F.when(first > 0, 1.0 / first).otherwise(F.lit(0.0))), "gap": ranking.ok(F.get("ideal", F.lit(0)) - F.get("current", F.lit(0)))}
+    rows = metrics.calculate_metrics(t.lists(spark, d), own, ["query"])
+    return rows.groupBy("query").pivot("metric", ["rr", "gap"]).agg(F.round(F.first("value"), 6))
+
+
 _PRESET = " UNION ALL ".join(
     [f"SELECT query, 'NDCG@{k}' AS metric, CASE WHEN judged = 0 THEN NULL WHEN n = 1 THEN CASE WHEN current[1] > 0 THEN 1.0 END WHEN {dcg_sql('ideal', k)} = 0 THEN NULL ELSE {dcg_sql('current', k)} / {dcg_sql('ideal', k)} END AS value FROM lists" for k in metrics.NDCG_AT]
     + [f"SELECT query, 'PRECISION@k={k},t=0.2', CASE WHEN judged > 0 THEN {over_sql('current', k, 0.2)} / least(n, {k}) END FROM lists" for k in (2, 4)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relevanta.functions import text
 from relevanta.operators import checks, extract, summary
+from relevanta.operators.grid import numbered
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, SETTINGS
 
@@ -57,15 +58,43 @@ def max_single_result_shift(spark: SparkSession, d: str) -> DataFrame:
     return summary.max_single_result_shift(t.settings(spark, d)).withColumn("single_shift", F.round("single_shift", 6))
 
 
+#: Best and worst setting and all four effects of a tag and metric.
+SUMMARY = f"""WITH RECURSIVE {_ENDS}, live AS (SELECT * FROM settings WHERE success_count > 0), bp AS (SELECT tag, metric, 'priority' AS param, prio AS setting, stat AS rest, value FROM live UNION ALL SELECT tag, metric, 'status', stat, prio, value FROM live),
+    md AS (SELECT tag, metric, param, setting, quantile_cont(value, 0.5) AS v FROM bp GROUP BY ALL), sh AS (SELECT tag, metric, param, max(v) - min(v) AS s FROM md GROUP BY ALL),
+    ss AS (SELECT tag, metric, param, max(d) AS s FROM (SELECT tag, metric, param, rest, max(value) - min(value) AS d FROM bp GROUP BY ALL) GROUP BY ALL),
+    fx AS (SELECT tag, metric, round(max(CASE WHEN param = 'priority' THEN s END), 6) AS p, round(max(CASE WHEN param = 'status' THEN s END), 6) AS q FROM sh GROUP BY ALL), fy AS (SELECT tag, metric, round(max(CASE WHEN param = 'priority' THEN s END), 6) AS p, round(max(CASE WHEN param = 'status' THEN s END), 6) AS q FROM ss GROUP BY ALL)
+    SELECT bw.tag, bw.metric, max(CASE WHEN kind = 'best' THEN params_key END) AS best, max(CASE WHEN kind = 'best' THEN value END) AS best_value, max(CASE WHEN kind = 'worst' THEN params_key END) AS worst, max(CASE WHEN kind = 'worst' THEN value END) AS worst_value,
+    max(fx.p) AS priority_median, max(fx.q) AS status_median, max(fy.p) AS priority_single, max(fy.q) AS status_single FROM bw JOIN fx ON bw.tag = fx.tag AND bw.metric = fx.metric JOIN fy ON bw.tag = fy.tag AND bw.metric = fy.metric GROUP BY bw.tag, bw.metric"""
+
+
+def summary_columns(rows: DataFrame) -> DataFrame:
+    effect = lambda c, p: F.round(F.col(f"{c}_shift")[p], 6).alias(f"{p}_{c}")
+    return rows.select("tag", "metric", "best", "best_value", "worst", "worst_value", *(effect(c, p) for c in ("median", "single") for p in ("priority", "status")))
+
+
+@register(SUMMARY)
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    return summary_columns(summary.run_summary(t.settings(spark, d)))
+
+
+_COST = "CASE WHEN p_size <> 0 THEN 1000 + p_size ELSE 0 END + CASE WHEN p_size % 7 <> 0 THEN 1000 + p_size % 7 ELSE 0 END"
+
+
 @register(
-    f"""WITH RECURSIVE {_ENDS}, live AS (SELECT * FROM settings WHERE success_count > 0), bp AS (SELECT tag, metric, 'priority' AS param, prio AS setting, value FROM live UNION ALL SELECT tag, metric, 'status', stat, value FROM live),
-    md AS (SELECT tag, metric, param, setting, quantile_cont(value, 0.5) AS v FROM bp GROUP BY ALL), sh AS (SELECT tag, metric, param, max(v) - min(v) AS s FROM md GROUP BY ALL)
-    SELECT bw.tag, bw.metric, max(CASE WHEN kind = 'best' THEN params_key END) AS best, max(CASE WHEN kind = 'best' THEN value END) AS best_value, max(CASE WHEN kind = 'worst' THEN params_key END) AS worst, max(CASE WHEN kind = 'worst' THEN value END) AS worst_value, round(max(sh.s), 6) AS priority_shift
-    FROM bw JOIN sh ON bw.tag = sh.tag AND bw.metric = sh.metric AND sh.param = 'priority' GROUP BY ALL"""
+    f"""WITH RECURSIVE s AS (SELECT p_brand AS tag, p_size % 7 AS depth, p_size AS size, 'depth=' || p_size % 7 || '&size=' || p_size AS params_key, {_COST} AS cost, round(avg(p_retailprice) / 1000.0, 2) AS value FROM part GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY value DESC, params_key DESC) AS i FROM s),
+    b AS (SELECT tag, i, params_key, cost, value, value AS head, 0 AS bucket FROM o WHERE i = 1
+        UNION ALL SELECT o.tag, o.i, o.params_key, o.cost, o.value, CASE WHEN b.head - o.value <= 0.05::DOUBLE THEN b.head ELSE o.value END, CASE WHEN b.head - o.value <= 0.05::DOUBLE THEN b.bucket ELSE b.bucket + 1 END FROM o JOIN b ON o.tag = b.tag AND o.i = b.i + 1),
+    e AS (SELECT tag, max(bucket) AS last FROM b GROUP BY 1), f AS (SELECT b.*, row_number() OVER (PARTITION BY tag, bucket ORDER BY cost, params_key) AS k FROM b)
+    SELECT f.tag, 'price' AS metric, unnest(list_filter([CASE WHEN bucket = 0 THEN 'best' END, CASE WHEN bucket = last THEN 'worst' END], lambda x: x IS NOT NULL)) AS kind, params_key, head AS value FROM f JOIN e ON f.tag = e.tag WHERE k = 1"""
 )
-def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = summary.run_summary(t.settings(spark, d))
-    return rows.select("tag", "metric", "best", "best_value", "worst", "worst_value", F.round(F.col("median_shift")["priority"], 6).alias("priority_shift"))
+def param_tie_break(spark: SparkSession, d: str) -> DataFrame:
+    """Settings with two numeric parameters: among those of a bucket the cheapest stands for it."""
+    number = lambda c: F.array(c.cast("string"))
+    params = F.create_map(F.lit("size"), number(F.col("size")), F.lit("depth"), number(F.col("depth")))
+    rows = t.table(spark, d, "part").groupBy(F.col("p_brand").alias("tag"), F.col("p_size").alias("size"), (F.col("p_size") % 7).alias("depth")).agg(F.round(F.avg("p_retailprice") / 1000.0, 2).alias("value"), F.count("*").alias("success_count"))
+    rows = rows.select("tag", F.lit("price").alias("metric"), params.alias("params"), text.params_key(params).alias("params_key"), "value", "success_count")
+    return summary.best_worst_config(rows, 0.05)
 
 
 @register(
@@ -149,10 +178,8 @@ def align_series(spark: SparkSession, d: str) -> DataFrame:
 
 @register("WITH x AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_size::VARCHAR END AS v FROM part) SELECT v, row_number() OVER (ORDER BY try_cast(v AS DOUBLE) NULLS LAST, v)::INT AS pos FROM x")
 def number_aware_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     values = t.table(spark, d, "part").select(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("v")).distinct()
-    return values.withColumn("pos", F.row_number().over(Window.orderBy(*text.number_aware_order(F.col("v")))))
+    return numbered(values, text.number_aware_order(F.col("v")), "pos").select("v", (F.col("pos") + 1).cast("int").alias("pos"))
 
 
 @register(f"WITH {METRIC_ROWS} SELECT nation AS query, count(*) AS n FROM m GROUP BY 1")
@@ -202,8 +229,8 @@ def extract_rec_rec(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT l_orderkey AS query, count(*)::INT AS found, count(*)::INT AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1")
 def extract_fields(spark: SparkSession, d: str) -> DataFrame:
-    fields = {"found": (r"\ response \ numFound", "INT"), "ids": (r"\ response \ docs \\ product_id", "STRING"), "qs": (r"\\ q", "DOUBLE")}
-    rows = extract.extract_fields(_responses(spark, d), "response", fields)
+    fields = {"found": (r"\ response \ numFound", "INT"), "ids": (r"\ response \ docs \\ product_id", "STRING"), "qs": (r"\ response \ docs \\ q", "DOUBLE")}
+    rows = extract.extract_fields(_responses(spark, d), "response", fields, direct=("ids", "qs"))
     return rows.select("query", "found", F.size("ids").alias("n"), F.aggregate("qs", F.lit(0.0), lambda s, x: s + x).alias("q"))
 
 

@@ -1,8 +1,10 @@
 """Result documents: wide tab-separated files and columnar JSON, one document a tag, to and from long rows.
 
-Long rows are ``tag, params MAP<STRING, ARRAY<STRING>>, params_key, metric, agg_type, value, success_count,
-weighted_success_count, fail_count, weighted_fail_count, fail_reasons MAP<STRING, BIGINT>``. Parquet partitioned by tag is
-the store that loses nothing; both documents are exports.
+Long rows are ``tag, params MAP<STRING, ARRAY<STRING>>, params_key, metric, agg_type, value, map_value, nested_value,
+seq_value, success_count, weighted_success_count, fail_count, weighted_fail_count, fail_reasons MAP<STRING, BIGINT>,
+context_info``. The type of a metric says which of the four values it has; writers take rows that lack columns. A tag with
+more than ``settings_per_part`` settings is several documents, each complete in itself, so no task holds more. Parquet
+partitioned by tag is the store that loses nothing; both documents are exports.
 """
 
 from __future__ import annotations
@@ -16,6 +18,49 @@ from relevanta.functions.text import params_key
 FAMILIES = ("fail-count-", "weighted-fail-count-", "failReasons-", "success-count-", "weighted-success-count-", "value-")
 TYPE_LINE = "# K_METRIC_AGGREGATOR_MAPPING "
 DEFAULT_TYPE = "DOUBLE_AVG"
+#: By type: the column of the value, its SQL type, and the JSON of no value.
+VALUES = {
+    "DOUBLE_AVG": ("value", "double", "0.0"),
+    "MAP_UNWEIGHTED_SUM_VALUE": ("map_value", "map<string,double>", "{}"),
+    "MAP_WEIGHTED_SUM_VALUE": ("map_value", "map<string,double>", "{}"),
+    "NESTED_MAP_UNWEIGHTED_SUM_VALUE": ("nested_value", "map<string,map<string,double>>", "{}"),
+    "NESTED_MAP_WEIGHTED_SUM_VALUE": ("nested_value", "map<string,map<string,double>>", "{}"),
+    "SEQUENCE_KEEP_FIRST": ("seq_value", "array<string>", "[]"),
+}
+_TYPED = dict.fromkeys((column, type_) for column, type_, _ in VALUES.values())
+SETTINGS_PER_PART = 100_000
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """``rows`` with every column of long rows; what they lack is null, or nothing for counts and reasons."""
+    zeros = {"success_count": F.lit(0).cast("long"), "fail_count": F.lit(0).cast("long"), "fail_reasons": F.create_map().cast("map<string,bigint>"), "agg_type": F.lit(DEFAULT_TYPE)}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (*_TYPED, ("context_info", "string")) if c not in rows.columns})
+    rows = rows.withColumns({c: z for c, z in zeros.items() if c not in rows.columns})
+    return rows.withColumns({c: F.col(n).cast("double") for c, n in (("weighted_success_count", "success_count"), ("weighted_fail_count", "fail_count")) if c not in rows.columns})
+
+
+def value_json(decimals: int | None = None) -> Column:
+    """The value of a long row as JSON text, numbers of their own with ``decimals`` if asked for."""
+    number = F.col("value").cast("string") if decimals is None else F.format_string(f"%.{decimals}f", "value")
+    return F.coalesce(F.when(F.col("agg_type") == DEFAULT_TYPE, number), F.to_json("map_value"), F.to_json("nested_value"), F.to_json("seq_value"))
+
+
+def typed_values(kind: Column, json: Column) -> list[Column]:
+    """``value, map_value, nested_value, seq_value`` out of JSON text: the one of the metric's type, the others null."""
+    out = []
+    for column, type_ in _TYPED:
+        own = json.try_cast("double") if type_ == "double" else F.from_json(json, type_)
+        out.append(F.when(kind.isin([k for k, v in VALUES.items() if v[0] == column]), own).alias(column))
+    return out
+
+
+def _sizes(rows: DataFrame, settings_per_part: int) -> DataFrame:
+    return rows.select("tag", "params_key").distinct().groupBy("tag").agg(F.ceil(F.count("*") / settings_per_part).cast("int").alias("_parts"))
+
+
+def _parts(rows: DataFrame, settings_per_part: int) -> DataFrame:
+    """``rows`` with the ``part`` of their tag's document."""
+    return rows.join(_sizes(rows, settings_per_part), "tag").withColumn("part", F.pmod(F.xxhash64("params_key"), F.col("_parts")).cast("int")).drop("_parts")
 
 
 def _type_map(lines: Column) -> Column:
@@ -24,32 +69,33 @@ def _type_map(lines: Column) -> Column:
 
 
 def read_metric_types(spark: SparkSession, path: str) -> DataFrame:
-    """``(metric, agg_type)`` named in wide files."""
+    """``(metric, agg_type)`` named in wide files below a folder."""
     lines = F.split("value", r"\r?\n")
     return spark.read.text(path, wholetext=True).select(F.explode(_type_map(lines)).alias("metric", "agg_type")).distinct()
 
 
 def read_results_csv(spark: SparkSession, path: str, tag: Column | None = None) -> DataFrame:
     """Long rows of wide files. Each file has a header of its own; ``contextInfo`` may be absent; the tag is the file's
-    name unless given as a column of ``file``."""
-    files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"))
+    name unless given as a column of ``file`` or of the folders' partition columns."""
+    text = spark.read.text(path, wholetext=True)
+    files = text.select(F.split("value", r"\r?\n").alias("lines"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"), *(c for c in text.columns if c != "value"))
     body = F.filter("lines", lambda x: (x != "") & ~x.startswith("#"))
-    files = files.select("file", _type_map(F.col("lines")).alias("types"), F.split(body[0], "\t").alias("head"), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0))).alias("rows"))
-    rows = files.select("file", "types", "head", F.posexplode("rows").alias("n", "row")).withColumn("cells", F.split("row", "\t"))
+    files = files.select((tag if tag is not None else F.col("file")).alias("tag"), _type_map(F.col("lines")).alias("types"), F.split(body[0], "\t").alias("head"), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0))).alias("rows"))
+    rows = files.select("tag", "types", "head", F.explode("rows").alias("row")).withColumn("cells", F.split("row", "\t"))
     cell = F.map_from_entries(F.transform(F.col("head"), lambda h, i: F.struct(h, F.get(F.col("cells"), i))))
-    rows = rows.select("file", "types", "n", cell.alias("cell"), "head")
+    rows = rows.select("tag", "types", cell.alias("cell"), "head")
     is_metric = lambda h: h.rlike("^(" + "|".join(FAMILIES) + ")") | (h == "contextInfo")
     params = F.map_from_entries(F.transform(F.filter("head", lambda h: ~is_metric(h)), lambda h: F.struct(h, F.split(F.element_at("cell", h), "&"))))
     metrics = F.transform(F.filter("head", lambda h: h.startswith("value-")), lambda h: F.substr(h, F.lit(len("value-") + 1)))
-    rows = rows.select((tag if tag is not None else F.col("file")).alias("tag"), params.alias("params"), "types", "cell", F.explode(metrics).alias("metric"))
+    rows = rows.select("tag", params.alias("params"), "types", "cell", F.explode(metrics).alias("metric"))
     family = lambda f: F.try_element_at("cell", F.concat(F.lit(f), F.col("metric")))
     reasons = F.transform_values(F.str_to_map(F.nullif(family("failReasons-"), F.lit("")), F.lit(","), F.lit(":")), lambda _, v: v.try_cast("long"))
     kind = F.coalesce(F.try_element_at("types", F.col("metric")), F.lit(DEFAULT_TYPE))
     number = lambda f: F.coalesce(family(f).try_cast("double"), F.lit(0.0))
     return rows.select(
-        "tag", "params", params_key(F.col("params")).alias("params_key"), "metric", kind.alias("agg_type"), family("value-").try_cast("double").alias("value"), family("value-").alias("raw_value"),
+        "tag", "params", params_key(F.col("params")).alias("params_key"), "metric", kind.alias("agg_type"), *typed_values(kind, family("value-")),
         number("success-count-").cast("long").alias("success_count"), number("weighted-success-count-").alias("weighted_success_count"), number("fail-count-").cast("long").alias("fail_count"), number("weighted-fail-count-").alias("weighted_fail_count"),
-        F.coalesce(reasons, F.create_map().cast("map<string,bigint>")).alias("fail_reasons"), F.try_element_at("cell", F.lit("contextInfo")).alias("context_info"),
+        F.coalesce(reasons, F.create_map().cast("map<string,bigint>")).alias("fail_reasons"), F.nullif(F.try_element_at("cell", F.lit("contextInfo")), F.lit("")).alias("context_info"),
     )
 
 
@@ -57,58 +103,78 @@ def reasons_text(reasons: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(reasons)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
 
 
-def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str], decimals: int = 4) -> DataFrame:
-    """``(tag, n, line)``: the lines of each tag's wide document; parameters and metrics are sorted, numbers have four
-    decimals by default. ``metrics`` maps names to types."""
+def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str], decimals: int = 4, settings_per_part: int = SETTINGS_PER_PART) -> DataFrame:
+    """``(tag, part, n, params_key, line)``: the lines of each tag's wide documents; parameters and metrics are sorted,
+    numbers have four decimals by default, maps and sequences are JSON. ``metrics`` maps names to types."""
     params, names = sorted(params), sorted(metrics)
     four = lambda c: F.format_string(f"%.{decimals}f", c)
     pick = lambda c, m: F.first(F.when(F.col("metric") == m, c), ignorenulls=True)
-    cells, nothing = [], f"{0:.{decimals}f}"
+    nothing = f"{0:.{decimals}f}"
+    rows = _parts(complete(rows), settings_per_part).withColumn("_value", value_json(decimals))
+    cells = []
     for m in names:
-        cells += [F.coalesce(pick(c, m), F.lit(z)) for c, z in ((F.col("fail_count").cast("string"), "0"), (four(F.col("weighted_fail_count")), nothing), (reasons_text(F.col("fail_reasons")), ""), (F.col("success_count").cast("string"), "0"), (four(F.col("weighted_success_count")), nothing), (four(F.col("value")), nothing))]
+        empty = nothing if metrics[m] == DEFAULT_TYPE else VALUES[metrics[m]][2]
+        cells += [F.coalesce(pick(c, m), F.lit(z)) for c, z in ((F.col("fail_count").cast("string"), "0"), (four("weighted_fail_count"), nothing), (reasons_text(F.col("fail_reasons")), ""), (F.col("success_count").cast("string"), "0"), (four("weighted_success_count"), nothing), (F.col("_value"), empty))]
     setting = [F.coalesce(F.array_join(F.try_element_at(F.first("params"), F.lit(p)), "&"), F.lit("")) for p in params]
-    body = rows.groupBy("tag", "params_key").agg(F.concat_ws("\t", *setting, *cells, F.lit("")).alias("line"))
+    context = F.coalesce(F.first("context_info", ignorenulls=True), F.lit("{}"))
+    body = rows.groupBy("tag", "part", "params_key").agg(F.concat_ws("\t", *setting, *cells, context).alias("line"))
     head = [f"{TYPE_LINE}{m} {metrics[m]}" for m in names] + ["\t".join([*params, *(f + m for m in names for f in FAMILIES), "contextInfo"])]
-    top = rows.select("tag").distinct().select("tag", F.posexplode(F.array(*map(F.lit, head))).alias("n", "line"))
-    return top.select("tag", F.lit("").alias("params_key"), "n", "line").unionByName(body.select("tag", "params_key", F.lit(len(head)).alias("n"), "line"))
-
-
-def write_results_csv(rows: DataFrame, path: str, params: list[str], metrics: dict[str, str], decimals: int = 4) -> None:
-    """One folder a tag with its document in order; a tag is written by one task."""
-    lines = results_csv_lines(rows, params, metrics, decimals)
-    lines.repartition("tag").sortWithinPartitions("tag", "n", "params_key").select("tag", "line").write.partitionBy("tag").text(path)
-
-
-def results_json(rows: DataFrame) -> DataFrame:
-    """``(tag, document)``: one columnar JSON document a tag: an entry a type with the labels and, a dataset a metric,
-    parallel arrays. A setting that lacks a metric holds 0 and no samples."""
-    labels = rows.groupBy("tag", "agg_type").agg(F.array_sort(F.collect_set("params_key")).alias("_labels"))
-    own = F.map_from_entries(F.collect_list(F.struct("params_key", F.struct("value", "success_count", "weighted_success_count", "fail_count", "weighted_fail_count", "fail_reasons"))))
-    sets = rows.groupBy("tag", "agg_type", "metric").agg(own.alias("_own")).join(labels, ["tag", "agg_type"])
-    at = lambda c, zero: F.transform("_labels", lambda k: F.coalesce(F.try_element_at("_own", k)[c], zero))
+    top = rows.select("tag", "part").distinct().select("tag", "part", F.posexplode(F.array(*map(F.lit, head))).alias("n", "line"))
+    return top.select("tag", "part", "n", F.lit("").alias("params_key"), "line").unionByName(body.select("tag", "part", F.lit(len(head)).alias("n"), "params_key", "line"))
+
+
+def write_results_csv(rows: DataFrame, path: str, params: list[str], metrics: dict[str, str], decimals: int = 4, settings_per_part: int = SETTINGS_PER_PART) -> None:
+    """A folder a tag with its document in order, written by one task; where a tag has several parts, folders of parts in it."""
+    by = ["tag"] if (_sizes(rows, settings_per_part).agg(F.max("_parts")).first()[0] or 1) == 1 else ["tag", "part"]
+    lines = results_csv_lines(rows, params, metrics, decimals, settings_per_part)
+    lines.repartition(*by).sortWithinPartitions(*by, "n", "params_key").select(*by, "line").write.partitionBy(*by).text(path)
+
+
+def results_json(rows: DataFrame, settings_per_part: int = SETTINGS_PER_PART) -> DataFrame:
+    """``(tag, part, document)``: one columnar JSON document: labels are parameter settings, an entry a type has, a
+    dataset a metric, arrays in their order, and so has ``contextInfos``. A setting that lacks a metric holds the type's
+    empty value and no samples."""
+    by = ["tag", "part"]
+    rows = _parts(complete(rows), settings_per_part)
+    by_key = lambda a, b: F.when(a["params_key"] < b["params_key"], -1).when(a["params_key"] > b["params_key"], 1).otherwise(0)
+    by_name = lambda a, b: F.when(a["name"] < b["name"], -1).otherwise(1)
+    context = F.parse_json(F.coalesce(F.first("context_info", ignorenulls=True), F.lit("{}")))
+    settings = rows.groupBy(*by, "params_key").agg(F.first("params").alias("params"), context.alias("context"), F.max("success_count").alias("ok"), F.max("fail_count").alias("failed"))
+    settings = settings.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("params_key", "params", "context", "ok", "failed")), by_key).alias("_settings"))
+    counts = ["success_count", "weighted_success_count", "fail_count", "weighted_fail_count", "fail_reasons"]
+    own = F.map_from_entries(F.collect_list(F.struct("params_key", F.struct(value_json().alias("json"), *counts))))
+    sets = rows.groupBy(*by, "agg_type", "metric").agg(own.alias("_own")).join(settings, by)
+    at = lambda c, zero: F.transform("_settings", lambda s: F.coalesce(F.try_element_at("_own", s["params_key"])[c], zero))
+    empty = F.element_at(F.create_map(*(F.lit(x) for k, v in VALUES.items() for x in (k, v[2]))), F.col("agg_type"))
     dataset = F.struct(
-        F.col("metric").alias("name"), at("value", F.lit(0.0)).alias("data"), at("success_count", F.lit(0).cast("long")).alias("successSamples"), at("weighted_success_count", F.lit(0.0)).alias("weightedSuccessSamples"),
+        F.col("metric").alias("name"), F.transform(at("json", empty), F.parse_json).alias("data"), at("success_count", F.lit(0).cast("long")).alias("successSamples"), at("weighted_success_count", F.lit(0.0)).alias("weightedSuccessSamples"),
         at("fail_count", F.lit(0).cast("long")).alias("failSamples"), at("weighted_fail_count", F.lit(0.0)).alias("weightedFailSamples"), at("fail_reasons", F.create_map().cast("map<string,bigint>")).alias("failReasons"),
     )
-    entries = sets.groupBy("tag", "agg_type", "_labels").agg(F.array_sort(F.collect_list(dataset), lambda a, b: F.when(a["name"] < b["name"], -1).otherwise(1)).alias("datasets"))
-    entry = F.struct(F.col("agg_type").alias("entryType"), F.col("_labels").alias("labels"), "datasets")
-    return entries.groupBy("tag").agg(F.to_json(F.struct(F.col("tag").alias("name"), F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["entryType"] < b["entryType"], -1).otherwise(1)).alias("data"))).alias("document"))
+    most = lambda c: F.array_max(F.transform("_settings", lambda s: s[c]))
+    entries = sets.groupBy(*by, "agg_type").agg(F.array_sort(F.collect_list(dataset), by_name).alias("datasets"), F.first("_settings").alias("_settings"))
+    entry = F.struct(F.col("agg_type").alias("name"), F.col("agg_type").alias("entryType"), F.transform("_settings", lambda s: s["params"]).alias("labels"), "datasets", most("ok").alias("successCount"), most("failed").alias("failCount"))
+    whole = entries.groupBy(*by).agg(F.array_sort(F.collect_list(entry), by_name).alias("data"), F.transform(F.first("_settings"), lambda s: s["context"]).alias("contextInfos"))
+    data = F.transform("data", lambda e: e.dropFields("name"))
+    return whole.select(*by, F.to_json(F.struct(F.col("tag").alias("name"), data.alias("data"), "contextInfos")).alias("document"))
 
 
-def write_results_json(rows: DataFrame, path: str) -> None:
-    results_json(rows).select("tag", "document").repartition("tag").write.partitionBy("tag").text(path)
+def write_results_json(rows: DataFrame, path: str, settings_per_part: int = SETTINGS_PER_PART) -> None:
+    """A folder a tag with its documents, one a line."""
+    results_json(rows, settings_per_part).select("tag", "document").write.partitionBy("tag").text(path)
 
 
-_DATASET = "struct<name:string,data:array<double>,successSamples:array<bigint>,weightedSuccessSamples:array<double>,failSamples:array<bigint>,weightedFailSamples:array<double>,failReasons:array<map<string,bigint>>>"
+_DATASET = "struct<name:string,data:array<string>,successSamples:array<bigint>,weightedSuccessSamples:array<double>,failSamples:array<bigint>,weightedFailSamples:array<double>,failReasons:array<map<string,bigint>>>"
 
 
 def read_results_json(spark: SparkSession, path: str) -> DataFrame:
     """Long rows of such documents."""
-    text = spark.read.text(path)
-    whole = text.select(F.from_json("value", f"name string, data array<struct<entryType:string,labels:array<string>,datasets:array<{_DATASET}>>>").alias("d"))
-    sets = whole.select(F.col("d.name").alias("tag"), F.explode("d.data").alias("e")).select("tag", F.col("e.entryType").alias("agg_type"), F.col("e.labels").alias("labels"), F.explode("e.datasets").alias("s"))
-    rows = sets.select("tag", "agg_type", F.col("s.name").alias("metric"), F.explode(F.arrays_zip(F.col("labels"), F.col("s.data"), F.col("s.successSamples"), F.col("s.weightedSuccessSamples"), F.col("s.failSamples"), F.col("s.weightedFailSamples"), F.col("s.failReasons"))).alias("x"))
-    return rows.select("tag", F.col("x.labels").alias("params_key"), "metric", "agg_type", F.col("x.data").alias("value"), F.col("x.successSamples").alias("success_count"), F.col("x.weightedSuccessSamples").alias("weighted_success_count"), F.col("x.failSamples").alias("fail_count"), F.col("x.weightedFailSamples").alias("weighted_fail_count"), F.col("x.failReasons").alias("fail_reasons"))
+    entries = f"array<struct<entryType:string,labels:array<map<string,array<string>>>,datasets:array<{_DATASET}>>>"
+    whole = spark.read.text(path).select(F.from_json("value", f"name string, data {entries}, contextInfos array<string>").alias("d"))
+    sets = whole.select(F.col("d.name").alias("tag"), F.col("d.contextInfos").alias("c"), F.explode("d.data").alias("e")).select("tag", "c", F.col("e.entryType").alias("agg_type"), F.col("e.labels").alias("labels"), F.explode("e.datasets").alias("s"))
+    arrays = ["data", "successSamples", "weightedSuccessSamples", "failSamples", "weightedFailSamples", "failReasons"]
+    rows = sets.select("tag", "agg_type", F.col("s.name").alias("metric"), F.explode(F.arrays_zip(F.col("labels"), F.col("c"), *(F.col(f"s.{a}") for a in arrays))).alias("x"))
+    counts = {"successSamples": "success_count", "weightedSuccessSamples": "weighted_success_count", "failSamples": "fail_count", "weightedFailSamples": "weighted_fail_count", "failReasons": "fail_reasons"}
+    return rows.select("tag", F.col("x.labels").alias("params"), params_key(F.col("x.labels")).alias("params_key"), "metric", "agg_type", *typed_values(F.col("agg_type"), F.col("x.data")), *(F.col(f"x.{a}").alias(c) for a, c in counts.items()), F.col("x.c").alias("context_info"))
 
 
 def write_results_by_tag(rows: DataFrame, path: str) -> None:

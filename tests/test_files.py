@@ -109,3 +109,46 @@ def test_stream_equals_batch(spark, tmp_path):
     want = aggregate_metrics(rows.withColumn("tag", F.explode("tags")))
     key = lambda df: sorted((r.tag, round(r.value, 9), r.success_count, r.fail_count) for r in df.collect())
     assert key(aggregates.latest(spark, f"{tmp_path}/out")) == key(want)
+
+
+def typed_rows(spark):
+    """A metric of each kind of value; the second setting lacks three of them."""
+    nothing = {"value": None, "map_value": None, "nested_value": None, "seq_value": None, "success_count": 2, "fail_count": 0, "fail_reasons": {}, "context_info": '{"q":"x y"}'}
+    kinds = [("n", "DOUBLE_AVG", {"value": 0.25}), ("m", "MAP_UNWEIGHTED_SUM_VALUE", {"map_value": {"a": 1.0, "b": 2.5}}), ("h", "NESTED_MAP_WEIGHTED_SUM_VALUE", {"nested_value": {"a": {"0": 1.0}, "c": {"3": 2.0}}}), ("s", "SEQUENCE_KEEP_FIRST", {"seq_value": ["p", "q\tr"]})]
+    rows = [{"tag": "t", "params": {"p": ["1"]}, "params_key": "p=1", "metric": m, "agg_type": k, **nothing, **own} for m, k, own in kinds]
+    rows.append({**rows[0], "params": {"p": ["2"]}, "params_key": "p=2", "fail_count": 1, "fail_reasons": {"NO_RESULTS": 1}})
+    schema = "tag string, params map<string,array<string>>, params_key string, metric string, agg_type string, value double, map_value map<string,double>, nested_value map<string,map<string,double>>, seq_value array<string>, success_count long, fail_count long, fail_reasons map<string,long>, context_info string"
+    return spark.createDataFrame(rows, schema), {m: k for m, k, _ in kinds}
+
+
+def test_documents_of_all_types(spark, tmp_path):
+    rows, types = typed_rows(spark)
+    want = {(r.params_key, r.metric): (r.value, r.map_value, r.nested_value, r.seq_value, r.success_count, r.fail_count, r.fail_reasons) for r in rows.collect()}
+    empty = {"m": (None, {}, None, None), "h": (None, None, {}, None), "s": (None, None, None, [])}
+    results.write_results_csv(rows, f"file://{tmp_path}/csv", ["p"], types, settings_per_part=1)
+    results.write_results_json(rows, f"file://{tmp_path}/json", settings_per_part=1)
+    back = {"csv": results.read_results_csv(spark, f"file://{tmp_path}/csv", tag=F.col("tag")), "json": results.read_results_json(spark, f"file://{tmp_path}/json")}
+    for name, df in back.items():
+        found = {(r.params_key, r.metric): r for r in df.collect()}
+        for key, r in found.items():
+            own = (r.value, r.map_value, r.nested_value, r.seq_value)
+            assert r.tag == "t" and json.loads(r.context_info) == {"q": "x y"} and r.params == {"p": [key[0][2:]]}, name
+            assert (*own, r.success_count, r.fail_count, r.fail_reasons) == want[key] if key in want else own == empty[key[1]] and r.success_count == 0, (name, key)
+        assert set(want) <= set(found)
+    assert len(list(tmp_path.glob("csv/tag=t/part=*"))) == 2
+
+
+def test_aggregate_by_type(spark):
+    from relevanta.operators.aggregate import aggregate_metrics, aggregate_typed, merge_aggregates
+
+    schema = "tag string, params_key string, metric string, agg_type string, value double, map_value map<string,double>, nested_value map<string,map<string,double>>, seq_value array<string>, seq long, reasons array<string>, w double"
+    rows = [("t", "p", "n", "DOUBLE_AVG", v, None, None, None, i, r, w) for i, (v, r, w) in enumerate([(1.0, [], 1.0), (4.0, [], 2.0), (None, ["A", "B"], 5.0)])]
+    rows += [("t", "p", "u", "MAP_UNWEIGHTED_SUM_VALUE", None, {"a": 1.0, "b": 1.0}, None, None, 0, [], 3.0), ("t", "p", "u", "MAP_UNWEIGHTED_SUM_VALUE", None, {"a": 2.0}, None, None, 1, [], 3.0)]
+    rows += [("t", "p", "h", "NESTED_MAP_WEIGHTED_SUM_VALUE", None, None, {"a": {"0": 1.0}}, None, i, [], 3.0) for i in range(2)]
+    rows += [("t", "p", "s", "SEQUENCE_KEEP_FIRST", None, None, None, x, i, [], 1.0) for i, x in enumerate([[], ["b"], ["a"]])]
+    got = {r.metric: r for r in aggregate_typed(spark.createDataFrame(rows, schema), weight=F.col("w")).collect()}
+    assert (got["n"].value, got["n"].fail_count, got["n"].fail_reasons, got["n"].weighted_success_count) == (3.0, 1, {"A": 1, "B": 1}, 3.0)
+    assert (got["u"].map_value, got["u"].value, got["h"].nested_value, got["s"].seq_value) == ({"a": 3.0, "b": 1.0}, None, {"a": {"0": 6.0}}, ["b"])
+    parts = aggregate_metrics(spark.createDataFrame(rows[:3] * 2, schema), reasons=True)
+    whole = merge_aggregates(parts.unionByName(parts)).first()
+    assert (whole.fail_count, whole.weighted_fail_count, whole.fail_reasons, whole.success_count) == (4, 4.0, {"A": 4, "B": 4}, 8)

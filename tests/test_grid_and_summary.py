@@ -90,3 +90,39 @@ def test_extraction(spark):
     with pytest.raises(ValueError, match="not a selector"):
         extract.parse_selector("a b")
     assert spark.range(1).select(extract.typed_cast(F.array(F.lit("1"), F.lit("x")), "SEQ[INT]").alias("v")).first().v == [1, None]
+
+
+def test_keys_with_dots_and_quotes(spark):
+    rows = spark.createDataFrame([('{"a.b": 3, "a": {"b": 4, "c d": 5, "it\'s?": 6}, "xs": [{"p.q": "1"}, {"r": 0}, {"p.q": "2"}]}',)], "body string")
+    found = rows.select(*(extract.extract_plain(F.col("body"), keys, "INT").alias(f"v{i}") for i, keys in enumerate([["a.b"], ["a", "b"], ["a", "c d"], ["a", "it's?"], ["a", "none"]])), extract.extract_records(F.col("body"), ["xs"], "p.q", "INT").alias("xs")).first()
+    assert tuple(found) == (3, 4, 5, 6, None, [1, 2])
+
+
+def test_direct_fields_stay_in_the_jvm(spark, capsys):
+    rows = spark.createDataFrame([(1, '{"r": {"docs": [{"id": "1", "s": {"id": "in"}}, {"id": "2"}]}}')], "n int, body string")
+    fields = {"ids": (r"\ r \ docs \\ id", "INT")}
+    got = extract.extract_fields(rows, "body", fields, direct=("ids",))
+    got.explain("formatted")
+    assert "EvalPython" not in capsys.readouterr().out and got.first().ids == [1, 2]
+    assert extract.extract_fields(rows, "body", fields).first().ids == [1, None, 2]
+    with pytest.raises(ValueError, match="not a field"):
+        extract.extract_fields(rows, "body", {"x": (r"\\ r \ id", "INT")}, direct=("x",))
+
+
+def test_many_settings_fall_into_buckets(spark):
+    rows = spark.range(40_000).select(F.lit("t").alias("tag"), F.lit("m").alias("metric"), F.col("id").cast("string").alias("params_key"), (F.col("id") % 20_000 / 20_000.0).alias("value"))
+    got = summary.group_similar_values(rows, 0.1).groupBy("bucket").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("value").alias("least"), F.max("bucket_value").alias("head")).orderBy("bucket").collect()
+    assert sum(r.n for r in got) == 40_000 and [r.bucket for r in got] == list(range(len(got)))
+    assert all(r.head == r.most and r.head - r.least <= 0.1 for r in got) and all(a.head - b.head > 0.1 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_products_and_numbers(spark):
+    a, b = values(spark, "x", "y"), values(spark, "1", "2", "3")
+    merged = [r.value for r in grid.grid_merge(a, b, lambda u, v: F.concat(u, v)).orderBy("pos").collect()]
+    assert merged == ["x1", "y1", "x2", "y2", "x3", "y3"]
+    whole = grid.table_grid({"a": a, "b": b, "c": a})
+    left = grid.remove_param(whole, {"a": 2, "b": 3, "c": 2}, "b").orderBy("idx").collect()
+    assert [tuple(r) for r in left] == [(0, "x", "x"), (1, "y", "x"), (2, "x", "y"), (3, "y", "y")]
+    assert [r.mapped for r in grid.grid_map(whole, F.concat("c", "b", "a")).orderBy("idx").limit(3).collect()] == ["x1x", "x1y", "x2x"]
+    many = spark.range(1000).select((1000 - F.col("id")).alias("k")).repartition(7)
+    assert [(r.k, r.at) for r in grid.numbered(many, ["k"], "at").orderBy("at").collect()] == [(i + 1, i) for i in range(1000)]
