@@ -248,6 +248,87 @@ def test_quality(spark, odd, empty):
     assert quality.quality_report(empty, labels).collect() == []
 
 
+def test_quality_against_brute_force(spark):
+    """Scores from raw compressed sizes, and weights at the optimum of the regression."""
+    import zstandard
+
+    rng = random.Random(16)
+    good = texts(17, 120)
+    bad = [" ".join(w.upper() + rng.choice(["!!", "%%%"]) if rng.random() < 0.6 else w for w in t.split()) for t in texts(18, 120)]
+    docs = spark.createDataFrame([*enumerate(good + bad), (900, None), (901, "")], "doc_id long, text string")
+    # 240 is labelled both ways and teaches nothing, and so does 241 with another label
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)] + [(0, 1), (1, 0), (901, 7)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+
+    def size(dictionary: bytes, text: bytes) -> int:
+        z = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        return sum(len(z.compress(text[i : i + quality.BLOCK])) for i in range(0, max(len(text), 1), quality.BLOCK))
+
+    def x(text: str) -> list[float]:
+        raw = (text or "").encode()
+        n, g, b = len(raw) + max(1, -(-len(raw) // quality.BLOCK)), size(model.good, raw), size(model.bad, raw)
+        return [(g - b) / max(g, b), g / n, b / n]
+
+    scale = lambda rows: np.c_[(np.array(rows) - model.mean) / model.spread, np.ones(len(rows))]
+    probability = lambda a: 1 / (1 + np.exp(-(a @ np.array(model.weights))))
+    want = dict(zip([*range(240), 900, 901], probability(scale([x(t) for t in [*good, *bad, None, ""]])), strict=True))
+    got = {r.doc_id: r.score for r in quality.add_quality(docs, model).collect()}
+    assert got == pytest.approx(want)
+    assert np.mean([(got[i] >= 0.5) == (i < 120) for i in range(240)]) >= 0.97
+    # a third of the rows made the dictionaries; over the others the penalised gradient is 0
+    drawn = quality.first_of_each(quality.sampled(docs.join(labels.filter("doc_id between 2 and 239 or doc_id = 0").distinct(), "doc_id").withColumnsRenamed({"doc_id": "_id", "quality": "_label"}), "_label", ["_id", "text"], 2000, 9), "_label", 2000).filter("_rank % 3 <> 1").collect()
+    a, y = scale([x(r.text) for r in drawn]), np.array([r._label for r in drawn])
+    penalty = 1e-3 * len(y) * np.array([1, 1, 1, 1e-6])
+    assert np.abs(a.T @ (probability(a) - y) + penalty * model.weights).max() < 1e-6 * len(y)
+
+
+def test_language_against_brute_force(spark):
+    """With every row a landmark the Nyström map is exact: kernel ridge regression from sets of n-grams gives the margins."""
+    rng = random.Random(14)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(8))
+    rows = [(i, make(["an", "th", "er"]) if i % 2 else make(["zu", "sch", "ü"]), "en" if i % 2 else "de") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=1000)
+
+    def grams(text: str) -> set:
+        raw, out = b" " + text.lower().encode().translate(langid._PLAIN) + b" ", set()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                value = 0
+                for byte in raw[i : i + n]:
+                    value = (value * 257 + byte) % 2**32
+                out.add((value * 2654435761 % 2**32) >> 18)
+        return out
+
+    sets = [grams(t) for _, t, _ in rows]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[lang == x for x in ("de", "en")] for _, _, lang in rows], float)
+    centre = np.eye(40) - 1 / 40
+    alpha = np.linalg.solve(centre @ k @ centre + 1e-2 * np.eye(40), y - y.mean(0))
+    for text in [make(["an", "th", "er"]), make(["zu", "sch", "ü"]), "an zu", "x"]:
+        own = np.array([kernel(grams(text), s) for s in sets])
+        margins = y.mean(0) + (own - k.mean(0)) @ centre @ alpha
+        names, scores = langid.predict([text], model)
+        assert names == [("de", "en")[margins.argmax()]] and scores[0] == pytest.approx(min(1.0, max(0.0, margins.max())), abs=1e-3)
+    assert langid.predict(["1 2 3", None, ""], model)[0] == ["und"] * 3
+
+
+def test_samples_that_no_id_can_crowd(spark):
+    """Thousands of rows without an id, and a row that repeats thousands of times."""
+    rng = random.Random(15)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(8))
+    rows = [(None, make(["an", "th", "er"]), "en") for _ in range(3000)] + [(i, make(["zu", "sch", "ü"]), "de") for i in range(300)] + [(7, "ein zu sch", "de")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.add_language(docs, langid.fit(docs)).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred) for r in got} == {("en", "en"), ("de", "de")}
+    from relevanta.llm.common import first_of_each, sampled
+
+    drawn = sampled(docs, "lang", ["doc_id", "text"], 100, 6)
+    assert drawn.filter("lang = 'en'").count() <= 400
+    counts = {r.lang: r["count"] for r in first_of_each(drawn, "lang", 100).groupBy("lang").count().collect()}
+    assert counts == {"en": 100, "de": 100}
+
+
 def test_near_duplicates(spark, odd, empty):
     rng, rows, groups = random.Random(9), [], []
     for i, t in enumerate(t for t in texts(10, 60, 120) if t.count(" ") > 35):

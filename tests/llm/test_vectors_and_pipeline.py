@@ -125,6 +125,21 @@ def test_nearest_neighbours(spark):
     assert vectors.nearest_neighbours(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_nearest_neighbours_with_ties_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)  # several shards
+    rng = np.random.default_rng(7)
+    x = rng.integers(-1, 2, (200, 4)).astype(float)
+    x[~x.any(1)] = 1.0
+    ids = [*range(190), *range(10)]  # ten ids come twice
+    table = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in vectors.nearest_neighbours(table.filter("vec_id in (50, 100, 150)"), table, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (50, 100, 150):
+        want = sorted((float(np.sqrt(((v - x[q]) ** 2).sum())), i) for i, v in zip(ids, x, strict=True) if i != q)[:10]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(s)) for s, i in want]
+
+
 def test_forest_finds_longest_prefix_first():
     x = cloud(5, 200).astype(float)
     forest = vectors.PrefixForest(x, 8, 1)
@@ -183,3 +198,20 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in packed if r.start == 0) == sorted(ids["mixing"])
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(packed)
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    names = ["row", "score", "_score", "lang_pred", "_language", "key", "position", "positions", "id", "_n", "_key", "all", "rows", "u", "v", "node"]
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40)), "en", f"s{i % 2}", 1, *names) for i in range(30)] + [(None,) * (5 + len(names)), (40, None, "en", None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.staged(stage(spark, now, str(tmp_path)), "stage")
+        assert now.columns == docs.columns and all(tuple(r[5:]) == tuple(names) for r in now.collect() if r.doc_id is not None)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()} >= set(range(30))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
