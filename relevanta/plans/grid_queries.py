@@ -221,7 +221,7 @@ def stream_aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows.write.parquet(f"{base}/rows")
     keys = ["tag", "metric"]
     stream = aggregates.stream_aggregate_metrics(aggregates.read_metric_stream(spark, f"{base}/rows", rows.schema, 2), keys=keys)
-    query = aggregates.write_running(stream, f"{base}/out", f"{base}/state")
+    query = aggregates.write_running(stream, f"{base}/out", f"{base}/state", keys, 3)
     try:
         query.processAllAvailable()
     finally:

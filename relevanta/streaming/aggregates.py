@@ -21,18 +21,31 @@ def stream_aggregate_metrics(rows: DataFrame, tags_col: str | None = "tags", key
     return aggregate_metrics(rows, keys)
 
 
-def write_running(aggregates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the changed aggregates of each trigger under its batch number, so that a batch done twice is one result."""
+def write_running(aggregates: DataFrame, path: str, checkpoint: str, keys: list[str] = KEYS, snapshot_every: int = 20) -> StreamingQuery:
+    """Keeps the changed aggregates of each trigger under its batch number, so that a batch done twice is one result.
+    Every ``snapshot_every`` batches the newest aggregate of each group is written as a snapshot: readers need the last one
+    and the batches after it, however long the stream has run."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        if (number + 1) % snapshot_every == 0:
+            latest(batch.sparkSession, path, keys, number).write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
 
     return aggregates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).start()
 
 
-def latest(spark: SparkSession, path: str, keys: list[str] = KEYS) -> DataFrame:
-    """The newest aggregate of each group that ``write_running`` has kept."""
-    rows = spark.read.parquet(path)
+def latest(spark: SparkSession, path: str, keys: list[str] = KEYS, up_to: int | None = None) -> DataFrame:
+    """The newest aggregate of each group that ``write_running`` has kept (before or in batch ``up_to``)."""
+    rows = spark.read.parquet(f"{path}/changes")
+    if up_to is not None:
+        rows = rows.filter(F.col("batch") <= up_to)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshots")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        snapshots = spark.read.parquet(f"{path}/snapshots")
+        # a snapshot is used once the batch after it has begun: until then it may be half written
+        last = rows.agg(F.max("batch")).first()[0] if up_to is None else up_to
+        newest = snapshots.filter(F.col("batch") < last).agg(F.max("batch")).first()[0]
+        if newest is not None:
+            rows = rows.filter(F.col("batch") > newest).unionByName(snapshots.filter(F.col("batch") == newest))
     columns = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_x"))
-    return newest.select(*keys, "_x.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_x")).select(*keys, "_x.*")

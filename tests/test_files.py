@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,22 @@ def test_aggregate_by_type(spark):
     parts = aggregate_metrics(spark.createDataFrame(rows[:3] * 2, schema), reasons=True)
     whole = merge_aggregates(parts.unionByName(parts)).first()
     assert (whole.fail_count, whole.weighted_fail_count, whole.fail_reasons, whole.success_count) == (4, 4.0, {"A": 4, "B": 4}, 8)
+
+
+def test_stream_with_snapshots(spark, tmp_path):
+    from relevanta.operators.aggregate import aggregate_metrics
+
+    keys = ["tag", "metric"]
+    rows = spark.createDataFrame([([f"t{i % 7}"], "p", "m", float(i), []) for i in range(90)], "tags array<string>, params_key string, metric string, value double, reasons array<string>")
+    rows.repartition(9).write.parquet(f"{tmp_path}/in")
+    stream = aggregates.stream_aggregate_metrics(aggregates.read_metric_stream(spark, f"{tmp_path}/in", rows.schema, 1), keys=keys)
+    query = aggregates.write_running(stream, f"file://{tmp_path}/out", f"{tmp_path}/state", keys, snapshot_every=2)
+    query.processAllAvailable()
+    query.stop()
+    assert len(list(tmp_path.glob("out/snapshots/batch=*"))) >= 3
+    want = aggregate_metrics(rows.withColumn("tag", F.explode("tags")), keys).orderBy(*keys).collect()
+    assert aggregates.latest(spark, f"file://{tmp_path}/out", keys).orderBy(*keys).collect() == want
+    # batches before the last snapshot are not needed any more
+    for old in range(4):
+        shutil.rmtree(tmp_path / f"out/changes/batch={old}")
+    assert aggregates.latest(spark, f"file://{tmp_path}/out", keys).orderBy(*keys).collect() == want
