@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier finds good, learned from the labels outside its hold-out. Null ids have no
     label, but are scored; empty texts go where short texts without words of their own go."""
     model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rows = quality.add_quality(docs.select(F.struct("*").alias("row"), "text"), model)
+    rows = quality.add_quality(docs.select(F.struct("*").alias("row")), model, text_col="row.text")
     return rows.filter(F.col("score") >= GOOD).select("row.*")
 
 
@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a language that the identifier knows, learned from documents outside its hold-out. Texts that are null
     or without a letter go; a null ``lang`` is not learned from."""
     known = docs.select("doc_id", "text", "lang").filter(~held_out("doc_id", 3, 1))
-    rows = langid.add_language(docs.select(F.struct("*").alias("row"), "text"), langid.fit(known))
+    rows = langid.add_language(docs.select(F.struct("*").alias("row")), langid.fit(known), text_col="row.text")
     return rows.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
