@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Caches of a Python worker process that outlive a task, so that later tasks of the stage find them filled.
+CACHES: list = []
+
+
+def free_caches() -> None:
+    """Drops them. Spark hands workers on from stage to stage; one that has no use for the caches needs the memory."""
+    for cache in CACHES:
+        cache.cache_clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, one of our own if driver and
     executors are one process (tests); on a cluster it must be set."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from relevanta.llm.common import chunks, first_of_each, held_out, sampled
+from relevanta.llm.common import chunks, first_of_each, free_caches, held_out, sampled
 
 BUCKETS = 1 << 14
 #: ASCII characters other than letters read as spaces.
@@ -123,6 +123,7 @@ def add_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
     @F.pandas_udf("name string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        free_caches()
         for texts in batches:
             names, scores = predict([t if isinstance(t, str) else None for t in texts], shared.value)
             yield pd.DataFrame({"name": names, "score": scores})

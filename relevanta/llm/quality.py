@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import first_of_each, held_out, sampled, staged
+from relevanta.llm.common import first_of_each, free_caches, held_out, sampled, staged
 
 BLOCK = 256
 LEVEL = 3
@@ -133,6 +133,7 @@ def add_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", sc
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        free_caches()
         for texts in batches:
             x = np.array([features(t or "", good, bad) for t in texts]).reshape(-1, len(mean))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / spread, np.ones(len(x))] @ weights, -500, 500))))

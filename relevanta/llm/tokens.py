@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-from relevanta.llm.common import chunks
+from relevanta.llm.common import CACHES, chunks
 
 CACHE_ENTRIES = 900_000
 #: Letters, then ASCII marks: two words to the tokenizer.
@@ -101,6 +101,9 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+CACHES.append(encoder)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
