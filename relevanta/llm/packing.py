@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from relevanta.llm.common import chunks, list_array, staged, texts_of
 from relevanta.llm.token_files import ids_digest
-from relevanta.llm.tokens import default_tokenizer, encoder
+from relevanta.llm.tokens import CACHE_ENTRIES, default_tokenizer, encoder
 
 
 def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -77,7 +77,7 @@ def _lookup(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def cut_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces ``(part, rank, doc_id, start, length, doc_tokens, ids)``; ``rank`` counts earlier pieces of the same length in the partition."""
     path = tokenizer or default_tokenizer()
     schema = f"part int, rank long, {id_col} {docs.schema[id_col].dataType.simpleString()}, start long, length long, doc_tokens long, ids array<int>"
@@ -85,7 +85,7 @@ def cut_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenize
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, end, codec = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), np.int32(end_id).tobytes(), encoder(path)
+        part, seen, end, codec = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), np.int32(end_id).tobytes(), encoder(path, cache_entries)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for i, j in chunks(texts, 4_000_000):
@@ -138,9 +138,9 @@ def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, tokeniz
     return place(pieces, pieces.groupBy("part", "length").agg(F.count("*").alias("n")), window)
 
 
-def packing_report(docs: DataFrame, window: int = 2048) -> DataFrame:
+def packing_report(docs: DataFrame, window: int = 2048, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """The contract's rows: the same placement, with each piece's ids reduced to their digest before the shuffle."""
-    pieces = staged(cut_documents(docs, window), "pieces")
+    pieces = staged(cut_documents(docs, window, cache_entries=cache_entries), "pieces")
     digests = ids_digest(pieces, ["part", "rank", "doc_id", "start", "length", "doc_tokens"]).drop("n_ids")
     placed = place(digests, pieces.groupBy("part", "length").agg(F.count("*").alias("n")), window)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

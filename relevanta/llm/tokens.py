@@ -96,9 +96,9 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> PieceEncoder:
     """One encoder per worker process and file; workers are reused by later tasks."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, cache_entries)
 
 
 CACHES.append(encoder)
