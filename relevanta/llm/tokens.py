@@ -2,7 +2,10 @@
 
 The tokenizer splits at every single space or line feed between two other characters, so the ids of a text are the
 ids of its space-separated pieces one after another. Pieces repeat, so each process keeps theirs. A text with other
-white space next to a split point is encoded in one call.
+white space next to a split point is encoded in one call, and so is one that holds a special token's string, unless such
+strings are to be plain text.
+
+Defined results: an empty text has no ids; callers give null texts as empty ones.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ class _Cache(dict):
         return ids
 
 
-def _byte_letters(tokenizer) -> dict[int, str]:
+def byte_letters(tokenizer) -> dict[int, str]:
     """The letter by which byte-level BPE writes each byte, as the tokenizer itself writes it (texts in UTF-8)."""
     out: dict[int, str] = {}
     for code in [*range(0x100), *range(0x100, 0x110000, 0x40)]:
@@ -43,14 +46,19 @@ def _byte_letters(tokenizer) -> dict[int, str]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    """``plain``: strings of special tokens in a text are plain text; else each is its token's id, as the tokenizer's own
+    calls have it."""
+
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.mapped = _byte_letters(self.tokenizer)
+        self.tokenizer.encode_special_tokens = plain
+        marks = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, marks))).search if marks else lambda _: None
+        self.mapped = byte_letters(self.tokenizer)
         self.most = cache_entries
-        self.cache, self.marks = _Cache(self._piece), _Cache(self._word)
+        self.cache, self.marks = _Cache(self.piece), _Cache(self._word)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
@@ -58,8 +66,8 @@ class PieceEncoder:
     def _word(self, mapped: str) -> bytes:
         return array("i", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece with the space or line feed before it; None where it can't stand alone."""
+    def piece(self, piece: str) -> bytes | None:
+        """Ids of a piece with the space or line feed before it, specials as plain text; None where it can't stand alone."""
         if piece.isalpha():
             return self._word("Ġ" + piece if piece.isascii() else (b" " + piece.encode()).decode("latin-1").translate(self.mapped))
         if (marked := _MARKED.fullmatch(piece)) and marked[1].isalpha():
@@ -84,6 +92,9 @@ class PieceEncoder:
             self.marks.clear()
         get, out = self.cache.__getitem__, []
         for text in texts:
+            if self.special(text):
+                out.append(self._ids(text).tobytes())
+                continue
             pieces = text.replace("\n", " \n").split(" ")
             cut = 0
             if pieces[0]:  # no space before the first one: read it after a line feed and drop that id
@@ -96,9 +107,9 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> PieceEncoder:
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES, plain: bool = False) -> PieceEncoder:
     """One encoder per worker process and file; workers are reused by later tasks."""
-    return PieceEncoder(path, cache_entries)
+    return PieceEncoder(path, cache_entries, plain)
 
 
 CACHES.append(encoder)

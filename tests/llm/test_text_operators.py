@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files
 from relevanta.llm.lattice import Lattice, load_pieces
@@ -27,7 +29,7 @@ def odd(spark):
     rows = [(i, t, "en", f"s{i % 3}", len(t), "x", "y", "z") for i, t in enumerate(texts(1, 20))]
     rows += [(100, None, None, None, None, None, None, None), (101, "", "en", None, 0, "", "", ""), (102, " \n\t", None, "s0", 3, "", "", "")]
     rows += [(None, "no id here at all", "en", "s1", 5, "", "", ""), (None, None, None, None, None, None, None, None)]
-    rows += [rows[0], rows[0], (103, "long " * 30_000, "en", "s2", 1, "", "", ""), (104, "x" * 5000, None, "s2", 1, "", "", "")]
+    rows += [rows[0], rows[0], (103, "long " * 30_000, "en", "s2", 1, "", "", ""), (104, "x" * 5000, None, "s2", 1, "", "", ""), (105, "a <|endoftext|> b<|endoftext|>", "en", "s1", 1, "", "", "")]
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
@@ -36,8 +38,14 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@functools.lru_cache
+def fresh() -> Tokenizer:
+    """The library's own tokenizer, nothing set."""
+    return Tokenizer.from_file(default_tokenizer())
+
+
 def plain_ids(text: str | None) -> list[int]:
-    return encoder(default_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return fresh().encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids: list[int]) -> int:
@@ -48,8 +56,11 @@ def test_piece_encoder_equals_tokenizer():
     rng = random.Random(3)
     parts = ["a", "the", "  ", " ", "\n", "\t", "!", "'s", "é", "1", "\x1c", "\x85", "<|endoftext|>", "Ġ", "\r\n", "漢", "😀", "don't", "x,", "é.", "²x"]
     many = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    codec = encoder(default_tokenizer())
-    assert [np.frombuffer(b, np.int32).tolist() for b in codec.encode(many)] == [e.ids for e in codec.tokenizer.encode_batch(many, add_special_tokens=False)]
+    assert [np.frombuffer(b, np.int32).tolist() for b in encoder(default_tokenizer()).encode(many)] == [e.ids for e in fresh().encode_batch(many, add_special_tokens=False)]
+    assert 50256 in plain_ids("a <|endoftext|> b")
+    plain, flagged = Tokenizer.from_file(default_tokenizer()), encoder(default_tokenizer(), plain=True)
+    plain.encode_special_tokens = True
+    assert [np.frombuffer(b, np.int32).tolist() for b in flagged.encode(many)] == [e.ids for e in plain.encode_batch(many, add_special_tokens=False)]
 
 
 def test_token_files(spark, odd, empty, tmp_path):
