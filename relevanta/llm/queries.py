@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files, trie, vectors
+from relevanta.llm import alignment, chat, langid, mixing, near_dup, packing, quality, scoring, token_files, trie, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +52,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie_report(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op4_embedding_near_dup, op5_mixing, op6_language_id, op7_token_files, op8_nearest_neighbours, op9_quality, op10_near_duplicates, op13_prefix_trie)
+    for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op4_embedding_near_dup, op5_mixing, op6_language_id, op7_token_files, op8_nearest_neighbours, op9_quality, op10_near_duplicates, op12_token_alignment, op13_prefix_trie)
 }
 
 _CONTROLS = r"(\\*)(<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)"
