@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevanta.llm import alignment, chat, langid, mixing, near_dup, packing, quality, scoring, token_files, trie, vectors
+from relevanta.llm import alignment, chat, langid, mixing, near_dup, packing, quality, scoring, token_files, trie, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op4_embedding_near_dup, op5_mixing, op6_language_id, op7_token_files, op8_nearest_neighbours, op9_quality, op10_near_duplicates, op12_token_alignment, op13_prefix_trie)
+    for f in (op1_lm_scoring, op2_chat_formatting, op3_packing, op4_embedding_near_dup, op5_mixing, op6_language_id, op7_token_files, op8_nearest_neighbours, op9_quality, op10_near_duplicates, op11_capture_index, op12_token_alignment, op13_prefix_trie)
 }
 
 _CONTROLS = r"(\\*)(<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)"
@@ -86,6 +90,10 @@ ORACLES = {
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
             CAST(sum(32 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op11_capture_index": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+        x AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first_id FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM x""",
     "op13_prefix_trie": f"""
         WITH t AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
