@@ -51,7 +51,7 @@ def digits(index: Column, sizes: list[int]) -> list[Column]:
     """Position of each parameter in the ``index``-th combination."""
     out, stride = [], 1
     for n in sizes:
-        out.append(F.pmod(F.floor(index / F.lit(stride)).cast("long") if stride > 1 else index.cast("long"), F.lit(n)).cast("int"))
+        out.append(F.pmod(F.call_function("div", index.cast("long"), F.lit(stride).cast("long")), F.lit(max(n, 1))).cast("int"))
         stride *= n
     return out
 

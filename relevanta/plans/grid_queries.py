@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevanta.functions import text
-from relevanta.operators import grid, requests
+from relevanta.operators import conditional, grid, requests
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, REQUESTS
 
@@ -26,7 +26,7 @@ def register(sql: str | None = None):
 def _values(spark: SparkSession, d: str, name: str, column: str, where: str = "true") -> DataFrame:
     """``(pos, value)``: a column's distinct values in order."""
     rows = t.table(spark, d, name).filter(where).select(F.col(column).cast("string").alias("value")).distinct()
-    return rows.select((F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("pos"), "value")
+    return grid.numbered(rows, ["value"], "pos").select("pos", "value")
 
 
 def _v(alias: str, name: str, column: str, where: str = "true") -> str:
@@ -186,6 +186,72 @@ def batch_at_most(spark: SparkSession, d: str) -> DataFrame:
     return grid.batch_at_most(grid.table_grid(tables), 7, total).groupBy("batch_nr").agg(F.count("*").alias("n"))
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """``key, pos, value`` of mapped values that are in the order of their text."""
+    return rows.select("key", F.lit(0).cast("long").alias("pos"), "value").distinct()
+
+
+def _conditional(spark: SparkSession, d: str) -> conditional.ConditionalGrid:
+    """Regions have nations, which have suppliers, and segments; ragged at every level, with dead ends."""
+    _, nations, suppliers = _regions(spark, d)
+    nation, region = t.table(spark, d, "nation"), t.table(spark, d, "region")
+    rich = t.table(spark, d, "customer").filter("c_acctbal > 9800").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    segments = rich.select(F.col("r_name").alias("key"), F.concat_ws("/", "c_mktsegment", F.left("n_name", F.lit(1))).alias("value"))
+    mappings = [("nation", _places(nations), "region"), ("supplier", _places(suppliers), "nation"), ("segment", _places(segments), "region")]
+    return conditional.conditional_grid(_values(spark, d, "region", "r_name"), "region", mappings)
+
+
+_CONDITIONAL = """s AS (SELECT DISTINCT r_name, c_mktsegment || '/' || n_name[1] AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9800),
+    n AS (SELECT DISTINCT r_name, n_name, s_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 0),
+    whole AS (SELECT row_number() OVER (ORDER BY r_name, segment, n_name, s_name) - 1 AS idx, r_name AS region, n_name AS nation, s_name AS supplier, segment FROM n JOIN s USING (r_name))"""
+
+
+@register(f"WITH {_CONDITIONAL} SELECT count(*) AS n FROM whole")
+def conditional_size(spark: SparkSession, d: str) -> DataFrame:
+    return _conditional(spark, d).size()
+
+
+@register(f"WITH {_CONDITIONAL} SELECT * FROM whole")
+def conditional_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _conditional(spark, d).slice(spark)
+
+
+@register(f"WITH {_CONDITIONAL} SELECT * FROM whole WHERE idx BETWEEN (SELECT count(*) // 3 FROM whole) AND (SELECT count(*) // 2 FROM whole)")
+def conditional_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The middle of the grid, from a third to a half of its ranks."""
+    grid_ = _conditional(spark, d)
+    n = grid_.count()
+    return grid_.slice(spark, n // 3, n // 2 + 1)
+
+
+@register(f"WITH {_CONDITIONAL} SELECT * FROM whole WHERE idx = (SELECT count(*) * 3 // 4 FROM whole)")
+def conditional_nth(spark: SparkSession, d: str) -> DataFrame:
+    grid_ = _conditional(spark, d)
+    return grid_.nth(spark, grid_.count() * 3 // 4)
+
+
+@register(f"WITH {_CONDITIONAL} SELECT row_number() OVER (ORDER BY region) - 1 AS batch_nr, region, min(idx) AS start, max(idx) + 1 AS end FROM whole GROUP BY region")
+def conditional_batches(spark: SparkSession, d: str) -> DataFrame:
+    return _conditional(spark, d).batches()
+
+
+@register(f"""WITH {_CONDITIONAL}, {_v('p', 'orders', 'o_orderpriority')}, b AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY region) AS k, dense_rank() OVER (ORDER BY region) - 1 AS batch_nr FROM whole)
+    SELECT batch_nr, i + k * p.pos AS nr, region, nation, supplier, segment, p.value AS priority FROM b, p""")
+def conditional_batch_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Batches by the key of the conditional values; each has all values of another parameter."""
+    return _conditional(spark, d).batch_rows({"priority": _values(spark, d, "orders", "o_orderpriority")})
+
+
+@register(f"""WITH {_CONDITIONAL}, {_v('p', 'orders', 'o_orderpriority')}, {_v('ty', 'part', 'p_brand')}, k AS (SELECT count(*) AS n FROM whole)
+    SELECT * FROM (SELECT idx + k.n * (p.pos + (SELECT count(*) FROM p) * ty.pos) AS idx, region, nation, supplier, segment, p.value AS priority, ty.value AS brand FROM whole, p, ty, k) WHERE idx BETWEEN (SELECT n FROM k) AND (SELECT n * 2 FROM k)""")
+def conditional_product(spark: SparkSession, d: str) -> DataFrame:
+    """A slice of the product of the conditional grid with two other parameters."""
+    grid_ = _conditional(spark, d)
+    n = grid_.count()
+    others = {"priority": _values(spark, d, "orders", "o_orderpriority"), "brand": _values(spark, d, "part", "p_brand")}
+    return conditional.product_slice(spark, grid_, others, n, 2 * n + 1)
+
+
 _ENCODED = "replace(replace(replace({c}, '%', '%25'), ' ', '+'), '#', '%23')"
 
 
