@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["tag", "params_key", "metric"]
+COUNTS = ("success_count", "weighted_success_count", "fail_count")
 
 
 def to_metric_value(rows: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -25,6 +26,13 @@ def aggregate_metrics(rows: DataFrame, keys: list[str] = KEYS, weight: Column |
     failed a sample. ``more`` are aggregates of the caller's own over the rows and their counts, by name.
     """
     one = to_metric_value(rows, weight)
+    if reasons and not more:
+        # a row stands once for each of its reasons; its first stands for the row
+        each = one.select(*keys, "value", *COUNTS, F.posexplode_outer("reasons").alias("_at", "reason"))
+        is_row = F.coalesce(F.col("_at") == 0, F.lit(True))
+        weighed = F.sum(F.when(is_row, F.col("weighted_success_count") * F.col("value"))).alias("_weighed")
+        by_reason = each.groupBy(*keys, "reason").agg(weighed, *(F.sum(F.when(is_row, F.col(c))).alias(c) for c in COUNTS), F.count("reason").alias("n"))
+        return _over_reasons(by_reason, keys)
     out = one.groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.sum(F.col("weighted_success_count") * F.col("value")), F.sum("weighted_success_count")), F.lit(0.0)).alias("value"),
         F.sum("success_count").alias("success_count"),
@@ -35,6 +43,17 @@ def aggregate_metrics(rows: DataFrame, keys: list[str] = KEYS, weight: Column |
     return with_reasons(out, agg_fail_reasons(rows, keys), keys) if reasons else out
 
 
+def _over_reasons(by_reason: DataFrame, keys: list[str]) -> DataFrame:
+    """The aggregate of sums by keys and reason (null: none), ``_weighed``, counts and ``n`` samples with the reason."""
+    named = F.collect_list(F.when(F.col("reason").isNotNull() & (F.col("n") > 0), F.struct("reason", "n")))
+    sums = by_reason.groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.sum("_weighed"), F.sum("weighted_success_count")), F.lit(0.0)).alias("value"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS),
+        F.map_from_entries(F.array_sort(named)).alias("fail_reasons"),
+    )
+    return sums.select(*keys, "value", "success_count", "weighted_success_count", "fail_count", F.col("fail_count").cast("double").alias("weighted_fail_count"), "fail_reasons")
+
+
 def with_reasons(aggregated: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """``aggregated`` with ``weighted_fail_count`` and ``fail_reasons`` of ``counts(keys, reason, n)``."""
     maps = counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("fail_reasons"))
@@ -73,16 +92,12 @@ def aggregate_salted(rows: DataFrame, keys: list[str] = KEYS, salts: int = 32, w
 
 def merge_aggregates(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Aggregates of aggregates: means by weight, counts added, fail reasons too where the rows have them."""
-    out = rows.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("weighted_success_count")), F.sum("weighted_success_count")), F.lit(0.0)).alias("value"),
-        F.sum("success_count").alias("success_count"),
-        F.sum("weighted_success_count").alias("weighted_success_count"),
-        F.sum("fail_count").alias("fail_count"),
-    )
-    if "fail_reasons" not in rows.columns:
-        return out
-    counts = rows.select(*keys, F.explode("fail_reasons").alias("reason", "_n")).groupBy(*keys, "reason").agg(F.sum("_n").alias("n"))
-    return with_reasons(out, counts, keys)
+    weighed = F.col("value") * F.col("weighted_success_count")
+    if "fail_reasons" in rows.columns:
+        each = rows.select(*keys, weighed.alias("_weighed"), *COUNTS, F.posexplode_outer("fail_reasons").alias("_at", "reason", "_n"))
+        is_row = F.coalesce(F.col("_at") == 0, F.lit(True))
+        return _over_reasons(each.groupBy(*keys, "reason").agg(*(F.sum(F.when(is_row, F.col(c))).alias(c) for c in ("_weighed", *COUNTS)), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")), keys)
+    return rows.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(weighed), F.sum("weighted_success_count")), F.lit(0.0)).alias("value"), *(F.sum(c).alias(c) for c in COUNTS))
 
 
 def apply_weight(rows: DataFrame, weight: Column) -> DataFrame:

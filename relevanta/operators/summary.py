@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevanta.functions.text import params_key
+from relevanta.operators.ranges import prefix_sums, quotient
 from relevanta.sources.work import staged
 
 GROUP = ["tag", "metric"]
@@ -50,8 +51,22 @@ def _by_param(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def max_median_shift(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     """``keys, param, median_shift``: how far apart the medians of a parameter's values lie."""
-    medians = _by_param(rows.filter(F.col("success_count") > 0), keys).groupBy(*keys, "param", "setting").agg(F.percentile("value", F.lit(0.5)).alias("m"))
-    return medians.groupBy(*keys, "param").agg((F.max("m") - F.min("m")).alias("median_shift"))
+    medians = exact_medians(_by_param(rows.filter(F.col("success_count") > 0), keys), [*keys, "param", "setting"], "value")
+    return medians.groupBy(*keys, "param").agg((F.max("median") - F.min("median")).alias("median_shift"))
+
+
+def exact_medians(rows: DataFrame, keys: list[str], value_col: str) -> DataFrame:
+    """``keys, median``: the middle value, or the mean of the two middle ones; nulls don't count. Equal values are counted
+    first, then each different one finds its ranks by prefix sums over ranges of the order: no task and no row holds a
+    group, however large."""
+    counts = rows.filter(F.col(value_col).isNotNull()).groupBy(*keys, F.col(value_col).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = prefix_sums(counts, keys, ["_v"], "_n", "_before")
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    low, high = quotient(F.col("_all") - 1, 2), quotient(F.col("_all"), 2)  # the middle ranks, from 0
+    holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    same = [placed[k].eqNullSafe(sizes[k]) for k in keys]
+    middle = placed.join(sizes, same).select(*(placed[k] for k in keys), "_v", holds(low).alias("_low"), holds(high).alias("_high")).filter("_low or _high")
+    return middle.groupBy(*keys).agg(((F.max(F.when(F.col("_low"), F.col("_v"))) + F.max(F.when(F.col("_high"), F.col("_v")))) / 2).alias("median"))
 
 
 def max_single_result_shift(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
@@ -87,8 +102,9 @@ def summary_winner_loser(summary: DataFrame, keys: list[str] = GROUP) -> DataFra
 
 def improving_losing(rows: DataFrame, current_key: str, query_col: str = "tag") -> DataFrame:
     """``query, metric, params_key, change``: each setting's value less the one of the current setting."""
-    now = rows.filter(F.col("params_key") == current_key).select(query_col, "metric", F.col("value").alias("_now"))
-    return rows.filter(F.col("params_key") != current_key).join(now, [query_col, "metric"]).select(query_col, "metric", "params_key", (F.col("value") - F.col("_now")).alias("change"))
+    now = F.max(F.when(F.col("params_key") == current_key, F.col("value"))).over(Window.partitionBy(query_col, "metric"))
+    compared = rows.select(query_col, "metric", "params_key", (F.col("value") - now).alias("change"), now.isNotNull().alias("_known"))
+    return compared.filter(F.col("_known") & (F.col("params_key") != current_key)).drop("_known")
 
 
 def uncompared_queries(rows: DataFrame, current_key: str, query_col: str = "tag") -> DataFrame:
@@ -98,12 +114,17 @@ def uncompared_queries(rows: DataFrame, current_key: str, query_col: str = "tag"
 
 
 def top_bottom_per_setting(rows: DataFrame, n: int, k: int, value_col: str = "change", by: list[str] | None = None, tie_col: str = "tag") -> DataFrame:
-    """The ``n`` highest and ``k`` lowest rows of each setting, ``kind`` and ``rank`` added."""
+    """The ``n`` highest and ``k`` lowest rows of each setting, ``kind`` and ``rank`` added. The rows are written once; each
+    end is a window with a limit of its own, so that a task passes on no more than ``n`` and ``k`` rows of a setting (up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``)."""
     by = by or ["metric", "params_key"]
-    place = lambda order: F.row_number().over(Window.partitionBy(*by).orderBy(order, tie_col))
-    ranked = rows.withColumns({"_high": place(F.desc(value_col)), "_low": place(F.asc(value_col))}).filter((F.col("_high") <= n) | (F.col("_low") <= k))
-    kinds = F.array(F.when(F.col("_high") <= n, F.struct(F.col("_high").alias("rank"), F.lit("best").alias("kind"))), F.when(F.col("_low") <= k, F.struct(F.col("_low").alias("rank"), F.lit("worst").alias("kind"))))
-    return ranked.withColumn("_kind", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).select(*rows.columns, "_kind.rank", "_kind.kind")
+    rows = staged(rows, "ranked")
+
+    def end(order: Column, most: int, kind: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(order, tie_col))
+        return rows.withColumn("rank", place).filter(F.col("rank") <= most).withColumn("kind", F.lit(kind))
+
+    return end(F.desc(value_col), n, "best").unionByName(end(F.asc(value_col), k, "worst"))
 
 
 def query_metric_variance(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relevanta.functions import ranking, text
 from relevanta.operators import aggregate as agg
-from relevanta.operators import tags
+from relevanta.operators import fold, tags
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, REQUESTS
 from relevanta.sources.results import reasons_text
@@ -78,6 +78,21 @@ def user_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agg.aggregate_metrics(t.metric_rows(spark, d), ["tag", "metric"], more=more))
 
 
+_SPANS = """x AS (SELECT l_suppkey, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS low, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + floor(l_quantity / 4)::BIGINT AS high FROM lineitem),
+    m AS (SELECT *, max(high) OVER (PARTITION BY l_suppkey ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM x),
+    i AS (SELECT *, sum(CASE WHEN seen IS NULL OR low > seen + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM m),
+    s AS (SELECT l_suppkey, island, min(low) AS low, max(high) AS high FROM i GROUP BY ALL), g AS (SELECT *, low - lag(high) OVER (PARTITION BY l_suppkey ORDER BY low) - 1 AS gap FROM s)"""
+
+
+@register(f"WITH {_SPANS} SELECT l_suppkey, count(*) AS spans, sum(high - low + 1)::BIGINT AS days, coalesce(max(gap), 0) AS longest_gap FROM g GROUP BY 1")
+def user_fold(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate by start, step and merge: the periods in which each supplier has something on its way, as a union of
+    intervals, how many there are, their days and the longest gap between two."""
+    day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    rows = t.table(spark, d, "lineitem").select("l_suppkey", day.alias("low"), (day + F.floor(F.col("l_quantity") / 4)).alias("high"))
+    return fold.user_aggregate(rows, ["l_suppkey"], ["low", "high"], fold.Spans.start, fold.Spans.step, fold.Spans.merge, "spans long, days long, longest_gap long", fold.Spans.finish)
+
+
 @register(f"WITH {METRIC_ROWS} SELECT 'segment ' || lower(tag) AS tag, metric, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(value)::DOUBLE AS weighted_success_count, count(*) - count(value) AS fail_count FROM m WHERE tag LIKE '%A%' GROUP BY ALL")
 def user_mapping(spark: SparkSession, d: str) -> DataFrame:
     """A filter and a mapping of tags by the caller's own functions of columns."""
