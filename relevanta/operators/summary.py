@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevanta.functions.text import params_key
+from relevanta.operators.greedy import greedy_buckets
 from relevanta.operators.ranges import prefix_sums, quotient
 from relevanta.sources.work import staged
 
@@ -16,14 +17,12 @@ GROUP = ["tag", "metric"]
 
 def group_similar_values(rows: DataFrame, threshold: float = 0.01, keys: list[str] = GROUP) -> DataFrame:
     """``keys, bucket, bucket_value, params_key, value``: values in descending order fall into buckets; a row joins while
-    it is within ``threshold`` of its bucket's first value. One fold over each group's different values keeps the first
-    values alone, at most the group's range over ``threshold``; each row then finds its own. Rows without a value drop out."""
-    none = F.array().cast("array<double>")
-    heads = F.aggregate(F.sort_array(F.collect_set("value"), asc=False), none, lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1) - x <= threshold), s).otherwise(F.array_append(s, x)))
-    firsts = rows.groupBy(*keys).agg(heads.alias("_heads"))
-    bucket = F.size(F.filter("_heads", lambda h: h >= F.col("value")))
-    found = rows.filter("value is not null").select(*keys, "params_key", "value").join(firsts, keys).withColumn("_n", bucket)
-    return found.select(*keys, (F.col("_n") - 1).alias("bucket"), F.element_at("_heads", F.col("_n")).alias("bucket_value"), "params_key", "value")
+    it is within ``threshold`` of its bucket's first value. Each group's different values are folded range by range
+    (``greedy_buckets``); each row then finds its own. Rows without a value drop out."""
+    heads = greedy_buckets(rows, keys, threshold).withColumnsRenamed({k: f"_{k}" for k in keys} | {"value": "_value"})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("value").cast("double") == F.col("_value")]
+    found = rows.filter("value is not null").select(*keys, "params_key", "value").join(heads, same)
+    return found.select(*keys, F.col("bucket").cast("int").alias("bucket"), F.col("head").alias("bucket_value"), "params_key", "value")
 
 
 def tie_break_score(params: Column, per_param: float = 1000.0, per_unit: float = 1.0) -> Column:
