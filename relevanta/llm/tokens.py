@@ -54,8 +54,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        marks = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, marks))).search if marks else lambda _: None
+        self.specials = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mapped = byte_letters(self.tokenizer)
         self.most = cache_entries
         self.cache, self.marks = _Cache(self.piece), _Cache(self._word)
@@ -92,7 +91,7 @@ class PieceEncoder:
             self.marks.clear()
         get, out = self.cache.__getitem__, []
         for text in texts:
-            if self.special(text):
+            if any(mark in text for mark in self.specials):
                 out.append(self._ids(text).tobytes())
                 continue
             pieces = text.replace("\n", " \n").split(" ")
