@@ -227,6 +227,20 @@ TREES, BITS = 40, 48
 SHARD, QUERIES = 20_000, 20_000
 
 
+def _exponents(x: np.ndarray) -> np.ndarray:
+    """Of each row the power of two that is just above its largest component."""
+    return np.frexp(np.abs(x).max(1, initial=0.0))[1]
+
+
+def distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, however large or small: squares are taken of differences over a power of two, which
+    changes no digit of those that neither overflow nor vanish."""
+    apart = x - query
+    by = _exponents(apart)
+    by = np.where(np.abs(by) < 400, 0, by)
+    return np.ldexp(np.sqrt((np.ldexp(apart, -by[:, None]) ** 2).sum(1)), by)
+
+
 class PrefixForest:
     """Sorted arrays of ``BITS``-bit hash strings, one a tree, over the rows of one shard."""
 
@@ -236,9 +250,15 @@ class PrefixForest:
         strings = np.ascontiguousarray(self.strings(x).T)
         self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(strings, self.order, 1)
-        self.squares = (x * x).sum(1)
+        # the same rows over one power of two, for a first look without overflow
+        by = int(_exponents(x).max()) if len(x) else 0
+        self.by = by if abs(by) >= 400 else 0
+        self.near = np.ldexp(x, -self.by) if self.by else x
+        self.squares = (self.near * self.near).sum(1)
 
     def strings(self, x: np.ndarray) -> np.ndarray:
+        by = _exponents(x)  # signs don't depend on it
+        x = x if (np.abs(by) < 400).all() else np.ldexp(x, -by[:, None])
         weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
         out = np.empty((len(x), self.trees), np.uint64)
         for i in range(0, len(x), 2048):
@@ -270,6 +290,17 @@ class PrefixForest:
         return np.flatnonzero(found)
 
 
+    def nearest_of(self, found: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
+        """Which of the rows may be among the ``k`` nearest; the bound keeps all ties of the k-th. All of them where the
+        query is of another size than the rows."""
+        if int(_exponents(query[None])[0]) - self.by > 400:
+            return np.ones(len(found), bool)
+        query = np.ldexp(query, -self.by) if self.by else query
+        rough = self.squares[found] - 2 * (self.near[found] @ query)
+        bound = np.partition(rough, k - 1)[k - 1]
+        return rough <= bound + 1e-9 * (1 + abs(bound) + query @ query)
+
+
 def nearest_neighbours(queries: DataFrame, table: DataFrame, k: int = 10, share: float = 0.5, least: int = 1000, trees: int = TREES, seed: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found by Euclidean distance for each query.
 
@@ -314,11 +345,9 @@ def nearest_neighbours(queries: DataFrame, table: DataFrame, k: int = 10, share:
                 for name, query, strings in zip(names, x, forest.strings(x), strict=True):
                     found = forest.candidates(strings, most)
                     found = found[known[found] != name]
-                    if len(found) > k:  # the bound keeps all ties of the k-th
-                        rough = forest.squares[found] - 2 * (forest.x[found] @ query)
-                        bound = np.partition(rough, k - 1)[k - 1]
-                        found = found[rough <= bound + 1e-9 * (1 + abs(bound) + query @ query)]
-                    score = np.sqrt(((forest.x[found] - query) ** 2).sum(1))
+                    if len(found) > k:
+                        found = found[forest.nearest_of(found, query, k)]
+                    score = distances(forest.x[found], query)
                     best = np.lexsort((known[found], score))[:k]
                     out += zip([name] * len(best), known[found][best], score[best], strict=True)
                 q, v, s = zip(*out, strict=True) if out else ((), (), ())

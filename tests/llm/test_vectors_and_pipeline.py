@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -140,6 +141,28 @@ def test_nearest_neighbours_with_ties_and_repeated_ids(spark, monkeypatch):
         assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(s)) for s, i in want]
 
 
+@pytest.mark.parametrize("sizes", [[200], [-170], [-320], [200, -170, 0], [307, -307]])
+def test_nearest_neighbours_of_any_size(spark, sizes):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((120, 8)) * np.array([10.0 ** sizes[i % len(sizes)] for i in range(120)])[:, None] / 10
+    table = spark.createDataFrame(list(zip(range(120), x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in vectors.nearest_neighbours(table.filter("vec_id % 10 = 0"), table, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    for q in range(0, 120, 10):
+        want = sorted((math.dist(x[q].tolist(), v.tolist()), i) for i, v in enumerate(x) if i != q)[:10]
+        assert [s for _, s, _ in sorted(got[q])] == pytest.approx([s for s, _ in want], rel=1e-12, abs=0)
+        assert all(0 < s < math.inf for _, s, _ in got[q])
+        if len(sizes) == 1:
+            assert [i for *_, i in sorted(got[q])] == [i for _, i in want]
+
+
+def test_distances_of_common_size_are_the_plain_formula():
+    rng = np.random.default_rng(12)
+    x, q = rng.standard_normal((500, 32)), rng.standard_normal(32)
+    assert (vectors.distances(x, q) == np.sqrt(((x - q) ** 2).sum(1))).all()
+
+
 def test_forest_finds_longest_prefix_first():
     x = cloud(5, 200).astype(float)
     forest = vectors.PrefixForest(x, 8, 1)
