@@ -96,8 +96,10 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 def score_documents(docs: DataFrame, train_col: str, vocabulary: str | None = None, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score)`` for every row of ``docs``.
 
-    ``train_col`` is true for the rows to learn from. ``base_score`` is the add-one unigram log10 probability, ``score``
-    the marginal over all paths; ``lattice_score`` leaves the whole words out and is the subword lattice alone.
+    ``train_col`` is true for the rows to learn from. ``base_score`` is the add-one unigram log10 probability.
+    ``lattice_score`` is the dealt method by itself: the marginal over all segmentations into pieces of the vocabulary.
+    ``score`` is a mixture: the same marginal with one more arc for each training word, which spans the word and is
+    weighed by its discounted count; those arcs decide most of it (README has the three figures side by side).
     """
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(train_col).alias("train"))

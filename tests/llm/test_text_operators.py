@@ -2,6 +2,7 @@ import functools
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files
-from relevanta.llm.lattice import Lattice, load_pieces
+from relevanta.llm import lattice as lattice_module
+from relevanta.llm.lattice import Lattice, lattice_of, load_pieces
+from relevanta.llm.scoring import default_vocabulary
 from relevanta.llm.tokens import default_tokenizer, encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, word string, size string"
@@ -195,6 +198,25 @@ def brute(word: bytes, known: dict) -> float:
     return at[-1]
 
 
+def test_long_words_in_the_lattice():
+    lattice, rng = lattice_of(default_vocabulary()), random.Random(5)
+    words = [bytes(rng.choice(b"etaoinshrdlu0123=") for _ in range(n)) for n in [1, 2, 30, 63, 64, 64]]
+    assert lattice.log_probability(words)[0].tolist() == [lattice._long(w) for w in words]
+    blocks = bytes(rng.choice(b"etaoin") for _ in range(300))
+    whole = lattice._long(blocks)
+    try:
+        lattice_module.BLOCK = 7  # a word over many blocks
+        assert lattice._long(blocks) == whole
+    finally:
+        lattice_module.BLOCK = 32_768
+    for size, most in ((100_000, 2.0), (1_000_000, 10.0)):
+        began = time.process_time()
+        value = lattice.log_probability([bytes(rng.choice(b"etaoinshrdlu0123=") for _ in range(size))])[0][0]
+        assert -20 * size < value < 0 and time.process_time() - began < most
+    unspaced = "漢字仮名交じり文の例".encode()
+    assert lattice.log_probability([unspaced * 4])[0][0] < lattice.log_probability([unspaced * 2])[0][0] < 0
+
+
 def test_lattice_against_brute_force():
     pieces, logp = load_pieces(scoring.default_vocabulary())
     known = dict(zip(pieces, logp, strict=True))
