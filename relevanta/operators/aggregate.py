@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relevanta.operators.patterns import matching
+
 KEYS = ["tag", "params_key", "metric"]
 COUNTS = ("success_count", "weighted_success_count", "fail_count")
 
@@ -123,12 +125,16 @@ def aggregate_all_weighted(rows: DataFrame, chosen: Column, weights: DataFrame,
     return merge_aggregates(apply_weight(weighted, F.col("weight")).withColumn("tag", F.lit(tag)))
 
 
-def aggregate_groups(rows: DataFrame, groups: DataFrame, key: Column, prefix: bool = False) -> DataFrame:
+def aggregate_groups(rows: DataFrame, groups: DataFrame, key: Column, prefix: bool = False, pattern: bool = False) -> DataFrame:
     """Aggregates of ``groups(group, member)``; a tag counts in each of its groups, once. With ``prefix`` members are
-    beginnings of tags: each tag meets them by its own beginnings, an equi-join."""
+    beginnings of tags: each tag meets them by its own beginnings, an equi-join. With ``pattern`` they are regular
+    expressions that tags begin with, all tried in one pass a different tag (``patterns``)."""
     members = groups.select("group", "member").distinct()
     keyed = rows.withColumn("_key", key)
-    if prefix:
+    if pattern:
+        pairs = matching(keyed, "_key", members, "member").join(members.withColumnRenamed("member", "pattern"), "pattern")
+        joined = keyed.join(pairs.select(F.col("tag").alias("_key"), "group").distinct(), "_key")
+    elif prefix:
         tags = keyed.select("_key").distinct().filter(F.length("_key") > 0)
         starts = tags.select("_key", F.explode(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.left(F.col("_key"), n))).alias("member"))
         pairs = starts.join(members, "member").select("_key", "group").distinct()

@@ -172,6 +172,15 @@ def aggregate_groups_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agg.aggregate_groups(by_nation, starts, F.col("tag"), prefix=True))
 
 
+@register(f"""WITH {METRIC_ROWS}, {_GROUPS}, p AS (SELECT DISTINCT grp, member[1] || '[A-Z ]*' || member[-2:] || '|' || member[2] || '.?' || member[1:2] || '+' AS pattern FROM g), x AS (SELECT DISTINCT p.grp AS "group", m.* FROM m JOIN p ON regexp_matches(m.nation, '^(?:' || p.pattern || ')')) {_agg_sql('"group", params_key, metric', source='x')}""")
+def aggregate_groups_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Groups whose members are patterns that tags begin with."""
+    by_nation = agg.aggregate_metrics(t.metric_rows(spark, d).withColumn("tag", F.col("nation")))
+    m = F.col("member")
+    pattern = F.concat(F.left(m, F.lit(1)), F.lit("[A-Z ]*"), F.right(m, F.lit(2)), F.lit("|"), F.substr(m, F.lit(2), F.lit(1)), F.lit(".?"), F.left(m, F.lit(2)), F.lit("+"))
+    return _rounded(agg.aggregate_groups(by_nation, _groups(spark, d).withColumn("member", pattern), F.col("tag"), pattern=True))
+
+
 @register(f"WITH {METRIC_ROWS} {_agg_sql('tag, metric')}")
 def merge_metric_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = agg.aggregate_metrics(t.metric_rows(spark, d), ["tag", "metric", "nation"])

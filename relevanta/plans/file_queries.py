@@ -13,7 +13,7 @@ from relevanta.operators.tags import carry_context
 from relevanta.plans import tables as t
 from relevanta.plans.summary_queries import SUMMARY, summary_columns
 from relevanta.plans.tables import JUDGEMENTS, METRIC_ROWS, REQUESTS, SETTINGS
-from relevanta.sources import files, results
+from relevanta.sources import files, named, results
 from relevanta.sources.work import staged, work_path
 
 QUERIES, ORACLES = {}, {}
@@ -236,8 +236,14 @@ def read_mapping_json(spark: SparkSession, d: str) -> DataFrame:
 def _by_key(spark: SparkSession, people: DataFrame) -> str:
     """A folder with a file ``NATION.txt`` a nation that holds its people's names in order, one a line."""
     path = work_path(spark, "keys")
-    people.repartition("nation").sortWithinPartitions("nation", "name").write.partitionBy("nation").text(f"{path}/written")
-    return files.name_files(spark, f"{path}/written", f"{path}/named", ".txt")
+    named.write_named_files(people, path, "nation", "name", ["name"])
+    return path
+
+
+@register(f"""WITH {_CUSTOMERS} SELECT nation AS name, nation || '.txt' AS file, count(*) AS lines FROM c GROUP BY 1""")
+def write_named_files(spark: SparkSession, d: str) -> DataFrame:
+    """What the writer reports of the files it has published."""
+    return named.write_named_files(_people(spark, d, "customer", "c_name", "c_nationkey"), work_path(spark, "named"), "nation", "name", ["name"])
 
 
 @register(f"""WITH {_CUSTOMERS} SELECT nation AS "key", string_agg(name, '|' ORDER BY name) AS "values" FROM c GROUP BY 1""")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevanta.functions import text
-from relevanta.operators import checks, extract, summary
+from relevanta.operators import checks, extract, gate, summary
 from relevanta.operators.grid import numbered
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, SETTINGS
+from relevanta.sources.work import staged, work_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -260,6 +261,16 @@ def fail_fraction_gate(spark: SparkSession, d: str) -> DataFrame:
     return checks.fail_fraction_gate(rows, F.size("reasons") > 0, 0.3, 10)
 
 
+@register(f"WITH {METRIC_ROWS} SELECT tag, count(*) FILTER (value IS NULL) > 0.33::DOUBLE * count(*) AS stopped FROM m GROUP BY 1")
+def stop_on_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Each tag's rows as a batch that is written unless more than a third of it fails."""
+    rows = staged(t.metric_rows(spark, d), "batches")
+    sizes = {r["tag"]: r["n"] for r in rows.groupBy("tag").agg(F.count("*").alias("n")).collect()}
+    path = work_path(spark, "gated")
+    ends = [(tag, gate.write_while_good(rows.filter(F.col("tag") == tag), F.size("reasons") > 0, f"{path}/{i}", 0.33, n)["stopped"]) for i, (tag, n) in enumerate(sorted(sizes.items()))]
+    return spark.createDataFrame(ends, "tag string, stopped boolean")
+
+
 @register("SELECT n_name AS class, (n_nationkey * 10)::BIGINT AS expected, count(c_custkey) AS n, count(c_custkey) >= n_nationkey * 10 AS passed FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
 def class_count_gate(spark: SparkSession, d: str) -> DataFrame:
     nation = t.table(spark, d, "nation")

@@ -5,8 +5,6 @@ Order within a file is the order of Spark's line ids, which grow along a file; k
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,22 +79,6 @@ def _stem(file: Column, suffix: str) -> Column:
     return F.when(file.endswith(suffix), F.left(file, F.length(file) - len(suffix))).otherwise(file)
 
 
-def name_files(spark: SparkSession, written: str, named: str, suffix: str) -> str:
-    """Moves the files of a folder that Spark partitioned by one column, one file a value, to ``named/VALUE + suffix``.
-    Renames in the path's own store; a step of the driver for each value."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (written, named))
-    store = source.getFileSystem(conf)
-    store.mkdirs(target)
-    for folder in store.listStatus(source):
-        if folder.isDirectory() and "=" in folder.getPath().getName():
-            value = unquote(folder.getPath().getName().split("=", 1)[1])
-            for file in store.listStatus(folder.getPath()):
-                if file.getPath().getName().startswith("part-"):
-                    store.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(target, value + suffix))
-    return named
-
-
 def read_filename_keys(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """Names of a folder's files without suffix; contents aren't read."""
     return spark.read.format("binaryFile").load(path).select(_stem(F.element_at(F.split("path", "/"), -1), suffix).alias("value")).distinct()
