@@ -6,6 +6,7 @@ is null exactly where there are reasons. All of it stays inside the JVM.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,28 @@ def failed_with(reasons: Column) -> Column:
     return F.struct(F.lit(None).cast("double").alias("value"), reasons.cast(NO_REASONS).alias("reasons"))
 
 
+def missing_keys(needs: dict[str, Column]) -> Column:
+    """The reasons ``MISSING_DATA_KEY-<key>`` of the data that a row lacks."""
+    return F.filter(F.array(*(F.when(c.isNull(), F.lit(f"MISSING_DATA_KEY-{k}")) for k, c in needs.items())).cast(NO_REASONS), lambda r: r.isNotNull())
+
+
+def python_metric(compute, *columns: Column) -> Column:
+    """A metric of a caller's own Python function of plain values, in Arrow batches. A row for which it raises fails with the
+    name of the exception's class; the others go on. What it returns is the value; None fails as NO_RESULTS."""
+
+    def each(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for values in zip(*columns, strict=True):
+            try:
+                value = compute(*(None if v is pd.NA or (isinstance(v, float) and v != v) else v for v in values))
+                out.append((None, [NO_RESULTS]) if value is None else (float(value), []))
+            except Exception as error:  # any error is the metric's own
+                out.append((None, [type(error).__name__]))
+        return pd.DataFrame(out, columns=["value", "reasons"]).astype({"value": "Float64"})
+
+    return F.pandas_udf(each, "value double, reasons array<string>")(*columns)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 

@@ -65,7 +65,7 @@ def with_reasons(aggregated: DataFrame, counts: DataFrame, keys: list[str]) -> D
 
 def aggregate_typed(rows: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
     """Rows of all types at once, each by the type of its metric: means of numbers, sums of maps and nested maps by key
-    (by weight where the type says so), the first sequence that isn't empty by ``seq``. ``rows`` have ``agg_type``,
+    (by weight where the type says so) or weighted means by key, the first sequence that isn't empty by ``seq``. ``rows`` have ``agg_type``,
     ``value``, ``map_value``, ``nested_value``, ``seq_value``, ``seq`` and ``reasons``; the result is long rows."""
     one = to_metric_value(rows, weight)
     keys = [*keys, "agg_type"]
@@ -76,7 +76,9 @@ def aggregate_typed(rows: DataFrame, keys: list[str] = KEYS, weight: Column | No
     nested = F.flatten(F.transform(F.map_entries("nested_value"), lambda e: F.transform(F.map_entries(e["value"]), lambda x: entry(e["key"], x["key"], x["value"]))))
     factor = F.when(F.col("agg_type").endswith("UNWEIGHTED_SUM_VALUE"), F.lit(1.0)).otherwise(F.col("weighted_success_count"))
     entries = one.filter("success_count > 0").select(*keys, factor.alias("_w"), F.explode(F.coalesce(flat, nested)).alias("e"))
-    sums = entries.groupBy(*keys, "e.key", "e.position").agg(F.sum(F.col("_w") * F.col("e.v")).alias("v"))
+    total = F.sum(F.col("_w") * F.col("e.v"))
+    mean = F.coalesce(F.try_divide(total, F.sum("_w")), F.lit(0.0))  # over the rows that have the key
+    sums = entries.groupBy(*keys, "e.key", "e.position").agg(F.when(F.col("agg_type") == "MAP_AVG_VALUE", mean).otherwise(total).alias("v"))
     as_map = lambda df, by, k, v, name: df.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)), lambda a, b: F.when(a[k] < b[k], -1).otherwise(1))).alias(name))
     maps = as_map(sums.filter("position is null"), keys, "key", "v", "map_value")
     inner = as_map(sums.filter("position is not null"), [*keys, "key"], "position", "v", "inner")

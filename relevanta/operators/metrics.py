@@ -26,10 +26,17 @@ def coverage_metrics() -> dict[str, Column]:
     return out | {"MISSING@8": ranking.missing_at_k(grades, 8), "MISSING": ranking.missing_at_k(grades), "RESULTS": ranking.ok(F.size(grades))}
 
 
-def calculate_metrics(lists: DataFrame, metrics: dict[str, Column], keys: list[str], failed_col: str | None = "failed", wanted: list[str] | None = None) -> DataFrame:
+def calculate_metrics(lists: DataFrame, metrics: dict[str, Column], keys: list[str], failed_col: str | None = "failed", wanted: list[str] | None = None, needs: dict[str, list[str]] | None = None) -> DataFrame:
     """``keys, metric, value, reasons``. Where ``failed_col`` has reasons every metric of the row fails with them; names in
-    ``wanted`` that no metric has are left out. One pass: the metrics are columns first, rows after."""
+    ``wanted`` that no metric has are left out. ``needs`` names the columns of a metric's data: where one is null or isn't
+    there at all, that metric alone fails with ``MISSING_DATA_KEY-<column>``. One pass: the metrics are columns first, rows
+    after."""
     chosen = {n: m for n, m in metrics.items() if wanted is None or n in wanted}
+    for name, columns in (needs or {}).items():
+        if name in chosen:
+            lacks = ranking.missing_keys({c: F.col(c) if c in lists.columns else F.lit(None) for c in columns})
+            here = all(c in lists.columns for c in columns)
+            chosen[name] = F.when(F.size(lacks) > 0, ranking.failed_with(lacks)).otherwise(chosen[name]) if here else ranking.failed_with(lacks)
     if failed_col:
         reasons = F.col(failed_col)
         chosen = {n: F.when(F.size(reasons) > 0, ranking.failed_with(reasons)).otherwise(m) for n, m in chosen.items()}

@@ -100,14 +100,26 @@ def grid_map(spark: SparkSession, d: str) -> DataFrame:
     return grid.grid_map(grid.table_grid(_tables(spark, d)), F.concat(F.upper("brand"), F.lit(":"), F.length("type").cast("string")))
 
 
-@register(f"""WITH {_v('b', 'part', 'p_brand')}, {_v('s', 'customer', 'c_mktsegment')}, {_v('p', 'orders', 'o_orderpriority')}
-    SELECT b.pos + (SELECT count(*) FROM b) * (s.pos + (SELECT count(*) FROM s) * p.pos) AS idx, '/search?brand=' || replace(replace(b.value, ' ', '+'), '#', '%23') AS url, 'segment=' || s.value AS header, '{{"priority":"' || p.value || '"}}' AS body FROM b, s, p""")
+@register(f"""WITH {_v('b', 'part', 'p_brand')}, {_v('s', 'customer', 'c_mktsegment')}, {_v('r', 'region', 'r_name')}, {_v('p', 'orders', 'o_orderpriority')}, {_v('f', 'lineitem', 'l_returnflag')}, {_v('st', 'orders', 'o_orderstatus')},
+    n AS (SELECT (SELECT count(*) FROM b) AS b, (SELECT count(*) FROM s) AS s, (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM f) AS f)
+    SELECT b.pos + n.b * (s.pos + n.s * (r.pos + n.r * (p.pos + n.p * (f.pos + n.f * st.pos)))) AS idx, '/search?brand=' || replace(replace(b.value, '#', p.value), ' ', '+') || '&rows=10' AS url,
+    'accept=json,' || f.value || ';segment=' || s.value AS header, '{{"status":"' || st.value || '","in":"' || r.value || '"}}' AS body FROM b, s, r, p, f, st, n""")
 def request_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """A parameter, a header and a body dimension, each on its own axis of the grid."""
-    dims = {"brand": _values(spark, d, "part", "p_brand"), "segment": _values(spark, d, "customer", "c_mktsegment"), "priority": _values(spark, d, "orders", "o_orderpriority")}
-    params = F.create_map(F.lit("brand"), F.array("brand"))
-    rows = requests.build_requests(grid.table_grid(dims), F.lit("search"), params, headers=F.create_map(F.lit("segment"), F.col("segment")), body=F.to_json(F.struct("priority")))
-    header = F.array_join(F.transform(F.map_entries("request_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    """All six dimensions, and two without values, which are left out."""
+    v = lambda *x: _values(spark, d, *x)
+    bodies = v("orders", "o_orderstatus").withColumn("value", F.concat(F.lit('{"status":"'), "value", F.lit('","in":"$region"}')))
+    dims = {
+        "params": {"brand": v("part", "p_brand"), "nothing": v("part", "p_brand", "false")},
+        "headers": {"segment": v("customer", "c_mktsegment"), "none": v("customer", "c_mktsegment", "false")},
+        "body_replacements": {"$region": v("region", "r_name")},
+        "url_replacements": {"#": v("orders", "o_orderpriority")},
+        "header_replacements": {"$flag": v("lineitem", "l_returnflag")},
+        "bodies": {"": bodies},
+    }
+    fixed = F.create_map(F.lit("rows"), F.array(F.lit("10")))
+    accept = F.create_map(F.lit("accept"), F.array(F.lit("json"), F.lit("$flag")))
+    rows = requests.request_permutation(spark, "search", dims, fixed=fixed, fixed_headers=accept)
+    header = F.array_join(F.transform(F.array_sort(F.map_entries("request_headers")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
     return rows.select("idx", "url", header.alias("header"), F.col("request_body").alias("body"))
 
 
@@ -260,13 +272,15 @@ def query_string(spark: SparkSession, d: str) -> DataFrame:
     return t.requests(spark, d).select("query", text.query_string(F.col("params")).alias("query_string"))
 
 
-@register(f"WITH {REQUESTS} SELECT query, '/search?nation=' || {_ENCODED.format(c='nation')} || '&priority=' || {_ENCODED.format(c='prio')} || '&rows=10.00&status=' || stat AS url, 'find ' || tag || ' in ' || nation AS body FROM requests")
+@register(f"WITH {REQUESTS} SELECT query, '/search?nation=' || {_ENCODED.format(c='nation')} || '&priority=' || {_ENCODED.format(c='prio')} || '&rows=10.00&status=' || stat AS url, 'find ' || tag || ' in ' || nation AS body, 'from=' || nation || ',home;via=' || lower(tag) AS headers FROM requests")
 def build_requests(spark: SparkSession, d: str) -> DataFrame:
     fixed = F.create_map(F.lit("rows"), F.array(text.number_text(F.lit(10.0))), F.lit("nation"), F.array("nation"))
     body = F.lit("find #seg in #nat")
     replacements = F.create_map(F.lit("#seg"), F.col("tag"), F.lit("#nat"), F.col("nation"))
-    rows = requests.build_requests(t.requests(spark, d), F.lit("search"), F.col("params"), fixed=fixed, body=body, body_replacements=replacements)
-    return rows.select("query", "url", F.col("request_body").alias("body"))
+    own, both = F.create_map(F.lit("from"), F.array(F.lit("#nat"), F.lit("home"))), F.create_map(F.lit("from"), F.array(F.lit("home")), F.lit("via"), F.array(F.lower("tag")))
+    rows = requests.build_requests(t.requests(spark, d), F.lit("search"), F.col("params"), fixed=fixed, body=body, body_replacements=replacements, fixed_headers=own, headers=both, header_replacements=replacements)
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("request_headers")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return rows.select("query", "url", F.col("request_body").alias("body"), headers.alias("headers"))
 
 
 @register("WITH x AS (SELECT user_id, event_type, list(event_id::VARCHAR ORDER BY event_id) AS v FROM events WHERE value > 15 GROUP BY ALL) SELECT user_id, string_agg(event_type || '=' || array_to_string(v, '|'), '&' ORDER BY event_type) AS params FROM x GROUP BY 1")
@@ -278,18 +292,21 @@ def param_list_to_map(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {METRIC_ROWS}, x AS (SELECT tag, metric, value FROM m UNION ALL SELECT '(ALL)', metric, value FROM m) SELECT tag, metric, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(*) - count(value) AS fail_count FROM x GROUP BY ALL")
 def stream_aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The metric rows written as files, streamed in and kept as running aggregates; the last of each is the result."""
+    """The metric rows written as files twice over, as a sender that repeats itself delivers them, streamed in and kept as
+    running aggregates; each row counts once."""
     from relevanta.sources.work import work_path
     from relevanta.streaming import aggregates
 
     base = work_path(spark, "stream")
-    rows = t.metric_rows(spark, d).select(F.array("tag", F.lit("(ALL)")).alias("tags"), "metric", "value", "reasons")
+    sent = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("query") % 3600)
+    rows = t.metric_rows(spark, d).select(F.array("tag", F.lit("(ALL)")).alias("tags"), "metric", "value", "reasons", F.col("tag").alias("sender"), F.concat_ws("/", "query", "metric").alias("seq"), sent.alias("sent_at"))
     rows.write.parquet(f"{base}/rows")
+    spark.read.parquet(f"{base}/rows").write.mode("append").parquet(f"{base}/rows")
     keys = ["tag", "metric"]
-    stream = aggregates.stream_aggregate_metrics(aggregates.read_metric_stream(spark, f"{base}/rows", rows.schema, 2), keys=keys)
-    query = aggregates.write_running(stream, f"{base}/out", f"{base}/state", keys, 3)
+    stream = aggregates.without_replays(aggregates.read_metric_stream(spark, f"{base}/rows", rows.schema, 4))
+    query = aggregates.write_partials(aggregates.by_tag(stream), f"{base}/out", f"{base}/state", keys, 3)
     try:
         query.processAllAvailable()
     finally:
         query.stop()
-    return aggregates.latest(spark, f"{base}/out", keys).select("tag", "metric", F.round("value", 6).alias("value"), "success_count", "fail_count")
+    return aggregates.merged(spark, f"{base}/out", keys).select("tag", "metric", F.round("value", 6).alias("value"), "success_count", "fail_count")

@@ -208,6 +208,18 @@ def calculate_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query", "metric", F.round("value", 6).alias("value"), F.size("reasons").cast("long").alias("n_reasons"))
 
 
+@register(f"""WITH {LISTS}, x AS (SELECT query, current[1] AS a, current[2] AS b, judged FROM lists)
+    SELECT query, 'ratio' AS metric, CASE WHEN judged > 0 AND b IS NOT NULL AND b <> 0 THEN round(a / b, 6) END AS value, CASE WHEN judged = 0 THEN 'NO_JUDGEMENTS' WHEN b IS NULL THEN 'MISSING_DATA_KEY-second' WHEN b = 0 THEN 'ZeroDivisionError' ELSE '' END AS reasons FROM x
+    UNION ALL SELECT query, 'clicks', NULL, CASE WHEN judged = 0 THEN 'NO_JUDGEMENTS' ELSE 'MISSING_DATA_KEY-clicks' END FROM x
+    UNION ALL SELECT query, 'first', CASE WHEN judged > 0 THEN round(a, 6) END, CASE WHEN judged = 0 THEN 'NO_JUDGEMENTS' ELSE '' END FROM x""")
+def failing_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A metric fails alone: for data that a row or the whole table lacks, or with the error that its own code raises."""
+    rows = t.lists(spark, d).withColumns({"first": F.get("current", F.lit(0)), "second": F.get("current", F.lit(1))})
+    own = {"ratio": ranking.python_metric(lambda a, b: a / b, F.col("first"), F.coalesce("second", F.lit(1.0))), "clicks": ranking.ok(F.lit(1.0)), "first": ranking.ok(F.col("first"))}
+    found = metrics.calculate_metrics(rows, own, ["query"], needs={"ratio": ["first", "second"], "clicks": ["clicks"], "first": ["first"]})
+    return found.select("query", "metric", F.round("value", 6).alias("value"), F.array_join("reasons", ",").alias("reasons"))
+
+
 @register(f"WITH {LISTS}, e AS ({_PRESET}) SELECT '(ALL)' AS tag, metric, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(*) - count(value) AS fail_count FROM e GROUP BY metric")
 def default_query_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = metrics.calculate_metrics(t.lists(spark, d), metrics.list_metrics(), ["query"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevanta.functions import text
-from relevanta.operators import checks, extract, gate, summary
+from relevanta.operators import checks, extract, formats, gate, summary
 from relevanta.operators.grid import numbered
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, SETTINGS
@@ -255,6 +255,38 @@ def validate_records(spark: SparkSession, d: str) -> DataFrame:
     return checks.validate_records(t.table(spark, d, "orders"), rules).select("o_orderkey", "o_totalprice", F.array_join("invalid", "; ").alias("invalid"))
 
 
+@register("""WITH l AS (SELECT l_orderkey, bool_or(NOT l_quantity BETWEEN 2 AND 49) AS q, bool_or(l_returnflag = 'R') AS f, bool_or(l_linenumber > 5) AS n, bool_or(l_shipdate < DATE '1994-01-01') AS early FROM lineitem GROUP BY 1),
+    o AS (SELECT o_orderkey, min({'s': o_orderstatus, 't': o_totalprice, 'p': o_orderpriority}) AS x FROM orders GROUP BY 1), y AS (SELECT o_orderkey, x.s AS s, x.t AS t, x.p AS p, l.* FROM o LEFT JOIN l ON l_orderkey = o_orderkey)
+    SELECT o_orderkey, array_to_string(list_sort(list_filter([
+        CASE WHEN t < 1000 OR t > 400000 THEN 'total: out of range' END, CASE WHEN s NOT IN ('F', 'O') THEN 'status: not a choice' END, CASE WHEN NOT regexp_full_match(p, '[1-3]-.*') THEN 'priority: no match' END,
+        CASE WHEN s NOT IN ('F', 'O') THEN 'note_[FO]: missing' END, CASE WHEN s NOT IN ('F', 'O') THEN 'status: unknown condition' END, CASE WHEN s = 'F' AND t > 250000 THEN 'total: out of range' END,
+        CASE WHEN l_orderkey IS NULL THEN 'lines: missing' END, CASE WHEN q THEN 'lines[].quantity: out of range' END, CASE WHEN f THEN 'lines[].flag: not a choice' END, CASE WHEN n THEN 'lines[].tags{}: key' END, CASE WHEN n THEN 'lines[].tags{}: out of range' END, CASE WHEN early THEN 'lines[].when: none of 2' END
+    ], lambda v: v IS NOT NULL).list_distinct()), '; ') AS invalid FROM y""")
+def validate_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Nested JSON records against a tree of formats: types, patterns, choices, ranges, arrays, maps, alternatives, names by
+    pattern, and fields that depend on another one."""
+    line = F.struct(
+        F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"),
+        F.create_map(F.when(F.col("l_linenumber") > 5, "LATE").otherwise("n"), F.col("l_linenumber")).alias("tags"),
+        F.when(F.col("l_shipdate") >= "1994-01-01", F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("long ago").alias("when"),
+    )
+    lines = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    orders = t.table(spark, d, "orders").groupBy("o_orderkey").agg(F.min(F.struct("o_orderstatus", "o_totalprice", "o_orderpriority")).alias("o"))
+    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o.o_orderstatus").alias("status"), F.col("o.o_totalprice").alias("total"), F.col("o.o_orderpriority").alias("priority"), "lines")
+    note = F.concat(F.lit('{"note_'), "o.o_orderstatus", F.lit('":"'), "o.o_orderpriority", F.lit('",'))
+    documents = orders.join(lines, "o_orderkey", "left").select("o_orderkey", F.concat(note, F.substr(F.to_json(record), F.lit(2))).alias("document"))
+    each_line = formats.Record([
+        formats.Field("part", formats.typed("int")), formats.Field("quantity", formats.between(2, 49)), formats.Field("flag", formats.choice(["N", "A"])),
+        formats.Field("tags", formats.Entries(lambda k: k.rlike("^[a-z]+$"), formats.between(1, 5, "int"))),
+        formats.Field("when", formats.Either([formats.regex(r"199[4-9]-\d\d-\d\d|2.*"), formats.typed("int")])), formats.Field("comment", formats.typed("string"), required=False),
+    ])
+    whole = formats.Record(
+        [formats.Field("id", formats.typed("int")), formats.Field("status", formats.choice(["F", "O"])), formats.Field("total", formats.between(1000, 400000)), formats.Field("priority", formats.regex("[1-3]-.*")), formats.Field("note_[FO]", formats.typed("string"), pattern=True), formats.Field("lines", formats.Each(each_line))],
+        {"status": {"F": [formats.Field("total", formats.between(high=250000))], "O": []}},
+    )
+    return documents.select("o_orderkey", F.array_join(formats.invalid_parts(F.col("document"), whole), "; ").alias("invalid"))
+
+
 @register(f"WITH {METRIC_ROWS} SELECT query % 40 AS batch_nr, count(*) AS n, count(*) FILTER (value IS NULL) AS fails, NOT (count(*) > 10 AND count(*) FILTER (value IS NULL) / count(*) > 0.3::DOUBLE) AS passed FROM m GROUP BY 1")
 def fail_fraction_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = t.metric_rows(spark, d).withColumn("batch_nr", F.col("query") % 40)

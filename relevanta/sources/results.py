@@ -23,12 +23,40 @@ VALUES = {
     "DOUBLE_AVG": ("value", "double", "0.0"),
     "MAP_UNWEIGHTED_SUM_VALUE": ("map_value", "map<string,double>", "{}"),
     "MAP_WEIGHTED_SUM_VALUE": ("map_value", "map<string,double>", "{}"),
+    "MAP_AVG_VALUE": ("map_value", "map<string,double>", "{}"),
     "NESTED_MAP_UNWEIGHTED_SUM_VALUE": ("nested_value", "map<string,map<string,double>>", "{}"),
     "NESTED_MAP_WEIGHTED_SUM_VALUE": ("nested_value", "map<string,map<string,double>>", "{}"),
     "SEQUENCE_KEEP_FIRST": ("seq_value", "array<string>", "[]"),
 }
 _TYPED = dict.fromkeys((column, type_) for column, type_, _ in VALUES.values())
 SETTINGS_PER_PART = 100_000
+#: A document with this line has the characters of ``ESCAPES`` percent-encoded in names, values and reasons; others are read
+#: as they are. It is written only where something had to be encoded.
+ESCAPED_LINE = "# PERCENT_ENCODED"
+ESCAPES = {"%": "%25", "\t": "%09", "\n": "%0A", "\r": "%0D", "&": "%26", ",": "%2C", ":": "%3A", " ": "%20"}
+#: What has to be encoded in a cell, in a fail reason, and in a metric's name on its type line.
+IN_CELL, IN_REASON, IN_TYPE = "%\t\n\r&", "%\t\n\r&,:", "%\t\n\r& "
+
+
+def encoded(text: Column, characters: str = IN_CELL) -> Column:
+    """Encoded text; a leading ``#`` would begin a comment and is encoded too."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(ESCAPES[c]))
+    return F.when(text.startswith("#"), F.concat(F.lit("%23"), F.substr(text, F.lit(2)))).otherwise(text)
+
+
+def encoded_name(name: str, characters: str = IN_CELL) -> str:
+    """A parameter's or metric's name; a parameter that looks like a column of a metric has its first letter encoded."""
+    out = "".join(ESCAPES.get(c, c) if c in characters else c for c in name)
+    special = out.startswith("#") or out == "contextInfo" or any(out.startswith(f) for f in FAMILIES)
+    return f"%{ord(out[0]):02X}{out[1:]}" if special and out else out
+
+
+def decoded(text: Column) -> Column:
+    first = {"%23": "#"} | {f"%{ord(c):02X}": c for c in {f[0] for f in FAMILIES} | {"c"}}
+    for code, c in (*first.items(), *((code, c) for c, code in ESCAPES.items() if c != "%"), ("%25", "%")):
+        text = F.replace(text, F.lit(code), F.lit(c))
+    return text
 
 
 def complete(rows: DataFrame) -> DataFrame:
@@ -63,49 +91,68 @@ def _parts(rows: DataFrame, settings_per_part: int) -> DataFrame:
     return rows.join(_sizes(rows, settings_per_part), "tag").withColumn("part", F.pmod(F.xxhash64("params_key"), F.col("_parts")).cast("int")).drop("_parts")
 
 
-def _type_map(lines: Column) -> Column:
-    named = F.transform(F.filter(lines, lambda x: x.startswith(TYPE_LINE)), lambda x: F.split(F.substr(x, F.lit(len(TYPE_LINE) + 1)), " "))
-    return F.map_from_entries(F.transform(named, lambda p: F.struct(p[0], F.coalesce(F.get(p, F.lit(1)), F.lit(DEFAULT_TYPE)))))
+def _typed(line: Column, escaped: Column) -> Column:
+    """``metric, agg_type`` of a type line."""
+    parts = F.split(F.substr(line, F.lit(len(TYPE_LINE) + 1)), " ")
+    return F.struct(F.when(escaped, decoded(parts[0])).otherwise(parts[0]).alias("metric"), F.coalesce(F.get(parts, F.lit(1)), F.lit(DEFAULT_TYPE)).alias("agg_type"))
 
 
 def read_metric_types(spark: SparkSession, path: str) -> DataFrame:
     """``(metric, agg_type)`` named in wide files below a folder."""
-    lines = F.split("value", r"\r?\n")
-    return spark.read.text(path, wholetext=True).select(F.explode(_type_map(lines)).alias("metric", "agg_type")).distinct()
+    marks = spark.read.text(path).filter(F.col("value").startswith(TYPE_LINE) | (F.col("value") == ESCAPED_LINE)).select("value", F.col("_metadata.file_path").alias("path"))
+    marks = marks.groupBy("path").agg(F.bool_or(F.col("value") == ESCAPED_LINE).alias("_escaped"), F.collect_set("value").alias("lines"))
+    named = marks.select("_escaped", F.explode("lines").alias("line")).filter(F.col("line") != ESCAPED_LINE)
+    return named.select(_typed(F.col("line"), F.col("_escaped")).alias("t")).select("t.*").distinct()
 
 
 def read_results_csv(spark: SparkSession, path: str, tag: Column | None = None) -> DataFrame:
     """Long rows of wide files. Each file has a header of its own; ``contextInfo`` may be absent; the tag is the file's
-    name unless given as a column of ``file`` or of the folders' partition columns."""
-    text = spark.read.text(path, wholetext=True)
-    files = text.select(F.split("value", r"\r?\n").alias("lines"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"), *(c for c in text.columns if c != "value"))
-    body = F.filter("lines", lambda x: (x != "") & ~x.startswith("#"))
-    files = files.select((tag if tag is not None else F.col("file")).alias("tag"), _type_map(F.col("lines")).alias("types"), F.split(body[0], "\t").alias("head"), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0))).alias("rows"))
-    rows = files.select("tag", "types", "head", F.explode("rows").alias("row")).withColumn("cells", F.split("row", "\t"))
+    name unless given as a column of ``file`` or of the folders' partition columns.
+
+    Files are read in splits: what each file's header and type lines say is found first, one row a file, and meets the lines
+    of all its splits by the file's path. A line equal to its file's header is that header."""
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), *folders).filter("value <> ''")
+    comment = F.col("value").startswith("#")
+    of_file = lines.groupBy("path").agg(
+        F.min_by(F.when(~comment, F.col("value")), F.when(~comment, F.col("place"))).alias("header"),
+        F.collect_set(F.when(F.col("value").startswith(TYPE_LINE), F.col("value"))).alias("type_lines"),
+        F.coalesce(F.bool_or(F.col("value") == ESCAPED_LINE), F.lit(False)).alias("escaped"),
+    )
+    kinds = F.map_from_entries(F.array_distinct(F.transform("type_lines", lambda x: _typed(x, F.col("escaped")))))
+    of_file = of_file.filter("header is not null").select("path", "header", "escaped", F.split("header", "\t").alias("head"), kinds.alias("types"))
+    rows = lines.filter(~comment).join(of_file, "path").filter(F.col("value") != F.col("header"))
+    rows = rows.withColumn("file", F.regexp_replace("file", r"\.[^.]*$", "")).select((tag if tag is not None else F.col("file")).alias("tag"), "types", "head", "escaped", F.split("value", "\t").alias("cells"))
+    plain = lambda x: F.when(F.col("escaped"), decoded(x)).otherwise(x)
     cell = F.map_from_entries(F.transform(F.col("head"), lambda h, i: F.struct(h, F.get(F.col("cells"), i))))
-    rows = rows.select("tag", "types", cell.alias("cell"), "head")
+    rows = rows.select("tag", "types", cell.alias("cell"), "head", "escaped")
     is_metric = lambda h: h.rlike("^(" + "|".join(FAMILIES) + ")") | (h == "contextInfo")
-    params = F.map_from_entries(F.transform(F.filter("head", lambda h: ~is_metric(h)), lambda h: F.struct(h, F.split(F.element_at("cell", h), "&"))))
+    values = lambda h: F.transform(F.split(F.element_at("cell", h), "&"), plain)
+    params = F.map_from_entries(F.transform(F.filter("head", lambda h: ~is_metric(h)), lambda h: F.struct(plain(h), values(h))))
     metrics = F.transform(F.filter("head", lambda h: h.startswith("value-")), lambda h: F.substr(h, F.lit(len("value-") + 1)))
-    rows = rows.select("tag", params.alias("params"), "types", "cell", F.explode(metrics).alias("metric"))
-    family = lambda f: F.try_element_at("cell", F.concat(F.lit(f), F.col("metric")))
-    reasons = F.transform_values(F.str_to_map(F.nullif(family("failReasons-"), F.lit("")), F.lit(","), F.lit(":")), lambda _, v: v.try_cast("long"))
+    rows = rows.select("tag", params.alias("params"), "types", "cell", "escaped", F.explode(metrics).alias("column")).withColumn("metric", plain(F.col("column")))
+    family = lambda f: F.try_element_at("cell", F.concat(F.lit(f), F.col("column")))
+    counted = F.transform(F.split(F.nullif(family("failReasons-"), F.lit("")), ","), lambda x: F.split(x, ":"))
+    reasons = F.map_from_entries(F.transform(counted, lambda p: F.struct(plain(p[0]), F.get(p, F.lit(1)).try_cast("long"))))
     kind = F.coalesce(F.try_element_at("types", F.col("metric")), F.lit(DEFAULT_TYPE))
     number = lambda f: F.coalesce(family(f).try_cast("double"), F.lit(0.0))
     return rows.select(
-        "tag", "params", params_key(F.col("params")).alias("params_key"), "metric", kind.alias("agg_type"), *typed_values(kind, family("value-")),
+        "tag", "params", params_key(F.col("params")).alias("params_key"), "metric", kind.alias("agg_type"), *typed_values(kind, plain(family("value-"))),
         number("success-count-").cast("long").alias("success_count"), number("weighted-success-count-").alias("weighted_success_count"), number("fail-count-").cast("long").alias("fail_count"), number("weighted-fail-count-").alias("weighted_fail_count"),
-        F.coalesce(reasons, F.create_map().cast("map<string,bigint>")).alias("fail_reasons"), F.nullif(F.try_element_at("cell", F.lit("contextInfo")), F.lit("")).alias("context_info"),
+        F.coalesce(reasons, F.create_map().cast("map<string,bigint>")).alias("fail_reasons"), F.nullif(plain(F.try_element_at("cell", F.lit("contextInfo"))), F.lit("")).alias("context_info"),
     )
 
 
-def reasons_text(reasons: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.map_entries(reasons)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+def reasons_text(reasons: Column, encode: bool = False) -> Column:
+    name = (lambda k: encoded(k, IN_REASON)) if encode else (lambda k: k)
+    return F.array_join(F.transform(F.array_sort(F.map_entries(reasons)), lambda e: F.concat(name(e["key"]), F.lit(":"), e["value"].cast("string"))), ",")
 
 
 def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str], decimals: int = 4, settings_per_part: int = SETTINGS_PER_PART) -> DataFrame:
     """``(tag, part, n, params_key, line)``: the lines of each tag's wide documents; parameters and metrics are sorted,
-    numbers have four decimals by default, maps and sequences are JSON. ``metrics`` maps names to types."""
+    numbers have four decimals by default, maps and sequences are JSON. ``metrics`` maps names to types. What a cell can't
+    hold is percent-encoded, in documents that say so in a line of their own. A parameter without a value is an empty cell."""
     params, names = sorted(params), sorted(metrics)
     four = lambda c: F.format_string(f"%.{decimals}f", c)
     pick = lambda c, m: F.first(F.when(F.col("metric") == m, c), ignorenulls=True)
@@ -114,18 +161,22 @@ def results_csv_lines(rows: DataFrame, params: list[str], metrics: dict[str, str
     cells = []
     for m in names:
         empty = nothing if metrics[m] == DEFAULT_TYPE else VALUES[metrics[m]][2]
-        cells += [F.coalesce(pick(c, m), F.lit(z)) for c, z in ((F.col("fail_count").cast("string"), "0"), (four("weighted_fail_count"), nothing), (reasons_text(F.col("fail_reasons")), ""), (F.col("success_count").cast("string"), "0"), (four("weighted_success_count"), nothing), (F.col("_value"), empty))]
-    setting = [F.coalesce(F.array_join(F.try_element_at(F.first("params"), F.lit(p)), "&"), F.lit("")) for p in params]
-    context = F.coalesce(F.first("context_info", ignorenulls=True), F.lit("{}"))
+        cells += [F.coalesce(pick(c, m), F.lit(z)) for c, z in ((F.col("fail_count").cast("string"), "0"), (four("weighted_fail_count"), nothing), (reasons_text(F.col("fail_reasons"), True), ""), (F.col("success_count").cast("string"), "0"), (four("weighted_success_count"), nothing), (encoded(F.col("_value")), empty))]
+    setting = [F.coalesce(F.array_join(F.transform(F.try_element_at(F.first("params"), F.lit(p)), lambda v: encoded(v)), "&"), F.lit("")) for p in params]
+    context = F.coalesce(encoded(F.first("context_info", ignorenulls=True)), F.lit("{}"))
     body = rows.groupBy("tag", "part", "params_key").agg(F.concat_ws("\t", *setting, *cells, context).alias("line"))
-    head = [f"{TYPE_LINE}{m} {metrics[m]}" for m in names] + ["\t".join([*params, *(f + m for m in names for f in FAMILIES), "contextInfo"])]
-    top = rows.select("tag", "part").distinct().select("tag", "part", F.posexplode(F.array(*map(F.lit, head))).alias("n", "line"))
-    return top.select("tag", "part", "n", F.lit("").alias("params_key"), "line").unionByName(body.select("tag", "part", F.lit(len(head)).alias("n"), "params_key", "line"))
+    head = [f"{TYPE_LINE}{encoded_name(m, IN_TYPE)} {metrics[m]}" for m in names]
+    head.append("\t".join([*map(encoded_name, params), *(f + encoded_name(m) for m in names for f in FAMILIES), "contextInfo"]))
+    # a percent sign stands in a document only where something is encoded
+    marked = F.lit(any("%" in h for h in head)) | F.bool_or(F.contains("line", F.lit("%")))
+    head_lines = F.concat(F.when(F.col("_marked"), F.array(F.lit(ESCAPED_LINE))).otherwise(F.array().cast("array<string>")), F.array(*map(F.lit, head)))
+    top = body.groupBy("tag", "part").agg(marked.alias("_marked")).select("tag", "part", F.posexplode(head_lines).alias("n", "line"))
+    return top.select("tag", "part", "n", F.lit("").alias("params_key"), "line").unionByName(body.select("tag", "part", F.lit(len(head) + 1).alias("n"), "params_key", "line"))
 
 
 def write_results_csv(rows: DataFrame, path: str, params: list[str], metrics: dict[str, str], decimals: int = 4, settings_per_part: int = SETTINGS_PER_PART) -> None:
-    """A folder a tag with its document in order, written by one task; where a tag has several parts, folders of parts in it."""
-    by = ["tag"] if (_sizes(rows, settings_per_part).agg(F.max("_parts")).first()[0] or 1) == 1 else ["tag", "part"]
+    """Folders ``tag=/part=`` with the tag's documents, each in order and written by one task, however many parts there are."""
+    by = ["tag", "part"]
     lines = results_csv_lines(rows, params, metrics, decimals, settings_per_part)
     lines.repartition(*by).sortWithinPartitions(*by, "n", "params_key").select(*by, "line").write.partitionBy(*by).text(path)
 

@@ -1,12 +1,20 @@
-"""Metric rows that keep arriving: one running aggregate a tag, setting and metric."""
+"""Metric rows that keep arriving: one running aggregate a tag, setting and metric.
+
+Senders deliver a row again when they are unsure; a row is known by its sender and sequence number. ``without_replays`` keeps
+those of a time window as state, which expires with the watermark. Aggregates are no state: each trigger writes the partial
+aggregates of its own rows, partial aggregates merge, and from time to time all of them are merged into a snapshot, behind
+which older files go.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from relevanta.operators.aggregate import KEYS, aggregate_metrics
+from relevanta.operators.aggregate import KEYS, aggregate_metrics, merge_aggregates
 
 
 def read_metric_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
@@ -14,17 +22,74 @@ def read_metric_stream(spark: SparkSession, path: str, schema, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def without_replays(rows: DataFrame, sender_col: str = "sender", seq_col: str = "seq", time_col: str = "sent_at", delay: str = "1 day") -> DataFrame:
+    """Each sender's sequence number once. A row sent again within ``delay`` of event time is dropped by its number, one that
+    is older than the watermark as late; so numbers are kept for ``delay`` and no longer."""
+    return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([sender_col, seq_col])
+
+
+def by_tag(rows: DataFrame, tags_col: str = "tags") -> DataFrame:
+    """A row for each of its tags."""
+    return rows.withColumn("tag", F.explode(tags_col)).drop(tags_col)
+
+
 def stream_aggregate_metrics(rows: DataFrame, tags_col: str | None = "tags", keys: list[str] = KEYS) -> DataFrame:
-    """The batch aggregate over a stream; a row with several tags counts in each, failures are counted too."""
-    if tags_col:
-        rows = rows.withColumn("tag", F.explode(tags_col)).drop(tags_col)
-    return aggregate_metrics(rows, keys)
+    """The batch aggregate over a stream, for sinks that take updates; a row with several tags counts in each, failures are
+    counted too. Its groups are the stream's state."""
+    return aggregate_metrics(by_tag(rows, tags_col) if tags_col else rows, keys)
+
+
+def write_partials(rows: DataFrame, path: str, checkpoint: str, keys: list[str] = KEYS, snapshot_every: int = 20) -> StreamingQuery:
+    """Writes the partial aggregates of each trigger's rows under its batch number, so that a batch done twice is one result.
+    Every ``snapshot_every`` batches all are merged into a snapshot. What lies behind the snapshot before is deleted then:
+    the folder holds two snapshots and the batches of two rounds at most, and a reader has a round's time to finish."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        aggregate_metrics(batch, keys).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        if (number + 1) % snapshot_every == 0:
+            _merged(spark, path, keys, number).write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
+            older = [n for n in _batches(spark, f"{path}/snapshots") if n < number]
+            for kind in ("changes", "snapshots"):
+                for n in _batches(spark, f"{path}/{kind}"):
+                    if older and (n <= older[-1] if kind == "changes" else n < older[-1]):
+                        folder, store = _hadoop(spark, f"{path}/{kind}/batch={n}")
+                        store.delete(folder, True)
+
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(keep).start()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that are written completely, ascending."""
+    folder, store = _hadoop(spark, path)
+    if not store.exists(folder):
+        return []
+    done = [f.getPath() for f in store.listStatus(folder) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(m[1]) for p in done if (m := re.fullmatch(r"batch=(\d+)", p.getName())))
+
+
+def _merged(spark: SparkSession, path: str, keys: list[str], up_to: int | None = None) -> DataFrame:
+    inside = lambda n: up_to is None or n <= up_to
+    snapshots = [n for n in _batches(spark, f"{path}/snapshots") if up_to is None or n < up_to]
+    since = snapshots[-1] if snapshots else -1
+    paths = [f"{path}/snapshots/batch={since}"] * bool(snapshots) + [f"{path}/changes/batch={n}" for n in _batches(spark, f"{path}/changes") if n > since and inside(n)]
+    return merge_aggregates(spark.read.parquet(*paths), keys)
+
+
+def merged(spark: SparkSession, path: str, keys: list[str] = KEYS) -> DataFrame:
+    """The aggregates over all rows that ``write_partials`` has taken."""
+    return _merged(spark, path, keys)
 
 
 def write_running(aggregates: DataFrame, path: str, checkpoint: str, keys: list[str] = KEYS, snapshot_every: int = 20) -> StreamingQuery:
     """Keeps the changed aggregates of each trigger under its batch number, so that a batch done twice is one result.
     Every ``snapshot_every`` batches the newest aggregate of each group is written as a snapshot: readers need the last one
-    and the batches after it, however long the stream has run."""
+    and the batches after it. The folder keeps them all: ``write_partials`` is for streams that don't end."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")

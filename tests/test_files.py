@@ -1,4 +1,6 @@
+import datetime
 import json
+import time
 import shutil
 
 import pytest
@@ -78,10 +80,10 @@ def facts(df):
 def test_wide_files_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/csv"
     results.write_results_csv(long_rows(spark), path, ["a", "b"], {"m1": "DOUBLE_AVG", "m2": "DOUBLE_AVG"})
-    back = results.read_results_csv(spark, f"{path}/*", tag=F.col("file"))
+    back = results.read_results_csv(spark, path, tag=F.col("tag"))
     filled = [r for r in facts(back.withColumn("tag", F.lit(""))) if r[4] or r[6]]
     assert filled == facts(long_rows(spark).withColumn("tag", F.lit("")))
-    assert pairs(results.read_metric_types(spark, f"{path}/*"), "metric", "agg_type") == {"m1": "DOUBLE_AVG", "m2": "DOUBLE_AVG"}
+    assert pairs(results.read_metric_types(spark, path), "metric", "agg_type") == {"m1": "DOUBLE_AVG", "m2": "DOUBLE_AVG"}
 
 
 def test_wide_file_without_context(spark, put):
@@ -112,10 +114,102 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(aggregates.latest(spark, f"{tmp_path}/out")) == key(want)
 
 
+METRIC_STREAM = "tags array<string>, params_key string, metric string, value double, reasons array<string>, sender string, seq long, sent_at timestamp"
+
+
+def stream_rows(spark, n=60):
+    rows = [([f"t{i % 3}", "(ALL)"], "p", "m", float(i) if i % 5 else None, [] if i % 5 else ["X"], f"s{i % 2}", i // 2, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i)) for i in range(n)]
+    return spark.createDataFrame(rows, METRIC_STREAM)
+
+
+def sums(df):
+    return sorted((r.tag, round(r.value, 9), r.success_count, r.fail_count) for r in df.collect())
+
+
+def test_stream_counts_replayed_files_once(spark, tmp_path):
+    from relevanta.operators.aggregate import aggregate_metrics
+
+    rows, folder = stream_rows(spark), f"file://{tmp_path}/in"
+    rows.repartition(6).write.parquet(folder)
+    spark.read.parquet(folder).write.mode("append").parquet(folder)  # every file again
+    stream = aggregates.without_replays(aggregates.read_metric_stream(spark, folder, rows.schema, 2))
+    query = aggregates.write_partials(aggregates.by_tag(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/state", snapshot_every=2)
+    query.processAllAvailable()
+    states = query.lastProgress["stateOperators"]
+    query.stop()
+    want = sums(aggregate_metrics(rows.withColumn("tag", F.explode("tags"))))
+    assert sums(aggregates.merged(spark, f"file://{tmp_path}/out")) == want
+    assert len(states) == 1 and states[0]["numRowsTotal"] == 60
+    # what is behind the last snapshot but one is gone
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "changes").glob("batch=*"))
+    shots = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "snapshots").glob("batch=*"))
+    assert len(shots) == 2 and min(kept) > shots[0] and len(kept) <= 4
+
+
+def test_state_expires_and_late_rows_are_dropped(spark, tmp_path):
+    rows, folder = stream_rows(spark, 20), f"{tmp_path}/in"
+    later = rows.withColumns({"sent_at": F.col("sent_at") + F.expr("interval 3 days"), "seq": F.col("seq") + 100})
+    for part in (rows, later, later.limit(1).withColumn("seq", F.lit(999).cast("long")), rows):  # the first again, far too late
+        part.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = aggregates.without_replays(aggregates.read_metric_stream(spark, folder, rows.schema, 1))
+    query = aggregates.write_partials(aggregates.by_tag(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.processAllAvailable()
+    states = query.lastProgress["stateOperators"][0]
+    query.stop()
+    assert states["numRowsTotal"] == 21  # the numbers of the first day have expired
+    out = {r.tag: r for r in aggregates.merged(spark, f"{tmp_path}/out").collect()}
+    assert out["(ALL)"].success_count + out["(ALL)"].fail_count == 41
+
+
+def test_streamed_aggregate_for_update_sinks(spark, tmp_path):
+    from relevanta.operators.aggregate import aggregate_metrics
+
+    rows = stream_rows(spark)
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = aggregates.stream_aggregate_metrics(aggregates.read_metric_stream(spark, f"{tmp_path}/in", rows.schema))
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("running_sums").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sums(spark.table("running_sums")) == sums(aggregate_metrics(rows.withColumn("tag", F.explode("tags"))))
+
+
+def test_values_that_break_lines_and_cells(spark, tmp_path):
+    odd = ["#1", "u\tv", "p&q", "a\nb", "c\r\nd", "100%", "%09", "#", "plain, é: 漢", " "]
+    names = ["#n", "value-x", "a\tb", "contextInfo", "p&%"]
+    nothing = {"tag": "t", "agg_type": "DOUBLE_AVG", "success_count": 1, "fail_count": 3, "weighted_success_count": 1.0, "weighted_fail_count": 3.0, "fail_reasons": {"A,B": 1, "C:D": 2, "#E %": 3}, "context_info": '{"q": "x\ty"}'}
+    rows = [{**nothing, "params": {n: [v, odd[(i + 1) % len(odd)]] for n in names}, "metric": m, "value": 0.5 + i} for i, v in enumerate(odd) for m in ("m 1", "#m\t2")]
+    schema = "tag string, agg_type string, success_count long, fail_count long, weighted_success_count double, weighted_fail_count double, fail_reasons map<string,long>, context_info string, params map<string,array<string>>, metric string, value double"
+    frame = spark.createDataFrame(rows, schema).withColumn("params_key", F.to_json("params"))
+    path = f"file://{tmp_path}/csv"
+    results.write_results_csv(frame, path, names, {"m 1": "DOUBLE_AVG", "#m\t2": "DOUBLE_AVG"}, settings_per_part=4)
+    back = results.read_results_csv(spark, path, tag=F.col("tag")).collect()
+    fact = lambda r: (json.dumps(r["params"], sort_keys=True), r["metric"], r["value"], json.dumps(r["fail_reasons"], sort_keys=True), r["context_info"], r["success_count"], r["fail_count"])
+    assert sorted(map(fact, back)) == sorted(map(fact, rows))
+    assert {(r["metric"], r["agg_type"]) for r in results.read_metric_types(spark, path).collect()} == {("m 1", "DOUBLE_AVG"), ("#m\t2", "DOUBLE_AVG")}
+
+
+def test_files_without_encoding_are_read_as_they_are(spark, put):
+    path = put("x.csv", "o\tfail-count-N\tsuccess-count-N\tvalue-N\n100%25&%09\t0\t1\t0.5\n")
+    assert results.read_results_csv(spark, path).first().params == {"o": ["100%25", "%09"]}
+
+
+def test_one_file_is_read_in_splits(spark, tmp_path):
+    body = "".join(f"{i}\t0\t1\t{i}.5\n" for i in range(20_000))
+    (tmp_path / "big.csv").write_text("# K_METRIC_AGGREGATOR_MAPPING N DOUBLE_AVG\no\tfail-count-N\tsuccess-count-N\tvalue-N\n" + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        assert spark.read.text(f"file://{tmp_path}/big.csv").rdd.getNumPartitions() > 10
+        rows = results.read_results_csv(spark, f"file://{tmp_path}/big.csv")
+        assert rows.agg(F.count("*"), F.sum("value"), F.countDistinct("params_key")).first()[:] == (20_000, sum(i + 0.5 for i in range(20_000)), 20_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def typed_rows(spark):
     """A metric of each kind of value; the second setting lacks three of them."""
     nothing = {"value": None, "map_value": None, "nested_value": None, "seq_value": None, "success_count": 2, "fail_count": 0, "fail_reasons": {}, "context_info": '{"q":"x y"}'}
-    kinds = [("n", "DOUBLE_AVG", {"value": 0.25}), ("m", "MAP_UNWEIGHTED_SUM_VALUE", {"map_value": {"a": 1.0, "b": 2.5}}), ("h", "NESTED_MAP_WEIGHTED_SUM_VALUE", {"nested_value": {"a": {"0": 1.0}, "c": {"3": 2.0}}}), ("s", "SEQUENCE_KEEP_FIRST", {"seq_value": ["p", "q\tr"]})]
+    kinds = [("n", "DOUBLE_AVG", {"value": 0.25}), ("m", "MAP_UNWEIGHTED_SUM_VALUE", {"map_value": {"a": 1.0, "b": 2.5}}), ("h", "NESTED_MAP_WEIGHTED_SUM_VALUE", {"nested_value": {"a": {"0": 1.0}, "c": {"3": 2.0}}}), ("s", "SEQUENCE_KEEP_FIRST", {"seq_value": ["p", "q\tr"]}), ("v", "MAP_AVG_VALUE", {"map_value": {"a": 0.5}})]
     rows = [{"tag": "t", "params": {"p": ["1"]}, "params_key": "p=1", "metric": m, "agg_type": k, **nothing, **own} for m, k, own in kinds]
     rows.append({**rows[0], "params": {"p": ["2"]}, "params_key": "p=2", "fail_count": 1, "fail_reasons": {"NO_RESULTS": 1}})
     schema = "tag string, params map<string,array<string>>, params_key string, metric string, agg_type string, value double, map_value map<string,double>, nested_value map<string,map<string,double>>, seq_value array<string>, success_count long, fail_count long, fail_reasons map<string,long>, context_info string"
@@ -125,7 +219,7 @@ def typed_rows(spark):
 def test_documents_of_all_types(spark, tmp_path):
     rows, types = typed_rows(spark)
     want = {(r.params_key, r.metric): (r.value, r.map_value, r.nested_value, r.seq_value, r.success_count, r.fail_count, r.fail_reasons) for r in rows.collect()}
-    empty = {"m": (None, {}, None, None), "h": (None, None, {}, None), "s": (None, None, None, [])}
+    empty = {"m": (None, {}, None, None), "h": (None, None, {}, None), "s": (None, None, None, []), "v": (None, {}, None, None)}
     results.write_results_csv(rows, f"file://{tmp_path}/csv", ["p"], types, settings_per_part=1)
     results.write_results_json(rows, f"file://{tmp_path}/json", settings_per_part=1)
     back = {"csv": results.read_results_csv(spark, f"file://{tmp_path}/csv", tag=F.col("tag")), "json": results.read_results_json(spark, f"file://{tmp_path}/json")}
