@@ -3,7 +3,8 @@
 A selector is a path such as ``\\ response \\ docs \\\\ product_id``: a single backslash goes to a key, a double one finds
 the key at any depth, in document order. Paths without a double backslash are plain column expressions, and so are those
 that end in the only one where the caller knows the hits to be fields of the records at the path before it; other searches
-walk each document once in Python, batch by batch, for all of them together.
+walk each document once in Python, batch by batch, for all of them together. ``deep.extract_deep`` does the same searches
+inside the JVM, in a few jobs more.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevanta.functions import text
-from relevanta.operators import checks, extract, formats, gate, summary
+from relevanta.operators import checks, deep, extract, formats, gate, summary
 from relevanta.operators.grid import numbered
 from relevanta.plans import tables as t
 from relevanta.plans.tables import METRIC_ROWS, SETTINGS
@@ -206,7 +206,8 @@ _DOCS = "SELECT l_orderkey AS query, row_number() OVER (PARTITION BY l_orderkey
 
 @register(f"{_DOCS}, l_partkey::VARCHAR AS product FROM lineitem")
 def extract_plain_rec(spark: SparkSession, d: str) -> DataFrame:
-    rows = _responses(spark, d).select("query", F.posexplode(extract.extract_records(F.col("response"), ["response", "docs"], "product_id")).alias("pos", "product"))
+    found = deep.extract_deep(_responses(spark, d), ["query"], "response", {"product": (r"\ response \ docs \\ product_id", "STRING")})
+    rows = found.select("query", F.posexplode("product").alias("pos", "product"))
     return rows.withColumn("pos", F.col("pos") + 1)
 
 
@@ -218,13 +219,15 @@ def extract_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"{_DOCS}, l_suppkey::INT AS sid FROM lineitem")
 def extract_rec_plain(spark: SparkSession, d: str) -> DataFrame:
-    rows = _responses(spark, d).select("query", F.posexplode(extract.extract_any(F.col("response"), r"\\ supplier \ sid", "INT")).alias("pos", "sid"))
+    found = deep.extract_deep(_responses(spark, d), ["query"], "response", {"sid": (r"\\ supplier \ sid", "INT")})
+    rows = found.select("query", F.posexplode("sid").alias("pos", "sid"))
     return rows.withColumn("pos", F.col("pos") + 1)
 
 
 @register(f"{_DOCS}, l_suppkey::INT AS sid FROM lineitem")
 def extract_rec_rec(spark: SparkSession, d: str) -> DataFrame:
-    rows = _responses(spark, d).select("query", F.posexplode(extract.extract_any(F.col("response"), r"\\ docs \\ sid", "INT")).alias("pos", "sid"))
+    found = deep.extract_deep(_responses(spark, d), ["query"], "response", {"sid": (r"\\ docs \\ sid", "INT")})
+    rows = found.select("query", F.posexplode("sid").alias("pos", "sid"))
     return rows.withColumn("pos", F.col("pos") + 1)
 
 
