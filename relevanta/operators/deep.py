@@ -37,9 +37,11 @@ def extract_deep(rows: DataFrame, keys: list[str], response_col: str, selectors:
     front, hits = front.filter("_is is not null"), []
     while True:
         live = ["_sel", "_step", "_marks", "_path"]
-        texts, values = F.from_json("_text", "map<string,string>"), F.from_json("_text", "map<string,variant>")
-        fields = F.arrays_zip(F.map_keys(texts).alias("k"), F.map_values(texts).alias("t"), F.map_values(values).alias("v"))
-        in_records = front.filter("_is = 'o'").select(*keys, *live, F.posexplode(fields).alias("_at", "_c"))
+        # parsed once each, then used for keys, texts and types
+        records = front.filter("_is = 'o'").withColumns({"_texts": F.from_json("_text", "map<string,string>"), "_values": F.from_json("_text", "map<string,variant>")})
+        fields = F.arrays_zip(F.map_keys("_texts").alias("k"), F.map_values("_texts").alias("t"), F.map_values("_values").alias("v"))
+        in_records = records.select(*keys, *live, F.posexplode(F.filter(F.transform(fields, lambda c, i: F.struct(i.alias("at"), c.alias("c"))), lambda x: is_deep | (x["c"]["k"] == wanted))).alias("_n", "_x"))
+        in_records = in_records.select(*keys, *live, F.col("_x.at").alias("_at"), F.col("_x.c").alias("_c"))
         items = F.arrays_zip(F.from_json("_text", "array<string>").alias("t"), F.from_json("_text", "array<variant>").alias("v"))
         in_arrays = front.filter((F.col("_is") == "a") & is_deep).select(*keys, *live, F.posexplode(items).alias("_at", "_c"))
         pick = lambda df, key: df.select(*keys, "_sel", "_step", "_marks", F.array_append("_path", F.col("_at")).alias("_path"), key.alias("_key"), F.col("_c")["t"].alias("_text"), _kind(F.col("_c")["v"]).alias("_is"))

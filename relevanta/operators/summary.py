@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relevanta.functions.text import params_key
 from relevanta.operators.greedy import greedy_buckets
+from relevanta.operators.grid import numbered, table_grid
 from relevanta.operators.ranges import prefix_sums, quotient
 from relevanta.sources.work import staged
 
@@ -149,10 +150,17 @@ def histogram_series(long: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return long.filter(F.col("key") == value).select(*keys, F.col("position").cast("int").alias("position"), F.col("value").alias("n")).orderBy(*keys, "position")
 
 
-def align_series(series: DataFrame, name_col: str = "series", label_col: str = "label", value_col: str = "value") -> DataFrame:
-    """Every series on the union of labels; 0.0 where it has none. Labels and series names are few."""
-    labels, names = series.select(label_col).distinct(), series.select(name_col).distinct()
-    return names.join(labels, F.lit(True)).join(series, [name_col, label_col], "left").select(name_col, label_col, F.coalesce(value_col, F.lit(0.0)).alias(value_col))
+def align_series(series: DataFrame, name_col: str = "series", label_col: str = "label", value_col: str = "value", most: int = 10**9) -> DataFrame:
+    """Every series on the union of labels; 0.0 where it has none. The result is names times labels by definition: it fails
+    above ``most`` rows, and its rows come from a range of indexes, so none of them is one task's to make."""
+    names, labels = (numbered(series.select(F.col(c).alias("value")).distinct(), [F.col("value").asc_nulls_first()], "pos") for c in (name_col, label_col))
+    rows = names.count() * labels.count()
+    if rows > most:
+        raise ValueError(f"{rows} rows of series and labels, more than {most}")
+    own = series.select(F.col(name_col).alias("_name"), F.col(label_col).alias("_label"), F.col(value_col).alias("_value"))
+    whole = table_grid({name_col: names, label_col: labels})
+    joined = whole.join(own, F.col(name_col).eqNullSafe(F.col("_name")) & F.col(label_col).eqNullSafe(F.col("_label")), "left")
+    return joined.select(name_col, label_col, F.coalesce("_value", F.lit(0.0)).alias(value_col))
 
 
 def metric_series(rows: DataFrame, metric: str) -> DataFrame:

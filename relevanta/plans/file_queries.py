@@ -277,6 +277,13 @@ def object_store_paths(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("value").agg(F.count("*").alias("n"))
 
 
+@register(f"WITH {_PEOPLE} SELECT name AS value FROM p")
+def second_store(spark: SparkSession, d: str) -> DataFrame:
+    """The folder through another file system of Hadoop's, a mount table that only this read knows."""
+    path = _written(_people(spark, d).select("name"), "lines")
+    return files.read_lines(spark, "viewfs://values/in", {"fs.viewfs.mounttable.values.link./in": path}).select("value")
+
+
 @register(f"WITH {REQUESTS}, x AS (SELECT DISTINCT tag AS date, nation AS job FROM requests) SELECT date, string_agg(job, ',' ORDER BY job) AS jobs, string_agg(job, ',' ORDER BY job) FILTER (job < 'J') AS summarised FROM x GROUP BY 1")
 def results_overview(spark: SparkSession, d: str) -> DataFrame:
     path = work_path(spark, "overview")

@@ -1,4 +1,5 @@
-"""Value and mapping files. Paths go to Spark as they are, so local, HDFS, ``s3a:`` and ``gs:`` stores read alike.
+"""Value and mapping files. Paths go to Spark as they are, so local, HDFS, ``s3a:`` and ``gs:`` stores read alike; a store's
+own settings (mount tables, end points, credentials) can be given as ``options`` of a read.
 
 Order within a file is the order of Spark's line ids, which grow along a file; keys given twice are settled by it.
 """
@@ -9,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> DataFrame:
     """``(line_id, line, file)``: trimmed lines that aren't empty and no comment."""
-    rows = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_id"))
+    rows = spark.read.options(**(options or {})).text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_id"))
     return rows.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(spark, path).select("line_id", F.col("line").alias("value"))
+def read_lines(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> DataFrame:
+    return _lines(spark, path, options).select("line_id", F.col("line").alias("value"))
 
 
 def read_split_values(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
