@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relevanta.sources.work import staged, work_path as new_path  # noqa: F401
+
 #: One token of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,35 +22,26 @@ CACHES: list = []
 
 
 def free_caches() -> None:
-    """Drops them. Spark hands workers on from stage to stage; one that has no use for the caches needs the memory."""
-    for cache in CACHES:
-        cache.cache_clear()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, one of our own if driver and
-    executors are one process (tests); on a cluster it must be set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The files stay until the cluster's own clean-up of that folder, since the returned frame reads them lazily.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Drops them, and gives back to the system what the worker has freed. Spark hands workers on from stage to stage; one
+    that has no use for the caches, or for the batches of an earlier stage, leaves that memory to others."""
+    if any(cache.cache_info().currsize for cache in CACHES):
+        for cache in CACHES:
+            cache.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trimmer():
+    """The C library's call that returns freed memory, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+_TRIM = _trimmer()
 
 
 def held_out(id_col: str, mod: int, rest: int) -> Column:
