@@ -6,12 +6,12 @@ training time by a piecewise linear schedule; the schedule is integrated to a cu
 at each document's place in its source's order gives its training position in [0, 1]. ``curriculum`` range-sorts by it.
 
 The order within a source is dealt into cells by hash, so a source that holds a third of all rows is as many cells as its
-rows need; only one row a cell is summed up per source. In the one cell of each source in which the target is reached,
+rows need; the cells of a source are summed up over ranges. In the one cell of each source in which the target is reached,
 documents are tried longest first, so that little of the target stays open.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are taken 0
 times; the order goes by hash of id and text, so rows without an id stand all over their source; rows alike in both are
-mixed one by one, in one cell; an empty table gives no rows; other columns are ignored.
+numbered by ranges and stand by their number; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevanta.llm.common import WORD, staged
+from relevanta.operators.ranges import prefix_sums
 
 #: Rows a cell of the order aims at.
 CELL_ROWS = 1024
@@ -73,6 +74,22 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.assign(_extra=extra)
 
 
+def order_places(sized: DataFrame, seed: int) -> DataFrame:
+    """Rows ``doc_id, size, _h`` (the text's hash) and ``row`` with ``_u`` in [0, 1], their place in the order: by id and
+    text, and for rows alike in both by their number among them, which ranges of the rows count apart."""
+    alike = ["doc_id", "_h"]
+    copies = staged(sized.filter("size > 0").groupBy(*alike).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "copies")
+    numbered = sized.withColumn("_copy", F.lit(0).cast("long"))
+    if not copies.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_of_h"))
+        repeated = sized.filter("size > 0").join(copies.toDF("_of", "_of_h"), same, "left_semi").select(*alike, "row", F.lit(1).alias("_one"))
+        numbers = prefix_sums(repeated, alike, ["row"], "_one", "_copy").select("row", "_copy")
+        numbered = sized.join(numbers, "row", "left").withColumn("_copy", F.coalesce("_copy", F.lit(0)))
+    # documents of size 0 are never taken: wherever they stand, the mix is the same
+    u = F.xxhash64("doc_id", "_h", F.when(F.col("size") == 0, F.col("row")), F.when(F.col("_copy") > 0, F.col("_copy")), F.lit(seed))
+    return staged(numbered.withColumn("_u", u.cast("double") / F.lit(2.0**64) + 0.5).drop("_h", "_copy"), "sized")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: ``row, doc_id, source, size, source_size, target, repeats, taken, positions``.
 
@@ -82,15 +99,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     source = F.col(source_col).cast("string")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("_key"), size.alias("size"), F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("row"))
-    # documents of size 0 are never taken: wherever they stand, the mix is the same
-    u = F.xxhash64("doc_id", "_h", F.when(F.col("size") == 0, F.col("row")), F.lit(seed))
-    sized = staged(sized.withColumn("_u", u.cast("double") / F.lit(2.0**64) + 0.5).drop("_h"), "sized")
+    sized = order_places(staged(sized, "counted"), seed)
     cells = max(1, -(-sized.count() // CELL_ROWS))
     sized = sized.withColumn("_cell", F.least(F.floor(F.col("_u") * cells), F.lit(cells - 1)).cast("long"))
 
     sums = sized.groupBy("_key", "source", "_cell").agg(F.sum("size").alias("size"))
-    earlier = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    sums = prefix_sums(sums, ["_key"], ["_cell"], "size", "_before")
     targets = source_targets(sized, weights, share, most)
     # whole rounds of the source first, then the order once more up to _part
     table = sums.join(targets.drop("source"), "_key").withColumn("_rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from relevanta.llm import chat, langid, mixing, near_dup, packing, quality, scoring, token_files
 from relevanta.llm import lattice as lattice_module
 from relevanta.llm.lattice import Lattice, lattice_of, load_pieces
+from relevanta.llm.common import staged
 from relevanta.llm.scoring import default_vocabulary
 from relevanta.llm.tokens import default_tokenizer, encoder
 
@@ -198,6 +199,19 @@ def brute(word: bytes, known: dict) -> float:
     return at[-1]
 
 
+def test_copies_stand_all_over_their_source(spark):
+    rows = [(7, "a b c", "s", i) for i in range(3000)] + [(None, "d e", "s", i) for i in range(500)] + [(i, f"w{i} x", "s", i) for i in range(100, 400)] + [(8, "", "s", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(4)
+    sized = docs.select("doc_id", "source", F.when(F.col("text") == "", 0).otherwise(2).cast("long").alias("size"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("row"))
+    first, again = (mixing.order_places(staged(x, "rows"), 17).orderBy("doc_id", "_u") for x in (sized, sized.repartition(2)))
+    places = [(r["doc_id"], r["_u"]) for r in first.filter("size > 0").collect()]
+    assert len(set(places)) == 3800 and places == [(r["doc_id"], r["_u"]) for r in again.filter("size > 0").collect()]
+    hot = [u for i, u in places if i == 7]
+    assert all(600 < sum(a <= u < a + 0.25 for u in hot) < 900 for a in (0, 0.25, 0.5, 0.75))
+    out = mixing.mixing_report(docs).collect()
+    assert len(out) == len(rows) and abs(sum(r.taken for r in out) - out[0].target) <= 3 and all(r.taken <= 2 * r.size for r in out)
+
+
 def test_long_words_in_the_lattice():
     lattice, rng = lattice_of(default_vocabulary()), random.Random(5)
     words = [bytes(rng.choice(b"etaoinshrdlu0123=") for _ in range(n)) for n in [1, 2, 30, 63, 64, 64]]
@@ -432,6 +446,22 @@ def test_joined_at_the_threshold(spark):
         assert np.mean([got[2 * at] == got[2 * at + 1] for at in range(400) if at % 2 == k]) >= 0.97
 
 
+def test_pairs_in_shared_boilerplate(spark):
+    """Texts that share 65 % of their words in one to three levels (all, one of 3, one of 9), pairs at 0.82."""
+    rng, rows = random.Random(21), []
+    for levels in (1, 2, 3):
+        shared = {(k, j): [f"l{levels}k{k}j{j}w{rng.randrange(10**6)}" for _ in range(90 // levels)] for k in range(levels) for j in range(3**k)}
+        for at in range(150):
+            own = [w for k in range(levels) for w in shared[k, at % 3**k]] + [f"o{rng.randrange(10**6)}" for _ in range(50)]
+            base = 2 * (150 * (levels - 1) + at)
+            rows += [(base, " ".join(own)), (base + 1, " ".join(changed(rng, own, int(0.18 * len(own)))))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for levels in (1, 2, 3):
+        own = range(300 * (levels - 1), 300 * levels, 2)
+        assert np.mean([got[i] == got[i + 1] for i in own]) >= 0.97, levels
+        assert len({got[i] for i in own}) >= 140, levels  # boilerplate alone joins nothing
+
+
 def test_alike_texts_meet_in_a_sketch(spark):
     rng, rows, lengths = random.Random(6), [], (5, 10, 15, 20, 30, 38, 40, 45, 49, 50, 60, 100, 200, 500)
     kinds = [(n, s, i) for n in lengths for s in (0.8, 0.82, 0.85, 0.9) for i in range(120)]
