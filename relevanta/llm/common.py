@@ -28,6 +28,11 @@ def free_caches() -> None:
         for cache in CACHES:
             cache.cache_clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what the worker has freed to the system; caches stay."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
