@@ -64,7 +64,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2048 tokens; a null text is its end alone. The token cache
     is smaller than an operator of its own would have it, as other stages share the workers' memory."""
-    return packing.packing_report(docs, cache_entries=300_000)
+    return packing.packing_report(docs, cache_entries=200_000)
 
 
 STAGES = [
