@@ -1,68 +1,16 @@
-"""Searches at any depth of JSON inside the JVM, level by level.
-
-A level's containers are parsed twice, once for the text of their children in document order and once, as VARIANT, for the
-children's types; each child goes on in the steps of the selector that it can still meet. A hit carries the places of the
-values that its steps met, so hits sort in document order: step by step, as nested loops over the steps would find them.
-Levels are written one after another, as many as the deepest search needs; a document is in one row only as its own text
-and as its own hits.
-"""
+"""Searches at any depth of JSON, for all selectors of a document in one walk."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevanta.operators.extract import TYPES, parse_selector
-from relevanta.sources.work import staged
-
-
-def _kind(value: Column) -> Column:
-    """``o`` for a record, ``a`` for an array, null for others."""
-    name = F.schema_of_variant(value)
-    return F.when(name.startswith("OBJECT"), "o").when(name.startswith("ARRAY"), "a")
+from relevanta.operators.extract import all_as, parse_selector, walked
 
 
 def extract_deep(rows: DataFrame, keys: list[str], response_col: str, selectors: dict[str, tuple[str, str]]) -> DataFrame:
     """``keys`` and an array column for each ``name: (selector, type)``: all hits in document order, records and arrays as
-    JSON text, null where a value is no such type. ``keys`` don't repeat; a text that is no JSON has no hits."""
-    steps = [parse_selector(path) for path, _ in selectors.values()]
-    table = lambda make: F.array(*(F.array(*(F.lit(make(s)) for s in own)) for own in steps))
-    wanted, is_deep = table(lambda s: s[1])[F.col("_sel")][F.col("_step")], table(lambda s: s[0] == "deep")[F.col("_sel")][F.col("_step")]
-    lengths = F.array(*(F.lit(len(own)) for own in steps))
-    whole = rows.select(*keys, F.col(response_col).alias("_text"), _kind(F.try_parse_json(response_col)).alias("_is"))
-    places = F.array().cast("array<int>")
-    front = whole.select(*keys, F.explode(F.array(*map(F.lit, range(len(steps))))).alias("_sel"), F.lit(0).alias("_step"), F.array().cast("array<array<int>>").alias("_marks"), places.alias("_path"), "_text", "_is")
-    front, hits = front.filter("_is is not null"), []
-    while True:
-        live = ["_sel", "_step", "_marks", "_path"]
-        # parsed once each, then used for keys, texts and types
-        records = front.filter("_is = 'o'").withColumns({"_texts": F.from_json("_text", "map<string,string>"), "_values": F.from_json("_text", "map<string,variant>")})
-        fields = F.arrays_zip(F.map_keys("_texts").alias("k"), F.map_values("_texts").alias("t"), F.map_values("_values").alias("v"))
-        in_records = records.select(*keys, *live, F.posexplode(F.filter(F.transform(fields, lambda c, i: F.struct(i.alias("at"), c.alias("c"))), lambda x: is_deep | (x["c"]["k"] == wanted))).alias("_n", "_x"))
-        in_records = in_records.select(*keys, *live, F.col("_x.at").alias("_at"), F.col("_x.c").alias("_c"))
-        items = F.arrays_zip(F.from_json("_text", "array<string>").alias("t"), F.from_json("_text", "array<variant>").alias("v"))
-        in_arrays = front.filter((F.col("_is") == "a") & is_deep).select(*keys, *live, F.posexplode(items).alias("_at", "_c"))
-        pick = lambda df, key: df.select(*keys, "_sel", "_step", "_marks", F.array_append("_path", F.col("_at")).alias("_path"), key.alias("_key"), F.col("_c")["t"].alias("_text"), _kind(F.col("_c")["v"]).alias("_is"))
-        children = pick(in_records, F.col("_c")["k"]).unionByName(pick(in_arrays, F.lit(None).cast("string")))
-        met = F.when(F.col("_key") == wanted, F.struct((F.col("_step") + 1).alias("step"), F.array_append("_marks", F.col("_path")).alias("marks")))
-        on = F.when(is_deep, F.struct(F.col("_step").alias("step"), F.col("_marks").alias("marks")))
-        moves = children.withColumn("_move", F.explode(F.filter(F.array(met, on), lambda m: m.isNotNull())))
-        moves = moves.select(*keys, "_sel", F.col("_move.step").alias("_step"), F.col("_move.marks").alias("_marks"), "_path", "_text", "_is")
-        done = F.col("_step") == lengths[F.col("_sel")]
-        level = staged(moves.filter(done | F.col("_is").isNotNull()), "json-level")
-        hits.append(level.filter(done).select(*keys, "_sel", "_marks", "_text"))
-        front = level.filter(~done)
-        if front.isEmpty():
-            break
-    found = reduce(lambda a, b: a.unionByName(b), hits)
-    own = lambda i: F.array_sort(F.collect_list(F.when(F.col("_sel") == i, F.struct("_marks", "_text"))))
-    found = found.groupBy(*keys).agg(*(own(i).alias(f"_hits{i}") for i in range(len(steps))))
-    renamed = found.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    joined = rows.select(*keys).join(renamed, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
-
-    def typed(i: int, kind: str) -> Column:
-        return F.coalesce(F.transform(f"_hits{i}", lambda h: h["_text"].try_cast(TYPES[kind])), F.array().cast(f"array<{TYPES[kind]}>"))
-
-    return joined.select(*keys, *(typed(i, kind).alias(name) for i, (name, (_, kind)) in enumerate(selectors.items())))
+    JSON text, null where a value is no such type. A text that is no JSON has no hits. A document is parsed once, in the
+    task that holds its row: nothing is shuffled or written between."""
+    found = rows.select(*keys, walked(F.col(response_col), [parse_selector(path) for path, _ in selectors.values()]).alias("_hits"))
+    return found.select(*keys, *(all_as(F.col("_hits")[i], kind).alias(name) for i, (name, (_, kind)) in enumerate(selectors.items())))

@@ -3,8 +3,7 @@
 A selector is a path such as ``\\ response \\ docs \\\\ product_id``: a single backslash goes to a key, a double one finds
 the key at any depth, in document order. Paths without a double backslash are plain column expressions, and so are those
 that end in the only one where the caller knows the hits to be fields of the records at the path before it; other searches
-walk each document once in Python, batch by batch, for all of them together. ``deep.extract_deep`` does the same searches
-inside the JVM, in a few jobs more.
+walk each document once in Python, batch by batch, for all of them together; ``deep.extract_deep`` gives arrays for all.
 """
 
 from __future__ import annotations
@@ -52,9 +51,16 @@ def extract_records(response: Column, keys: list[str], field: str, kind: str = "
 
 def _deep(value, key: str) -> list:
     """All values of a key at any depth, in document order."""
-    if isinstance(value, dict):
-        return [x for k, v in value.items() for x in ([v] if k == key else []) + _deep(v, key)]
-    return [x for v in value for x in _deep(v, key)] if isinstance(value, list) else []
+    out, left = [], [(False, value)]
+    while left:
+        hit, value = left.pop()
+        if hit:
+            out.append(value)
+        if isinstance(value, dict):
+            left += [(k == key, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            left += [(False, v) for v in reversed(value)]
+    return out
 
 
 def _select(document, steps: list[tuple[str, str]]) -> list:
@@ -68,7 +74,7 @@ def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _walks(response: Column, walks: list[list[tuple[str, str]]]) -> Column:
+def walked(response: Column, walks: list[list[tuple[str, str]]]) -> Column:
     """An array of hits, as text, for each path; a document is parsed once."""
 
     @F.pandas_udf("array<array<string>>")
@@ -86,13 +92,13 @@ def _walks(response: Column, walks: list[list[tuple[str, str]]]) -> Column:
     return run(response)
 
 
-def _all_as(values: Column, kind: str) -> Column:
+def all_as(values: Column, kind: str) -> Column:
     return F.transform(values, lambda v: v.try_cast(TYPES[kind]))
 
 
 def extract_any(response: Column, path: str, kind: str = "STRING") -> Column:
     """Hits of any selector as an array; records and arrays stay JSON text, what is no such type becomes null."""
-    return _all_as(_walks(response, [parse_selector(path)])[0], kind)
+    return all_as(walked(response, [parse_selector(path)])[0], kind)
 
 
 def extract_fields(rows: DataFrame, response_col: str, selectors: dict[str, tuple[str, str]], direct: tuple[str, ...] = ()) -> DataFrame:
@@ -113,8 +119,8 @@ def extract_fields(rows: DataFrame, response_col: str, selectors: dict[str, tupl
             walks[name] = (steps, kind)
     if not walks:
         return rows.withColumns(columns)
-    found = rows.withColumn("_walks", _walks(F.col(response_col), [steps for steps, _ in walks.values()]))
-    columns |= {name: _all_as(F.col("_walks")[i], kind) for i, (name, (_, kind)) in enumerate(walks.items())}
+    found = rows.withColumn("_walks", walked(F.col(response_col), [steps for steps, _ in walks.values()]))
+    columns |= {name: all_as(F.col("_walks")[i], kind) for i, (name, (_, kind)) in enumerate(walks.items())}
     return found.withColumns(columns).drop("_walks")
 
 

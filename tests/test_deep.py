@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 from relevanta.operators import extract
 from relevanta.operators.deep import extract_deep
@@ -44,3 +45,14 @@ def test_types_and_hits_below_the_records(spark):
     row = extract_deep(spark.createDataFrame([(1, text)], "k int, d string"), ["k"], "d", {"ids": (r"\ r \ docs \\ id", "INT"), "texts": (r"\\ id", "STRING")}).first()
     assert row["ids"] == [1, 2, None, None] or row["ids"] == [1, 2, 3, None]
     assert row["texts"] == ["1", "2", "3.0", '{"x":1}']
+
+
+def test_a_search_writes_and_shuffles_nothing(spark):
+    """However deep a search goes, its plan is one pass over the rows; rows with one key stay rows of their own."""
+    rows = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":7}}}}'), (1, '{"d":8}')], "k int, d string")
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    folder = Path((before or "file:///nowhere").removeprefix("file://"))
+    written = set(folder.glob("json-level-*"))
+    out = extract_deep(rows, ["k"], "d", {"found": (r"\\ a \\ d", "INT"), "all": (r"\\ d", "INT")})
+    assert sorted((r["found"], r["all"]) for r in out.collect()) == [([], [8]), ([7], [7])]
+    assert "Exchange" not in out._jdf.queryExecution().toString() and set(folder.glob("json-level-*")) == written
