@@ -9,10 +9,12 @@ at least ``threshold``; the alignment is banded by the largest distance that all
 Exact copies are one node from the start, so a group of copies costs one row each. In a bucket of at most COMPLETE texts
 all pairs are candidates. A larger one comes from a large group of near copies or from a passage that many texts share. Its
 texts are aligned with two leaders, which joins near copies; of a text that is unlike the leader it meets most often, what
-that leader doesn't have is sketched again, and texts that agree in such a sketch stand in one bucket in turn. So a shared
-passage no longer counts, and the work grows with the number of texts, not with that of their pairs. Candidates whose lengths or bags (counts
-of hashed words, which bound the distance from below) show that they are unlike are not aligned. Leaders' texts are dealt
-out to several tasks where they have many partners.
+that leader doesn't have is sketched again, and texts that agree in such a sketch stand in one bucket in turn. That joins
+most; then every other pair of a large bucket is a candidate too, unless its two texts are in one class by then: more links
+between these change nothing. So a large group of near copies costs no pairs, and texts that share a passage and are unlike
+cost all of theirs, in blocks of BLOCK texts. Candidates whose lengths or bags (counts of hashed words, which bound the
+distance from below) show that they are unlike are not aligned. Leaders' texts are dealt out to several tasks where they
+have many partners.
 
 Defined results: null and empty texts are copies of one another; a text of one word is one k-mer; texts of under SHORT words, and
 longer ones that can pair with them, are sketched by single words as well; a row without an
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import chunks, free_caches, list_array, staged, texts_of, whole_groups
+from relevanta.llm.common import block_pairs, chunks, free_caches, groups_of, list_array, staged, texts_of, whole_groups
 from relevanta.llm.components import connected_components
 
 #: An edit spoils two runs of two words. At similarity 0.8 at least three fifths of them are left, even if edits never touch
@@ -47,6 +49,8 @@ BAG = 128
 #: Texts of a bucket whose pairs are all candidates, and the sketches of what a leader of a larger one doesn't have.
 COMPLETE = 64
 AGAIN_WORDS, AGAIN = 2, 12
+#: Texts of a block: two blocks of a larger bucket's texts meet in one task at a time.
+BLOCK = 2048
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -316,9 +320,9 @@ def within_buckets(members: DataFrame, own: DataFrame, threshold: float) -> Data
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def candidates(keyed: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+def candidates(keyed: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs ``(u, v, hot)`` from ``keyed(key, node)``: in small buckets all, in large ones those with a leader,
-    which are ``hot``. ``own`` has ``(node, n, bag)``."""
+    which are ``hot``; and the members ``(key, _size, node)`` of large ones. ``own`` has ``(node, n, bag)``."""
     buckets = staged(keyed.groupBy("key").agg(F.count("*").alias("_size"), F.min("node").alias("_first"), F.max("node").alias("_second")).filter("_size > 1"), "buckets")
     bucketed = staged(keyed.join(buckets, "key"), "bucketed")
     small = within_buckets(bucketed.filter(F.col("_size") <= COMPLETE).select("key", "node"), own, threshold)
@@ -328,7 +332,44 @@ def candidates(keyed: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     most = led.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
     pairs = small.unionByName(possible(led.select("u", "v"), own, threshold)).select("u", "v", F.lit(False).alias("hot"))
     # whatever its bag says, what the leader it meets most often doesn't have of a text is sketched
-    return pairs.unionByName(most.select("u", "v", F.lit(True).alias("hot"))).groupBy("u", "v").agg(F.bool_or("hot").alias("hot"))
+    pairs = pairs.unionByName(most.select("u", "v", F.lit(True).alias("hot"))).groupBy("u", "v").agg(F.bool_or("hot").alias("hot"))
+    return pairs, large.select("key", "_size", "node")
+
+
+def between_classes(large: DataFrame, classes: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """All pairs ``(u, v)`` of members ``(key, _size, node)`` of one bucket that are in different classes and that their bags
+    don't rule out. ``classes`` has ``(node, component)`` of nodes with links, ``own`` ``(node, n, bag)``."""
+    members = staged(large.join(classes, "node", "left").select("key", "_size", "node", F.coalesce("component", "node").alias("class")), "classed")
+    mixed = members.groupBy("key").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a < _b").select("key")
+    rows = members.join(mixed, "key", "left_semi").join(own.hint("merge"), "node")
+    rows = block_pairs(rows, "key", "_size", "node", BLOCK).select("key", "_i", "_j", "n", "node", "class", "bag")
+    rows = rows.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "n", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
+        for group in groups_of(batches, 3):
+            n, node, class_ = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "node", "class"))
+            bag, longest = _bag_matrix(group.column("bag")), np.searchsorted(n, n / threshold + 1e-6, side="right")
+            found = [np.zeros((0, 2), np.int64)]
+            for a in range(len(n) - 1):  # rows are sorted by length
+                b = np.arange(a + 1, longest[a])
+                b = b[class_[b] != class_[a]]
+                if len(b):
+                    b = b[may_be_alike(np.broadcast_to(bag[a], (len(b), BAG)), bag[b], np.broadcast_to(n[a], len(b)), n[b], threshold)]
+                    found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1))
+                if len(found) > 500:
+                    pairs = np.concatenate(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                    found = [np.zeros((0, 2), np.int64)]
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def asked_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the few that later pairs ask for; the ids are written first, so that Spark sees how few they are."""
+    return texts.join(staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes"), "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,17 +383,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     keyed = staged(own.select(F.col("doc_id").alias("node"), F.explode(F.concat("sketches", "short_sketches")).alias("key")), "keys")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("node").isNotNull())
 
-    asked = staged(candidates(keyed, bag_of, threshold), "candidates")
+    asked, large = candidates(keyed, bag_of, threshold)
+    asked = staged(asked, "candidates")
     nodes = asked.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = staged(texts.join(nodes.hint("merge"), "node", "left_semi"), "texts")
     found = staged(verified(asked, texts, threshold), "found")
     # texts that are unlike their leader may be alike in what it doesn't have
     beyond = found.filter("not alike").select(F.col("v").alias("node"), F.explode("keys").alias("key"))
-    more = candidates(staged(beyond, "keys"), bag_of, threshold).join(asked, ["u", "v"], "left_anti")
-    again = staged(verified(more.withColumn("hot", F.lit(False)), texts, threshold), "found")
+    more, large_again = candidates(staged(beyond, "keys"), bag_of, threshold)
+    more = staged(more.join(asked, ["u", "v"], "left_anti").withColumn("hot", F.lit(False)), "candidates")
+    again = staged(verified(more, asked_texts(more, texts), threshold), "found")
 
     links = found.filter("alike").select("u", "v").unionByName(again.filter("alike").select("u", "v"))
     links = links.unionByName(members.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
-    classes = connected_components(links).withColumnRenamed("node", "doc_id")
+    classes = connected_components(links)
+    rest = between_classes(large.unionByName(large_again), classes, bag_of, threshold)
+    rest = staged(rest.join(asked.select("u", "v").unionByName(more.select("u", "v")), ["u", "v"], "left_anti").withColumn("hot", F.lit(False)), "rest")
+    if not rest.isEmpty():
+        last = staged(verified(rest, asked_texts(rest, texts), threshold), "found").filter("alike").select("u", "v")
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(last))
+    classes = classes.withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id").join(classes, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -376,6 +376,17 @@ def test_samples_that_no_id_can_crowd(spark):
     assert counts == {"en": 100, "de": 100}
 
 
+def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
+    """Two texts that are alike, though what their leader lacks of them has no run of two words in common."""
+    passage = [f"p{i}" for i in range(600)]
+    tails = [[f"t{n}x{i}" for i in range(200)] for n in range(200)]
+    tails[101] = [x if i % 2 else tails[100][i] for i, x in enumerate(tails[101])]
+    docs = spark.createDataFrame([(n, " ".join(passage + x)) for n, x in enumerate(tails)], "doc_id long, text string")
+    for block in (near_dup.BLOCK, 16):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        assert {r.doc_id for r in near_dup.near_duplicates(docs).collect() if not r.kept} == {101}
+
+
 def test_near_duplicates(spark, odd, empty):
     rng, rows, groups = random.Random(9), [], []
     for i, t in enumerate(t for t in texts(10, 60, 120) if t.count(" ") > 35):
