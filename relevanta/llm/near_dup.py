@@ -7,13 +7,14 @@ in one sketch stand in one bucket. A pair is linked where the word-level edit si
 at least ``threshold``; the alignment is banded by the largest distance that allows it.
 
 Exact copies are one node from the start, so a group of copies costs one row each. In a bucket of at most COMPLETE texts
-all pairs are candidates. A larger one comes from a large group of near copies or from a passage that many texts share. Its
+all pairs are candidates; each text is first aligned with the one it meets most often, and then only with those that are not
+in its class by then, as more links within a class change nothing. A larger one comes from a large group of near copies or from a passage that many texts share. Its
 texts are aligned with two leaders, which joins near copies; of a text that is unlike the leader it meets most often, what
 that leader doesn't have is sketched again, and texts that agree in such a sketch stand in one bucket in turn. That joins
 most; then every other pair of a large bucket is a candidate too, unless its two texts are in one class by then: more links
 between these change nothing. So a large group of near copies costs no pairs, and texts that share a passage and are unlike
 cost all of theirs, in blocks of BLOCK texts. Candidates whose lengths or bags (counts of hashed words, which bound the
-distance from below) show that they are unlike are not aligned. Leaders' texts are dealt out to several tasks where they
+distance from below; in large buckets then finer ones) show that they are unlike are not aligned. Leaders' texts are dealt out to several tasks where they
 have many partners.
 
 Defined results: null and empty texts are copies of one another; a text of one word is one k-mer; texts of under SHORT words, and
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevanta.llm.common import block_pairs, chunks, free_caches, groups_of, list_array, staged, texts_of, whole_groups
@@ -44,8 +45,8 @@ THRESHOLD = 0.8
 SHORT, SHORT_WORDS, SHORT_SKETCHES = 50, 1, 32
 #: Partners of one leader that one task aligns.
 PARTNERS = 256
-#: Cells of a bag.
-BAG = 128
+#: Cells of a bag, and of the finer one that pairs of a large bucket meet after it.
+BAG, FINE = 128, 2048
 #: Texts of a bucket whose pairs are all candidates, and the sketches of what a leader of a larger one doesn't have.
 COMPLETE = 64
 AGAIN_WORDS, AGAIN = 2, 12
@@ -142,10 +143,27 @@ def sketches_beyond(leader: np.ndarray, texts: list[str], sketches: int) -> list
     return [keys if n > 1 else [] for keys, n in zip(order_sketches(labelled[beyond], left, sketches).tolist(), left, strict=True)]
 
 
-def bags(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(texts, BAG) counts of words by a hash, 255 at most."""
-    cell = np.repeat(np.arange(len(counts)), counts) * BAG + (hashes % np.uint64(BAG)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(counts) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+def bags(hashes: np.ndarray, counts: np.ndarray, cells: int = BAG, most: int = 255) -> np.ndarray:
+    """(texts, cells) counts of words by a hash, ``most`` at most."""
+    cell = np.repeat(np.arange(len(counts)), counts) * cells + (hashes % np.uint64(cells)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(counts) * cells), most).astype(np.min_scalar_type(most)).reshape(-1, cells)
+
+
+def fine_bags(hashes: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+    """Each text's counts in FINE cells, as the numbers of the cells it uses and the counts there, 16 bits each."""
+    first = np.cumsum(counts) - counts
+    for i, n in zip(first.tolist(), counts.tolist(), strict=True):
+        cell, count = np.unique((hashes[i : i + n] % np.uint64(FINE)).astype(np.uint16), return_counts=True)
+        yield cell.tobytes() + np.minimum(count, 65535).astype(np.uint16).tobytes()
+
+
+def _fine_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """(texts, FINE) counts out of what ``fine_bags`` made."""
+    rows = [np.frombuffer(x, np.uint16).reshape(2, -1) for x in column.to_pylist()]
+    out = np.zeros((len(rows), FINE), np.uint16)
+    for row, (cell, count) in zip(out, rows, strict=True):
+        row[cell] = count
+    return out
 
 
 def may_be_alike(bags_u: np.ndarray, bags_v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, threshold: float) -> np.ndarray:
@@ -153,9 +171,10 @@ def may_be_alike(bags_u: np.ndarray, bags_v: np.ndarray, n_u: np.ndarray, n_v: n
     most = ((1 - threshold) * np.maximum(n_u, n_v) + 1e-9).astype(np.int64)
     out = np.abs(n_u - n_v) <= most
     at = np.flatnonzero(out)
-    for i in range(0, len(at), 50_000):
-        own = at[i : i + 50_000]
-        apart = np.abs(bags_u[own].astype(np.int16) - bags_v[own]).sum(1, dtype=np.int64)
+    step = 50_000 * BAG // bags_v.shape[1] if len(bags_v) else 1
+    for i in range(0, len(at), step):
+        own = at[i : i + step]
+        apart = np.abs(bags_u[own].astype(np.int32) - bags_v[own]).sum(1, dtype=np.int64)
         out[own] = apart + np.abs(n_u[own] - n_v[own]) <= 2 * most[own]
     return out
 
@@ -284,22 +303,23 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
 
 
 def possible(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(u, v)`` that their lengths and bags don't rule out. ``own`` has ``(node, n, bag)``."""
+    """The pairs ``(u, v, met)`` that their lengths and bags don't rule out. ``own`` has ``(node, n, bag)``."""
     for side in ("u", "v"):
         pairs = pairs.join(own.select(F.col("node").alias(side), F.col("n").alias(f"_n{side}"), F.col("bag").alias(f"_bag{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         for batch in batches:
-            n = [np.asarray(batch.column(c)).astype(np.int64) for c in (2, 3)]
-            yield batch.select([0, 1]).filter(pa.array(may_be_alike(_bag_matrix(batch.column(4)), _bag_matrix(batch.column(5)), *n, threshold)))
+            n = [np.asarray(batch.column(c)).astype(np.int64) for c in (3, 4)]
+            yield batch.select([0, 1, 2]).filter(pa.array(may_be_alike(_bag_matrix(batch.column(5)), _bag_matrix(batch.column(6)), *n, threshold)))
 
     near = F.least("_nu", "_nv") >= F.greatest("_nu", "_nv") * F.lit(threshold) - F.lit(1e-6)
-    return pairs.filter(near).select("u", "v", "_nu", "_nv", "_bagu", "_bagv").mapInArrow(run, "u long, v long")
+    return pairs.filter(near).select("u", "v", "met", "_nu", "_nv", "_bagu", "_bagv").mapInArrow(run, "u long, v long, met long")
 
 
 def within_buckets(members: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``(u, v)`` of a small bucket's members ``(key, node)`` that their bags don't rule out. ``own`` has ``(node, n, bag)``."""
+    """All pairs ``(u, v)`` of a small bucket's members ``(key, node)`` that their bags don't rule out, with ``met``, in how many
+    buckets they meet. ``own`` has ``(node, n, bag)``."""
     rows = members.join(own.hint("merge"), "node").select("key", "node", "n", "bag").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,45 +337,77 @@ def within_buckets(members: DataFrame, own: DataFrame, threshold: float) -> Data
                 good = may_be_alike(bag.take(a, 0), bag.take(b, 0), n[a], n[b], threshold) if len(a) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(node[a[good]]), pa.array(node[b[good]])], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("met"))
 
 
 def candidates(keyed: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs ``(u, v, hot)`` from ``keyed(key, node)``: in small buckets all, in large ones those with a leader,
-    which are ``hot``; and the members ``(key, _size, node)`` of large ones. ``own`` has ``(node, n, bag)``."""
+    """Candidate pairs ``(u, v, met, hot)`` from ``keyed(key, node)``: in small buckets all, in large ones those with a leader,
+    which are ``hot`` where a text meets no leader more often; and the members ``(key, _size, node)`` of large ones. ``met``
+    is 0 where bags rule the pair out. ``own`` has ``(node, n, bag)``."""
     buckets = staged(keyed.groupBy("key").agg(F.count("*").alias("_size"), F.min("node").alias("_first"), F.max("node").alias("_second")).filter("_size > 1"), "buckets")
     bucketed = staged(keyed.join(buckets, "key"), "bucketed")
     small = within_buckets(bucketed.filter(F.col("_size") <= COMPLETE).select("key", "node"), own, threshold)
     large = bucketed.filter(F.col("_size") > COMPLETE)
-    led = [large.groupBy(F.col(c).alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("n")) for c in ("_first", "_second")]
-    led = staged(led[0].unionByName(led[1]).filter("u <> v").groupBy("u", "v").agg(F.sum("n").alias("n")), "led")
-    most = led.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
-    pairs = small.unionByName(possible(led.select("u", "v"), own, threshold)).select("u", "v", F.lit(False).alias("hot"))
+    led = [large.groupBy(F.col(c).alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("met")) for c in ("_first", "_second")]
+    led = staged(led[0].unionByName(led[1]).filter("u <> v").groupBy("u", "v").agg(F.sum("met").alias("met")), "led")
+    most = led.groupBy("v").agg(F.max_by("u", F.struct("met", -F.col("u"))).alias("u"))
+    pairs = small.unionByName(possible(led, own, threshold)).withColumn("hot", F.lit(False))
     # whatever its bag says, what the leader it meets most often doesn't have of a text is sketched
-    pairs = pairs.unionByName(most.select("u", "v", F.lit(True).alias("hot"))).groupBy("u", "v").agg(F.bool_or("hot").alias("hot"))
+    pairs = pairs.unionByName(most.select("u", "v", F.lit(0).cast("long").alias("met"), F.lit(True).alias("hot"))).groupBy("u", "v").agg(F.sum("met").alias("met"), F.bool_or("hot").alias("hot"))
     return pairs, large.select("key", "_size", "node")
 
 
-def between_classes(large: DataFrame, classes: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``(u, v)`` of members ``(key, _size, node)`` of one bucket that are in different classes and that their bags
-    don't rule out. ``classes`` has ``(node, component)`` of nodes with links, ``own`` ``(node, n, bag)``."""
+def first_of(pairs: DataFrame) -> DataFrame:
+    """Of candidates ``(u, v, met, hot)`` the ``hot`` ones and each text's pair with the one it meets most often."""
+    often = Window.partitionBy("v").orderBy(F.desc("met"), "u")
+    return pairs.withColumn("_n", F.row_number().over(often)).filter("hot or _n = 1").drop("_n")
+
+
+def in_two_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(u, v, ...)`` whose texts are not in one class of ``classes(node, component)``, which has all nodes with links."""
+    both = pairs
+    for side in ("u", "v"):
+        both = both.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+    return both.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(*pairs.columns)
+
+
+def with_fine_bags(texts: DataFrame) -> DataFrame:
+    """``(node, fine)`` of ``texts(node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
+        for batch in batches:
+            own = texts_of(batch.column(1))
+            for i, j in chunks(own, 400_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fine_bags(*word_hashes(own[i:j])), pa.binary())], names=["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+
+
+def between_classes(large: DataFrame, classes: DataFrame, own: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs ``(u, v)`` of members ``(key, _size, node)`` of one bucket that are in different classes and that neither
+    their bags nor finer ones rule out. ``classes`` has ``(node, component)`` of nodes with links, ``own`` ``(node, n, bag)``,
+    ``texts`` ``(node, text)`` of all members."""
     members = staged(large.join(classes, "node", "left").select("key", "_size", "node", F.coalesce("component", "node").alias("class")), "classed")
     mixed = members.groupBy("key").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a < _b").select("key")
-    rows = members.join(mixed, "key", "left_semi").join(own.hint("merge"), "node")
-    rows = block_pairs(rows, "key", "_size", "node", BLOCK).select("key", "_i", "_j", "n", "node", "class", "bag")
+    members = staged(members.join(mixed, "key", "left_semi"), "mixed")
+    fine = with_fine_bags(texts.join(staged(members.select("node").distinct(), "nodes"), "node", "left_semi"))
+    rows = members.join(own.hint("merge"), "node").join(fine.hint("merge"), "node")
+    rows = block_pairs(rows, "key", "_size", "node", BLOCK).select("key", "_i", "_j", "n", "node", "class", "bag", "fine")
     rows = rows.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         for group in groups_of(batches, 3):
             n, node, class_ = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "node", "class"))
-            bag, longest = _bag_matrix(group.column("bag")), np.searchsorted(n, n / threshold + 1e-6, side="right")
+            bag, fine, longest = _bag_matrix(group.column("bag")), _fine_matrix(group.column("fine")), np.searchsorted(n, n / threshold + 1e-6, side="right")
             found = [np.zeros((0, 2), np.int64)]
             for a in range(len(n) - 1):  # rows are sorted by length
                 b = np.arange(a + 1, longest[a])
                 b = b[class_[b] != class_[a]]
                 if len(b):
-                    b = b[may_be_alike(np.broadcast_to(bag[a], (len(b), BAG)), bag[b], np.broadcast_to(n[a], len(b)), n[b], threshold)]
+                    for counts in (bag, fine):
+                        b = b[may_be_alike(np.broadcast_to(counts[a], (len(b), counts.shape[1])), counts[b], np.broadcast_to(n[a], len(b)), n[b], threshold)]
                     found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1))
                 if len(found) > 500:
                     pairs = np.concatenate(found)
@@ -372,6 +424,19 @@ def asked_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes"), "node", "left_semi")
 
 
+def joined(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``classes(node, component)`` after the links among ``pairs(u, v)``. Only classes that a link joins are gone through."""
+    if pairs.isEmpty():
+        return classes
+    links = staged(verified(pairs.withColumn("hot", F.lit(False)), asked_texts(pairs, texts), threshold), "found").filter("alike").select("u", "v")
+    for side in ("u", "v"):
+        links = links.join(classes.select(F.col("node").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    merged = staged(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_to")), "merged")
+    alone = merged.join(classes.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("_to").alias("component"))
+    moved = classes.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return staged(moved.unionByName(alone), "classes")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, component_id`` (smallest id of its class), ``kept`` (it is that document)."""
     rows = staged(sketch_documents(docs, sketches, id_col, text_col), "sketches")
@@ -387,21 +452,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     asked = staged(asked, "candidates")
     nodes = asked.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = staged(texts.join(nodes.hint("merge"), "node", "left_semi"), "texts")
-    found = staged(verified(asked, texts, threshold), "found")
+    # near copies are joined by one pair a text; of the other pairs only those between classes are left to align
+    first = staged(first_of(asked), "first")
+    found = staged(verified(first, texts, threshold), "found")
+    links = found.filter("alike").select("u", "v").unionByName(members.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
+    classes = staged(connected_components(links), "classes")
     # texts that are unlike their leader may be alike in what it doesn't have
     beyond = found.filter("not alike").select(F.col("v").alias("node"), F.explode("keys").alias("key"))
-    more, large_again = candidates(staged(beyond, "keys"), bag_of, threshold)
-    more = staged(more.join(asked, ["u", "v"], "left_anti").withColumn("hot", F.lit(False)), "candidates")
-    again = staged(verified(more, asked_texts(more, texts), threshold), "found")
-
-    links = found.filter("alike").select("u", "v").unionByName(again.filter("alike").select("u", "v"))
-    links = links.unionByName(members.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
-    classes = connected_components(links)
-    rest = between_classes(large.unionByName(large_again), classes, bag_of, threshold)
-    rest = staged(rest.join(asked.select("u", "v").unionByName(more.select("u", "v")), ["u", "v"], "left_anti").withColumn("hot", F.lit(False)), "rest")
-    if not rest.isEmpty():
-        last = staged(verified(rest, asked_texts(rest, texts), threshold), "found").filter("alike").select("u", "v")
-        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(last))
+    again, large_again = candidates(staged(beyond, "keys"), bag_of, threshold)
+    again = in_two_classes(asked.unionByName(again).filter("met > 0").select("u", "v").distinct(), classes)
+    classes = joined(staged(again.join(first, ["u", "v"], "left_anti"), "candidates"), classes, texts, threshold)
+    rest = between_classes(large.unionByName(large_again), classes, bag_of, texts, threshold)
+    done = asked.filter("met > 0").unionByName(first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    classes = joined(staged(rest.join(done, ["u", "v"], "left_anti"), "rest"), classes, texts, threshold)
     classes = classes.withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id").join(classes, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -446,6 +447,33 @@ def test_large_bucket(spark, monkeypatch):
     assert {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
 
 
+def test_near_copies_need_a_pair_a_text(spark, monkeypatch):
+    asked, verified = [], near_dup.verified
+
+    def counted(pairs, *args):
+        asked.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(near_dup, "verified", counted)
+    rng = random.Random(30)
+    own = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(i, " ".join(changed(rng, own, 6))) for i in range(50)]
+    assert {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert sum(asked) <= 100, asked
+
+
+def test_finer_bags_rule_out_what_bags_do_not():
+    """Unlike texts with a long run of one line; copies with a few changes stay."""
+    rng = random.Random(31)
+    words = [["is", "onhe."] * 300 + [f"o{rng.random()}" for _ in range(200)] for _ in range(2)]
+    texts = [" ".join(x) for x in (*words, changed(rng, words[0], 100))]
+    hashes, counts = near_dup.word_hashes(texts)
+    fine = near_dup._fine_matrix(pa.array(near_dup.fine_bags(hashes, counts), pa.binary()))
+    assert fine.sum(1).tolist() == counts.tolist()
+    for bag, want in ((near_dup.bags(hashes, counts), [True, True]), (fine, [False, True])):
+        assert near_dup.may_be_alike(bag[[0, 0]], bag[[1, 2]], counts[[0, 0]], counts[[1, 2]], 0.8).tolist() == want
+
+
 def test_joined_at_the_threshold(spark):
     """Pairs of 100-word texts with 15 % and 19 % of their words changed at random."""
     rng, rows = random.Random(12), []
