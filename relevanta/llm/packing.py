@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import chunks, give_back, list_array, staged, texts_of
+from relevanta.llm.common import chunks, free_caches, give_back, list_array, staged, texts_of
 from relevanta.llm.token_files import ids_digest
 from relevanta.llm.tokens import CACHE_ENTRIES, default_tokenizer, encoder
 
@@ -86,9 +86,9 @@ def cut_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenize
         from pyspark import TaskContext
 
         part, seen, end, codec = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), np.int32(end_id).tobytes(), encoder(path, cache_entries)
-        give_back()
-        # a thousand texts at a time as Python strings
+        # a thousand texts at a time as Python strings; what the last ones have freed goes back to the system
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            give_back()
             texts = texts_of(batch.column(1))
             for i, j in chunks(texts, 4_000_000):
                 rows = codec.encode(texts[i:j])
@@ -125,6 +125,7 @@ def place(pieces: DataFrame, counts: DataFrame, window: int = 2048) -> DataFrame
     at = columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()  # the encoder's
         for batch in batches:
             length, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (at, len(columns)))
             row = table[np.searchsorted(key, (length << 40) + rank, side="right") - 1] if len(table) else np.zeros((0, 5), np.int64)

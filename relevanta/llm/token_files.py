@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relevanta.llm.common import chunks, list_array, new_path, texts_of
+from relevanta.llm.common import chunks, free_caches, list_array, new_path, texts_of
 from relevanta.llm.tokens import default_tokenizer, encoder
 
 
@@ -76,6 +76,7 @@ def ids_digest(tokens: DataFrame, keep: list[str]) -> DataFrame:
     fields = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()  # the encoder's, where its worker goes on with this
         for batch in batches:
             column = batch.column(len(keep))
             offsets = column.offsets.to_numpy().astype(np.int64) * 4
