@@ -81,3 +81,10 @@ def test_changes_against_the_current_setting(spark):
     rows = [("q1", "now", 0.5), ("q1", "x", 0.75), ("q1", "y", 0.25), ("q2", "x", 1.0), ("q3", "now", 1.0)]
     frame = spark.createDataFrame([(q, "m", p, v) for q, p, v in rows], "tag string, metric string, params_key string, value double")
     assert {(r["tag"], r["params_key"], r["change"]) for r in summary.improving_losing(frame, "now").collect()} == {("q1", "x", 0.25), ("q1", "y", -0.25)}
+
+
+def test_queries_own_aggregates_are_not_grouped(spark):
+    from relevanta.plans.ranking_queries import QUERIES
+
+    plan = QUERIES["default_query_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(q=" not in plan  # a group for each query and metric filled a task's memory
