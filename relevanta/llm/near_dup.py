@@ -11,10 +11,11 @@ all pairs are candidates; each text is first aligned with the one it meets most
 in its class by then, as more links within a class change nothing. A larger one comes from a large group of near copies or from a passage that many texts share. Its
 texts are aligned with two leaders, which joins near copies; of a text that is unlike the leader it meets most often, what
 that leader doesn't have is sketched again, and texts that agree in such a sketch stand in one bucket in turn. That joins
-most; then every other pair of a large bucket is a candidate too, unless its two texts are in one class by then: more links
-between these change nothing. So a large group of near copies costs no pairs, and texts that share a passage and are unlike
-cost all of theirs, in blocks of BLOCK texts. Candidates whose lengths or bags (counts of hashed words, which bound the
-distance from below; in large buckets then finer ones) show that they are unlike are not aligned. Leaders' texts are dealt out to several tasks where they
+most; every other pair of a large bucket is compared too, in blocks of BLOCK texts that are aligned where they meet, unless
+its two texts are in one class by then: more links between these change nothing. So a large group of near copies costs few
+alignments and no rows, and texts that share a passage and are unlike cost all of theirs. Candidates whose lengths or bags
+(counts of hashed words, which bound the distance from below; in large buckets and of long texts then finer ones) show that
+they are unlike are not aligned. Leaders' texts are dealt out to several tasks where they
 have many partners.
 
 Defined results: null and empty texts are copies of one another; a text of one word is one k-mer; texts of under SHORT words, and
@@ -25,11 +26,13 @@ with; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,10 @@ COMPLETE = 64
 AGAIN_WORDS, AGAIN = 2, 12
 #: Texts of a block: two blocks of a larger bucket's texts meet in one task at a time.
 BLOCK = 2048
+#: Words of a block's texts; a bucket of longer texts has more blocks. Pairs that a task holds before it aligns them.
+BLOCK_WORDS, PAIRS = 500_000, 500_000
+#: Texts of more words meet in finer bags before they are aligned.
+LONG = 1000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -342,7 +349,7 @@ def within_buckets(members: DataFrame, own: DataFrame, threshold: float) -> Data
 
 def candidates(keyed: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs ``(u, v, met, hot)`` from ``keyed(key, node)``: in small buckets all, in large ones those with a leader,
-    which are ``hot`` where a text meets no leader more often; and the members ``(key, _size, node)`` of large ones. ``met``
+    which are ``hot`` where a text meets no leader more often; and the members ``(key, node)`` of large ones. ``met``
     is 0 where bags rule the pair out. ``own`` has ``(node, n, bag)``."""
     buckets = staged(keyed.groupBy("key").agg(F.count("*").alias("_size"), F.min("node").alias("_first"), F.max("node").alias("_second")).filter("_size > 1"), "buckets")
     bucketed = staged(keyed.join(buckets, "key"), "bucketed")
@@ -354,7 +361,7 @@ def candidates(keyed: DataFrame, own: DataFrame, threshold: float) -> tuple[Data
     pairs = small.unionByName(possible(led, own, threshold)).withColumn("hot", F.lit(False))
     # whatever its bag says, what the leader it meets most often doesn't have of a text is sketched
     pairs = pairs.unionByName(most.select("u", "v", F.lit(0).cast("long").alias("met"), F.lit(True).alias("hot"))).groupBy("u", "v").agg(F.sum("met").alias("met"), F.bool_or("hot").alias("hot"))
-    return pairs, large.select("key", "_size", "node")
+    return pairs, large.select("key", "node")
 
 
 def first_of(pairs: DataFrame) -> DataFrame:
@@ -372,51 +379,113 @@ def in_two_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def with_fine_bags(texts: DataFrame) -> DataFrame:
-    """``(node, fine)`` of ``texts(node, text)``."""
+    """``(node, n, fine)`` of those of ``texts(node, text)`` that have more than LONG words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         for batch in batches:
             own = texts_of(batch.column(1))
             for i, j in chunks(own, 400_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fine_bags(*word_hashes(own[i:j])), pa.binary())], names=["node", "fine"])
+                hashes, counts = word_hashes(own[i:j])
+                long = counts > LONG
+                fine = pa.array(fine_bags(hashes[np.repeat(long, counts)], counts[long]), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(long)), pa.array(counts[long]), fine], names=["node", "n", "fine"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+    return texts.filter(F.length("text") > LONG).select("node", "text").mapInArrow(run, "node long, n long, fine binary")
+
+
+def finer(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(u, v, met, hot)`` without those of two long texts that finer bags rule out; hot ones stay, with ``met`` 0.
+    Of long texts the alignment costs most, and bags of few cells tell least."""
+    fine = staged(with_fine_bags(texts), "fine")
+    for side in ("u", "v"):
+        pairs = pairs.join(fine.select(F.col("node").alias(side), F.col("n").alias(f"_n{side}"), F.col("fine").alias(f"_fine{side}")), side, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
+        for batch in batches:
+            met, hot = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            at = np.flatnonzero(pc.and_(batch.column(6).is_valid(), batch.column(7).is_valid()).to_numpy(zero_copy_only=False))
+            for own in (at[i : i + 500] for i in range(0, len(at), 500)):
+                n = [batch.column(c).take(pa.array(own)).to_numpy().astype(np.int64) for c in (4, 5)]
+                met[own[~may_be_alike(*(_fine_matrix(batch.column(c).take(pa.array(own))) for c in (6, 7)), *n, threshold)]] = 0
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(met), batch.column(3)], names=["u", "v", "met", "hot"])
+            yield out.filter(pa.array((met > 0) | hot))
+
+    return pairs.select("u", "v", "met", "hot", "_nu", "_nv", "_fineu", "_finev").mapInArrow(run, "u long, v long, met long, hot boolean")
+
+
+def links_of_group(n: np.ndarray, node: np.ndarray, class_: np.ndarray, texts: list[str], mine: Callable[[int, int], bool], threshold: float) -> list[tuple[int, int]]:
+    """Links among texts sorted by their length ``n`` that join all classes that links among them join. Pairs that neither
+    bags nor finer ones rule out are aligned, those that are nearest by these first, unless their classes are one by then
+    or the pair is not ``mine`` and not very near."""
+    coarse, fine = np.zeros((len(n), BAG), np.uint8), np.zeros((len(n), FINE), np.uint16)
+    for at in range(0, len(n), 256):
+        for i, j in chunks(texts[at : at + 256], 400_000):
+            hashes, counts = word_hashes(texts[at + i : at + j])
+            coarse[at + i : at + j], fine[at + i : at + j] = bags(hashes, counts), bags(hashes, counts, FINE, 65535)
+    longest, root, words, links = np.searchsorted(n, n / threshold + 1e-6, side="right"), class_.copy(), {}, []
+
+    def align(held: list[np.ndarray]) -> None:
+        for apart, a, b in sorted(map(tuple, np.concatenate(held).tolist())):
+            most = int((1 - threshold) * n[b] + 1e-9)
+            # a pair that is surely alike spares others, whoever else aligns it
+            if root[a] == root[b] or (apart > most and not mine(a, b)):
+                continue
+            own = [words.get(x) or words.setdefault(x, texts[x].encode().lower().split()) for x in (a, b)]
+            if banded_distance(*own, most) <= most:
+                links.append((int(node[a]), int(node[b])))
+                root[root == root[b]] = root[a]
+
+    held, left = [], 0
+    for a in range(len(n) - 1):
+        b = np.arange(a + 1, longest[a])
+        b = b[root[b] != root[a]]
+        for counts in (coarse, fine):
+            if len(b):
+                b = b[may_be_alike(np.broadcast_to(counts[a], (len(b), counts.shape[1])), counts[b], np.broadcast_to(n[a], len(b)), n[b], threshold)]
+        if len(b):
+            apart = np.abs(fine[b].astype(np.int32) - fine[a]).sum(1, dtype=np.int64)
+            held.append(np.stack([apart, np.full(len(b), a), b], 1))
+            left += len(b)
+        if left > PAIRS:
+            align(held)
+            held, left = [], 0
+    if held:
+        align(held)
+    return links
 
 
 def between_classes(large: DataFrame, classes: DataFrame, own: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``(u, v)`` of members ``(key, _size, node)`` of one bucket that are in different classes and that neither
-    their bags nor finer ones rule out. ``classes`` has ``(node, component)`` of nodes with links, ``own`` ``(node, n, bag)``,
-    ``texts`` ``(node, text)`` of all members."""
-    members = staged(large.join(classes, "node", "left").select("key", "_size", "node", F.coalesce("component", "node").alias("class")), "classed")
-    mixed = members.groupBy("key").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a < _b").select("key")
-    members = staged(members.join(mixed, "key", "left_semi"), "mixed")
-    fine = with_fine_bags(texts.join(staged(members.select("node").distinct(), "nodes"), "node", "left_semi"))
-    rows = members.join(own.hint("merge"), "node").join(fine.hint("merge"), "node")
-    rows = block_pairs(rows, "key", "_size", "node", BLOCK).select("key", "_i", "_j", "n", "node", "class", "bag", "fine")
+    """Links ``(u, v)`` that join whatever links between members ``(key, node)`` of one bucket join: every pair in different
+    classes is compared, unless links found in its task have made these one. ``classes`` has ``(node, component)`` of nodes
+    with links, ``own`` ``(node, n, bag)``, ``texts`` ``(node, text)`` of all members.
+
+    A pair that meets in several buckets is aligned in the one with the smallest key, so a task hands on links between
+    classes and no pairs."""
+    members = large.join(own.select("node", "n").hint("merge"), "node").join(classes, "node", "left")
+    members = staged(members.select("key", "node", "n", F.coalesce("component", "node").alias("class")), "classed")
+    mixed = members.groupBy("key").agg(F.min("class").alias("_a"), F.max("class").alias("_b"), F.count("*").alias("_rows"), F.sum("n").alias("_words")).filter("_a < _b")
+    size = F.greatest(F.col("_rows"), F.ceil(F.col("_words") * F.lit(BLOCK / BLOCK_WORDS)))
+    members = staged(members.join(mixed.select("key", size.alias("_size")), "key"), "mixed")
+    # a text is in as many buckets as it has sketches, at most; written, so that Spark sees how few these texts are
+    asking = staged(members.groupBy("node").agg(F.collect_set("key").alias("keys")), "asking")
+    rows = block_pairs(members.join(texts.join(asking, "node"), "node"), "key", "_size", "node", BLOCK).select("key", "_i", "_j", "n", "node", "class", "keys", "text")
     rows = rows.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         for group in groups_of(batches, 3):
             n, node, class_ = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "node", "class"))
-            bag, fine, longest = _bag_matrix(group.column("bag")), _fine_matrix(group.column("fine")), np.searchsorted(n, n / threshold + 1e-6, side="right")
-            found = [np.zeros((0, 2), np.int64)]
-            for a in range(len(n) - 1):  # rows are sorted by length
-                b = np.arange(a + 1, longest[a])
-                b = b[class_[b] != class_[a]]
-                if len(b):
-                    for counts in (bag, fine):
-                        b = b[may_be_alike(np.broadcast_to(counts[a], (len(b), counts.shape[1])), counts[b], np.broadcast_to(n[a], len(b)), n[b], threshold)]
-                    found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1))
-                if len(found) > 500:
-                    pairs = np.concatenate(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-                    found = [np.zeros((0, 2), np.int64)]
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
+            if (class_ == class_[0]).all():
+                continue
+            key, keys = group.column("key")[0].as_py(), group.column("keys")
+            lower = functools.cache(lambda x: frozenset(k for k in keys[x].as_py() if k < key))
+            links = links_of_group(n, node, class_, group.column("text").to_pylist(), lambda a, b: lower(a).isdisjoint(lower(b)), threshold)
+            u, v = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def asked_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -424,11 +493,10 @@ def asked_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes"), "node", "left_semi")
 
 
-def joined(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``classes(node, component)`` after the links among ``pairs(u, v)``. Only classes that a link joins are gone through."""
-    if pairs.isEmpty():
+def joined(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes(node, component)`` after ``links(u, v)``. Only classes that a link joins are gone through."""
+    if links.isEmpty():
         return classes
-    links = staged(verified(pairs.withColumn("hot", F.lit(False)), asked_texts(pairs, texts), threshold), "found").filter("alike").select("u", "v")
     for side in ("u", "v"):
         links = links.join(classes.select(F.col("node").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
     merged = staged(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_to")), "merged")
@@ -452,6 +520,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     asked = staged(asked, "candidates")
     nodes = asked.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = staged(texts.join(nodes.hint("merge"), "node", "left_semi"), "texts")
+    asked = staged(finer(asked, texts, threshold), "finer")
     # near copies are joined by one pair a text; of the other pairs only those between classes are left to align
     first = staged(first_of(asked), "first")
     found = staged(verified(first, texts, threshold), "found")
@@ -461,10 +530,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     beyond = found.filter("not alike").select(F.col("v").alias("node"), F.explode("keys").alias("key"))
     again, large_again = candidates(staged(beyond, "keys"), bag_of, threshold)
     again = in_two_classes(asked.unionByName(again).filter("met > 0").select("u", "v").distinct(), classes)
-    classes = joined(staged(again.join(first, ["u", "v"], "left_anti"), "candidates"), classes, texts, threshold)
-    rest = between_classes(large.unionByName(large_again), classes, bag_of, texts, threshold)
-    done = asked.filter("met > 0").unionByName(first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    classes = joined(staged(rest.join(done, ["u", "v"], "left_anti"), "rest"), classes, texts, threshold)
+    again = staged(again.join(first, ["u", "v"], "left_anti").withColumn("hot", F.lit(False)), "candidates")
+    more = verified(again, asked_texts(again, texts), threshold).filter("alike").select("u", "v")
+    more = more.unionByName(between_classes(large.unionByName(large_again), classes, bag_of, texts, threshold))
+    classes = joined(staged(more, "links"), classes)
     classes = classes.withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id").join(classes, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

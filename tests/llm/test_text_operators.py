@@ -474,6 +474,31 @@ def test_finer_bags_rule_out_what_bags_do_not():
         assert near_dup.may_be_alike(bag[[0, 0]], bag[[1, 2]], counts[[0, 0]], counts[[1, 2]], 0.8).tolist() == want
 
 
+def test_a_large_bucket_hands_on_links_and_no_pairs():
+    """Copies of one text, each a class of its own, and unlike texts: a link for each copy, whatever pairs there are; a pair that
+    another bucket aligns is left to it."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(changed(rng, base, 6)) for _ in range(60)] + [" ".join(f"t{rng.randrange(3000)}" for _ in range(200)) for _ in range(20)]
+    texts.sort(key=lambda t: len(t.split()))
+    n, node = np.array([len(t.split()) for t in texts]), np.arange(len(texts)) * 7
+    links = near_dup.links_of_group(n, node, node, texts, lambda a, b: True, 0.8)
+    assert len(links) == 59 and all(near_dup.alike(*(texts[x // 7].split() for x in link), 0.8) for link in links)
+    far = [" ".join([f"x{i}" if i < 36 else w for i, w in enumerate(base)]), " ".join(base)]
+    for mine in (True, False):
+        assert len(near_dup.links_of_group(np.array([200, 200]), np.arange(2), np.arange(2), far, lambda a, b: mine, 0.8)) == mine  # noqa: B023
+
+
+def test_finer_bags_spare_long_texts(spark):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(9000)}" for _ in range(4000)) for _ in range(2)]
+    texts.append(" ".join(changed(rng, texts[0].split(), 100)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    pairs = spark.createDataFrame([(0, 1, 2, False), (0, 1, 2, True), (0, 2, 1, False)], "u long, v long, met long, hot boolean")
+    assert sorted(tuple(r) for r in near_dup.finer(pairs, rows, 0.8).collect()) == [(0, 1, 0, True), (0, 2, 1, False)]
+
+
 def test_joined_at_the_threshold(spark):
     """Pairs of 100-word texts with 15 % and 19 % of their words changed at random."""
     rng, rows = random.Random(12), []
