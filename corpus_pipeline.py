@@ -9,6 +9,8 @@ as empty; repeated rows are judged one by one until near-duplicates go; an empty
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +69,29 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.packing_report(docs, cache_entries=200_000)
 
 
+#: Texts that cross to a Python worker at once. A batch is held by the executor and by the worker, so Spark's 10,000 texts
+#: of some thousand letters cost twice their size for each core.
+TEXTS = 2000
+
+
+def _few_at_once(stage):
+    """The stage in a session that hands texts to Python workers in small batches."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))  # 0 or less: no limit
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most if 0 < most < TEXTS else TEXTS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("language identification", language_stage),
-    ("near-duplicates", near_duplicate_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("quality classifier", _few_at_once(quality_stage)),
+    ("language identification", _few_at_once(language_stage)),
+    ("near-duplicates", _few_at_once(near_duplicate_stage)),
+    ("mixing", _few_at_once(mixing_stage)),
+    ("packing", _few_at_once(packing_stage)),
 ]
 
 #: SQL cannot express the classifiers, the sketches or the tokenizer; the tests hold each stage against brute force.

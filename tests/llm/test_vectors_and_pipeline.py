@@ -238,3 +238,15 @@ def test_pipeline_with_clashing_columns(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()} >= set(range(30))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_stages_hand_few_texts_to_a_worker(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(key))
+    try:
+        for most, want in ((own, corpus_pipeline.TEXTS), (0, corpus_pipeline.TEXTS), (7, 7)):
+            spark.conf.set(key, most)
+            assert int(corpus_pipeline._few_at_once(lambda s, docs, d: s.conf.get(key))(spark, None, "")) == want
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.set(key, own)
