@@ -3,22 +3,48 @@
 A format tells what is wrong with a value, as an array of texts that begin with the value's path; an empty one means valid.
 Elements of arrays and entries of maps share a path (``lines[]``, ``tags{}``), and what is wrong with several of them is
 told once. Records look at the fields they name and ignore others; JSON null is a value that fits no format but ``anything``.
+
+All that a tree can tell is known when it is compiled. So its texts are numbered, and what is wrong with a value is a long
+of bits, which elements add up without arrays of texts of their own. A tree of more than 63 texts takes a long for each 63.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
 #: JSON types by name, as ``schema_of_variant`` names them.
 KINDS = {"int": "BIGINT", "string": "STRING", "boolean": "BOOLEAN", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT"}
 
+#: Doubles as JSON that are no strings.
+QUOTED = ['"NaN"', '"Infinity"', '"-Infinity"']
+
+#: Texts whose bits fit into a long that is not negative.
+BITS = 63
+
+
+class Texts:
+    """What a tree can tell, by number; ``bit`` gives the bits of those from ``first``, and none for others."""
+
+    def __init__(self, numbers: dict[str, int], first: int = 0) -> None:
+        self.numbers, self.first = numbers, first
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+    def bit(self, text: str) -> int:
+        at = self.numbers.setdefault(text, len(self.numbers)) - self.first
+        return 1 << at if 0 <= at < BITS else 0
+
+
+def _long(bits: int) -> Column:
+    return F.lit(bits).cast("long")
+
+
+def _any(masks: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), masks) if masks else _long(0)
 
 
 def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
@@ -27,11 +53,28 @@ def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
 
 
 class Format:
-    def broken(self, value: Column, path: str) -> Column:
+    #: What a VARIANT is read as before it is looked at; null if it is none.
+    read: DataType = VariantType()
+
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        """Bits of what is wrong with a value that is read as ``read``."""
         raise NotImplementedError
 
-    def valid(self, value: Column) -> Column:
-        return F.size(self.broken(value, "")) == 0
+    def mask_of(self, variant: Column, path: str, texts: Texts) -> Column:
+        if isinstance(self.read, VariantType):
+            return self.mask(variant, path, texts)
+        return _bound(variant.try_cast(self.read), lambda v: self.mask(v, path, texts))
+
+    def masks(self, variant: Column, path: str) -> list[tuple[list[str], Column]]:
+        """Texts in order, at most ``BITS`` at once, with a mask of them."""
+        known = Texts({})
+        self.mask_of(variant, path, known)
+        told = sorted(known.numbers)
+        numbers = {text: i for i, text in enumerate(told)}
+        return [(told[i : i + BITS], self.mask_of(variant, path, Texts(numbers, i))) for i in range(0, len(told), BITS)]
+
+    def valid(self, variant: Column) -> Column:
+        return reduce(lambda a, b: a & b, [mask == 0 for _, mask in self.masks(variant, "")], F.lit(True))
 
 
 @dataclass
@@ -42,17 +85,32 @@ class Leaf(Format):
     name: str
     test: Callable[[Column], Column] | None = None
 
-    def broken(self, value: Column, path: str) -> Column:
-        fits = F.coalesce(F.schema_of_variant(value).rlike(f"^({KINDS[self.kind]})$"), F.lit(False))
-        if self.test is not None:
-            sql = {"int": "bigint", "number": "double"}.get(self.kind, self.kind)
-            fits = fits & F.coalesce(self.test(F.try_variant_get(value, "$", sql)), F.lit(False))
-        return F.when(fits, _none()).otherwise(F.array(F.lit(f"{path}: {self.name}")))
+    def valid(self, variant: Column) -> Column:
+        schema = F.schema_of_variant(variant)
+        fits = schema.rlike(f"^({KINDS[self.kind]})$") if self.kind == "number" else schema == KINDS[self.kind]
+        if self.test is None:
+            return F.coalesce(fits, F.lit(False))
+        # a leaf's JSON is read faster than its VARIANT is cast; doubles that aren't finite stand in quotes there
+        get = lambda sql: F.try_variant_get(variant, "$", sql)
+        if self.kind == "int":
+            return F.coalesce(fits & _bound(F.to_json(variant).try_cast("bigint"), self.test), F.lit(False))
+        if self.kind == "number":
+            value = F.coalesce(F.to_json(variant).try_cast("double"), F.when(fits, get("double")))
+            return F.coalesce(_bound(value, lambda x: x.isNotNull() & self.test(x)), F.lit(False))
+        if self.kind == "string":
+            as_is = lambda j: j.startswith('"') & ~j.contains("\\") & ~j.isin(QUOTED)
+            inside = lambda j: F.substr(j, F.lit(2), F.length(j) - 2)
+            return F.coalesce(_bound(F.to_json(variant), lambda j: F.when(as_is(j), self.test(inside(j))).otherwise(fits & self.test(get("string")))), F.lit(False))
+        return F.coalesce(fits & self.test(get(self.kind)), F.lit(False))
+
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        bit = texts.bit(f"{path}: {self.name}")
+        return F.when(self.valid(value), _long(0)).otherwise(_long(bit)) if bit else _long(0)
 
 
 class Anything(Format):
-    def broken(self, value: Column, path: str) -> Column:
-        return _none()
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        return _long(0)
 
 
 @dataclass
@@ -61,9 +119,13 @@ class Each(Format):
 
     element: Format
 
-    def broken(self, value: Column, path: str) -> Column:
-        inner = lambda a: F.array_distinct(F.flatten(F.transform(a, lambda x: self.element.broken(x, f"{path}[]"))))
-        return _bound(value.try_cast("array<variant>"), lambda a: F.when(a.isNull(), F.array(F.lit(f"{path}: not an array"))).otherwise(inner(a)))
+    @property
+    def read(self) -> DataType:
+        return ArrayType(self.element.read)
+
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        inner = F.aggregate(value, _long(0), lambda all_, x: all_.bitwiseOR(self.element.mask(x, f"{path}[]", texts)))
+        return F.coalesce(inner, _long(texts.bit(f"{path}: not an array")))
 
 
 @dataclass
@@ -73,12 +135,14 @@ class Entries(Format):
     key: Callable[[Column], Column]
     value: Format
 
-    def broken(self, value: Column, path: str) -> Column:
-        def inner(m: Column) -> Column:
-            names = F.when(F.forall(F.map_keys(m), self.key), _none()).otherwise(F.array(F.lit(f"{path}{{}}: key")))
-            return F.concat(names, F.array_distinct(F.flatten(F.transform(F.map_values(m), lambda x: self.value.broken(x, f"{path}{{}}")))))
+    @property
+    def read(self) -> DataType:
+        return MapType(StringType(), self.value.read)
 
-        return _bound(value.try_cast("map<string,variant>"), lambda m: F.when(m.isNull(), F.array(F.lit(f"{path}: not a record"))).otherwise(inner(m)))
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        names = F.when(F.forall(F.map_keys(value), self.key), _long(0)).otherwise(_long(texts.bit(f"{path}{{}}: key")))
+        inner = F.aggregate(F.map_values(value), names, lambda all_, x: all_.bitwiseOR(self.value.mask(x, f"{path}{{}}", texts)))
+        return F.coalesce(inner, _long(texts.bit(f"{path}: not a record")))
 
 
 @dataclass
@@ -87,11 +151,10 @@ class Either(Format):
 
     formats: list[Format]
 
-    def broken(self, value: Column, path: str) -> Column:
-        fits = F.lit(False)
-        for f in self.formats:
-            fits = fits | f.valid(value)
-        return F.when(fits, _none()).otherwise(F.array(F.lit(f"{path}: none of {len(self.formats)}")))
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        bit = texts.bit(f"{path}: none of {len(self.formats)}")
+        fits = reduce(lambda a, b: a | b, [f.valid(value) for f in self.formats], F.lit(False)) if bit else F.lit(True)
+        return F.when(fits, _long(0)).otherwise(_long(bit))
 
 
 @dataclass
@@ -103,12 +166,14 @@ class Field:
     required: bool = True
     pattern: bool = False
 
-    def broken(self, record: Column, path: str) -> Column:
-        names = F.map_keys(record)
-        found = F.filter(names, lambda k: k.rlike(f"^(?:{self.name})$") if self.pattern else k == self.name)
+    def mask(self, record: Record, value: Column, path: str, texts: Texts) -> Column:
         at = f"{path}.{self.name}" if path else self.name
-        missing = F.array(F.lit(f"{at}: missing")) if self.required else _none()
-        return _bound(F.get(found, F.lit(0)), lambda k: F.when(k.isNull(), missing).otherwise(_bound(F.try_element_at(record, k), lambda v: self.format.broken(v, at))))
+        missing = _long(texts.bit(f"{at}: missing") if self.required else 0)
+        look = lambda v: F.when(v.isNull(), missing).otherwise(self.format.mask_of(v, at, texts))
+        if self.pattern:
+            fitting = F.filter(F.map_keys(value), lambda k: k.rlike(f"^(?:{self.name})$"))
+            return _bound(F.try_element_at(value, F.get(fitting, F.lit(0))), look)
+        return look(record.at(value, self.name)) if record.plain else _bound(record.at(value, self.name), look)
 
 
 @dataclass
@@ -119,19 +184,30 @@ class Record(Format):
     fields: list[Field]
     conditional: dict[str, dict[str, list[Field]]] = field(default_factory=dict)
 
-    def broken(self, value: Column, path: str) -> Column:
-        def inner(m: Column) -> Column:
-            parts = [f.broken(m, path) for f in self.fields]
-            for name, cases in self.conditional.items():
-                at = f"{path}.{name}" if path else name
-                own = F.try_variant_get(F.try_element_at(m, F.lit(name)), "$", "string")
-                chosen = F.array(F.lit(f"{at}: unknown condition"))
-                for case, fields in cases.items():
-                    chosen = F.when(own == case, F.concat(_none(), *(f.broken(m, path) for f in fields))).otherwise(chosen)
-                parts.append(chosen)
-            return F.concat(_none(), *parts)
+    def __post_init__(self) -> None:
+        named = [*self.fields, *(f for cases in self.conditional.values() for fields in cases.values() for f in fields)]
+        self.names = list(dict.fromkeys([f.name for f in named if not f.pattern] + list(self.conditional)))
+        #: Whether names are all known and differ by more than case: such a record is read as a struct, others as a map.
+        self.plain = bool(self.names) and all(self.names) and not any(f.pattern for f in named) and len({n.lower() for n in self.names}) == len(self.names)
+
+    @property
+    def read(self) -> DataType:
+        if not self.plain:
+            return MapType(StringType(), VariantType())
+        return reduce(lambda struct, name: struct.add(name, VariantType()), self.names, StructType())
+
+    def at(self, value: Column, name: str) -> Column:
+        return value.getField(name) if self.plain else F.try_element_at(value, F.lit(name))
 
-        return _bound(value.try_cast("map<string,variant>"), lambda m: F.when(m.isNull(), F.array(F.lit(f"{path or 'record'}: not a record"))).otherwise(inner(m)))
+    def mask(self, value: Column, path: str, texts: Texts) -> Column:
+        parts = [f.mask(self, value, path, texts) for f in self.fields]
+        for name, cases in self.conditional.items():
+            own = F.try_variant_get(self.at(value, name), "$", "string")
+            chosen = _long(texts.bit(f"{path}.{name}: unknown condition" if path else f"{name}: unknown condition"))
+            for case, fields in cases.items():
+                chosen = F.when(own == case, _any([f.mask(self, value, path, texts) for f in fields])).otherwise(chosen)
+            parts.append(chosen)
+        return F.when(value.isNull(), _long(texts.bit(f"{path or 'record'}: not a record"))).otherwise(_any(parts))
 
 
 def typed(kind: str) -> Format:
@@ -156,6 +232,15 @@ def between(low: float | None = None, high: float | None = None, kind: str = "nu
     return Leaf(kind, "out of range", test)
 
 
+def _told(texts: list[str], mask: Column) -> Column:
+    return _bound(mask, lambda m: F.filter(F.array(*map(F.lit, texts)), lambda _, i: F.getbit(m, i) == 1))
+
+
 def invalid_parts(json: Column, format_: Format) -> Column:
     """What is wrong with a JSON text, sorted; a text that is no JSON is one thing wrong."""
-    return _bound(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(F.array_sort(F.array_distinct(format_.broken(v, "")))))
+
+    def told(variant: Column) -> Column:
+        parts = [_told(texts, mask) for texts, mask in format_.masks(variant, "")]
+        return parts[0] if len(parts) == 1 else F.concat(F.array().cast("array<string>"), *parts)
+
+    return _bound(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(told(v)))

@@ -273,11 +273,14 @@ def validate_documents(spark: SparkSession, d: str) -> DataFrame:
         F.create_map(F.when(F.col("l_linenumber") > 5, "LATE").otherwise("n"), F.col("l_linenumber")).alias("tags"),
         F.when(F.col("l_shipdate") >= "1994-01-01", F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("long ago").alias("when"),
     )
-    lines = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    # a line becomes text where it is read, so that only its text is sorted and shuffled
+    texts = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_json(line).alias("line"))
+    lines = texts.groupBy("o_orderkey").agg(F.concat(F.lit(',"lines":['), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("lines"))
     orders = t.table(spark, d, "orders").groupBy("o_orderkey").agg(F.min(F.struct("o_orderstatus", "o_totalprice", "o_orderpriority")).alias("o"))
-    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o.o_orderstatus").alias("status"), F.col("o.o_totalprice").alias("total"), F.col("o.o_orderpriority").alias("priority"), "lines")
+    head = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o.o_orderstatus").alias("status"), F.col("o.o_totalprice").alias("total"), F.col("o.o_orderpriority").alias("priority")))
     note = F.concat(F.lit('{"note_'), "o.o_orderstatus", F.lit('":"'), "o.o_orderpriority", F.lit('",'))
-    documents = orders.join(lines, "o_orderkey", "left").select("o_orderkey", F.concat(note, F.substr(F.to_json(record), F.lit(2))).alias("document"))
+    document = F.concat(note, F.substr(head, F.lit(2), F.length(head) - 2), F.coalesce("lines", F.lit("")), F.lit("}"))
+    documents = orders.join(lines, "o_orderkey", "left").select("o_orderkey", document.alias("document"))
     each_line = formats.Record([
         formats.Field("part", formats.typed("int")), formats.Field("quantity", formats.between(2, 49)), formats.Field("flag", formats.choice(["N", "A"])),
         formats.Field("tags", formats.Entries(lambda k: k.rlike("^[a-z]+$"), formats.between(1, 5, "int"))),

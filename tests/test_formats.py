@@ -97,3 +97,26 @@ def test_a_metric_fails_alone(spark):
     assert out[1, "a"] == (1.0, []) and out[3, "a"] == (None, ["MISSING_DATA_KEY-a"])
     assert all(out[q, "c"] == (None, ["MISSING_DATA_KEY-c"]) for q in (1, 2, 3))
     assert all(out[4, m] == (None, ["NO_RESULTS"]) for m in own)
+
+
+def test_faults_are_bits(spark):
+    """Elements add up bits, not arrays of texts; a tree of more texts than a long has bits tells them all, in order."""
+    many = Record([Field(f"f{i}", between(0, i)) for i in range(100)])
+    texts = invalid_parts(F.col("d"), many)
+    plan = spark.createDataFrame([("{}",)], "d string").select(invalid_parts(F.col("d"), Each(Each(choice(["a"])))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "array_distinct" not in plan
+    document = "{" + ",".join(f'"f{i}":{i if i % 2 else i + 1}' for i in range(1, 100)) + "}"
+    rows = spark.createDataFrame([(document,), ("{}",)], "d string").select(texts).collect()
+    assert rows[0][0] == sorted(["f0: missing", *(f"f{i}: out of range" for i in range(2, 100, 2))])
+    assert rows[1][0] == sorted(f"f{i}: missing" for i in range(100))
+
+
+def test_leaves_read_from_json_keep_their_kind(spark):
+    """A leaf's JSON text is no other kind's: quoted numbers, decimals that are whole, doubles that aren't finite, escapes."""
+    assert broken(spark, between(1, 5, "int"), "1.0", '"1"', "12345678901234567890") == [[": out of range"]] * 3
+    assert broken(spark, between(low=1), "1e400", "1.0", "12345678901234567890") == [[]] * 3
+    assert broken(spark, between(low=1), '"Infinity"', '"1"', "-1e400") == [[": out of range"]] * 3
+    assert broken(spark, choice(['x"x', "é", "Infinity"]), r'"x\"x"', r'"é"', '"Infinity"') == [[]] * 3
+    assert broken(spark, choice(["Infinity", "1"]), "1e400", "1") == [[": not a choice"]] * 2
+    names = Record([Field("n", typed("int")), Field("N", typed("string"))])
+    assert broken(spark, names, '{"n":1,"N":"x"}', '{"N":1,"n":"x"}') == [[], ["N: not string", "n: not int"]]
