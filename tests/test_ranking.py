@@ -66,6 +66,26 @@ def test_judged_lists(spark):
     assert {(x.query, x.metric, tuple(x.reasons)) for x in rows.collect()} == {("q1", "NDCG@2", ()), ("q2", "NDCG@2", ("NO_JUDGEMENTS",))}
 
 
+def test_the_preset_counts_judged_results(spark):
+    results = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q1", "c", 3), ("q2", "z", 1)], "query string, product string, rank int")
+    judged = spark.createDataFrame([("q1", "a", 0.4), ("q1", "c", 0.8)], "query string, product string, grade double")
+    lists = judgements.judged_lists(results, judged, ["query"])
+    rows = metrics.calculate_metrics(lists, metrics.list_metrics(), ["query"], always=metrics.judged_metrics())
+    got = {(x.query, x.metric): (x.value, list(x.reasons)) for x in rows.collect()}
+    assert len(got) == 2 * 14
+    assert [got["q1", f"J@{k}"] for k in (2, 4, 8, 12, 24)] == [(1.0, []), *[(2.0, [])] * 4]
+    assert [got["q2", f"J@{k}"] for k in (2, 4, 8, 12, 24)] == [(0.0, [])] * 5  # a list without judgements is counted, not failed
+    assert got["q2", "NDCG@2"] == (None, ["NO_JUDGEMENTS"])
+
+
+def test_default_query_metrics_have_the_whole_preset(spark):
+    from relevanta.plans.ranking_queries import QUERIES
+
+    got = {x.metric: x for x in QUERIES["default_query_metrics"](spark, "/root/testdata/sf0.001").collect()}
+    assert {f"J@{k}" for k in (2, 4, 8, 12, 24)} < set(got) and len(got) == 14
+    assert got["J@2"].fail_count == 0 and got["J@2"].success_count == got["NDCG@2"].success_count + got["NDCG@2"].fail_count
+
+
 def rows(spark):
     data = [("t1", "p=1", "m", 1.0, []), ("t1", "p=1", "m", 0.0, []), ("t1", "p=1", "m", None, ["A", "B"]), ("t2", "p=1", "m", 0.5, []), ("t2", "p=2", "m", None, ["A"])]
     return spark.createDataFrame(data, "tag string, params_key string, metric string, value double, reasons array<string>")
