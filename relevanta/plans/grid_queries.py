@@ -293,18 +293,20 @@ def param_list_to_map(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {METRIC_ROWS}, x AS (SELECT tag, metric, value FROM m UNION ALL SELECT '(ALL)', metric, value FROM m) SELECT tag, metric, round(coalesce(avg(value), 0), 6) AS value, count(value) AS success_count, count(*) - count(value) AS fail_count FROM x GROUP BY ALL")
 def stream_aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The metric rows written as files twice over, as a sender that repeats itself delivers them, streamed in and kept as
-    running aggregates; each row counts once."""
+    running aggregates; each row counts once. A row of a file has all metrics of a request under one sequence number."""
+    from relevanta.operators.metrics import by_metric
     from relevanta.sources.work import work_path
     from relevanta.streaming import aggregates
 
     base = work_path(spark, "stream")
     sent = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("query") % 3600)
-    rows = t.metric_rows(spark, d).select(F.array("tag", F.lit("(ALL)")).alias("tags"), "metric", "value", "reasons", F.col("tag").alias("sender"), F.concat_ws("/", "query", "metric").alias("seq"), sent.alias("sent_at"))
+    rows = t.metric_records(spark, d).select(F.array("tag", F.lit("(ALL)")).alias("tags"), "records", F.col("tag").alias("sender"), F.col("query").cast("string").alias("seq"), sent.alias("sent_at"))
     rows.write.parquet(f"{base}/rows")
     spark.read.parquet(f"{base}/rows").write.mode("append").parquet(f"{base}/rows")
+    files = aggregates.files_per_trigger(len(spark.read.schema(rows.schema).parquet(f"{base}/rows").inputFiles()))
     keys = ["tag", "metric"]
-    stream = aggregates.without_replays(aggregates.read_metric_stream(spark, f"{base}/rows", rows.schema, 4))
-    query = aggregates.write_partials(aggregates.by_tag(stream), f"{base}/out", f"{base}/state", keys, 3)
+    stream = aggregates.without_replays(aggregates.read_metric_stream(spark, f"{base}/rows", rows.schema, files))
+    query = aggregates.write_partials(aggregates.by_tag(by_metric(stream)), f"{base}/out", f"{base}/state", keys, 3)
     try:
         query.processAllAvailable()
     finally:

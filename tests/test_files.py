@@ -2,6 +2,7 @@ import datetime
 import json
 import time
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,32 @@ def test_stream_counts_replayed_files_once(spark, tmp_path):
     assert len(shots) == 2 and min(kept) > shots[0] and len(kept) <= 4
 
 
+def test_a_backlog_is_taken_in_few_triggers_with_state_on_disk(spark, tmp_path):
+    from relevanta.operators.aggregate import aggregate_metrics
+    from relevanta.plans.grid_queries import QUERIES
+    from relevanta.plans.tables import metric_rows
+
+    d, settings = "/root/testdata/sf0.001", {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false", "spark.sql.files.openCostInBytes": "1g"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    streams = lambda: set(Path((spark.conf.get("spark.checkpoint.dir", None) or "/nowhere").removeprefix("file://")).glob("stream-*"))
+    others = streams()
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = QUERIES["stream_aggregate_metrics"](spark, d).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    (base,) = streams() - others
+    assert len(list(base.glob("rows/part-*"))) == 48  # 24 files, each twice
+    assert len([p for p in base.glob("state/offsets/*") if p.name.isdigit()]) <= 7  # 12 at four files each
+    changes = {p.suffix for p in base.glob("state/state/0/*/*") if p.name[0].isdigit()}
+    assert ".changelog" in changes and ".delta" not in changes
+    tagged = metric_rows(spark, d).withColumn("tag", F.explode(F.array("tag", F.lit("(ALL)"))))
+    want = aggregate_metrics(tagged, ["tag", "metric"]).withColumn("value", F.round("value", 6)).select(*got[0].asDict())
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
 def test_state_expires_and_late_rows_are_dropped(spark, tmp_path):
     rows, folder = stream_rows(spark, 20), f"{tmp_path}/in"
     later = rows.withColumns({"sent_at": F.col("sent_at") + F.expr("interval 3 days"), "seq": F.col("seq") + 100})
